@@ -337,7 +337,7 @@ def m22(spark, sf):
  h AS (SELECT r.*, x.user_id IS NOT NULL AS hit, -log2(coalesce(u,1)/nu::DOUBLE) AS nov, p_brand AS cat FROM recs r LEFT JOIN rel x USING (user_id,item_id) LEFT JOIN pu USING (item_id), nu, part WHERE p_partkey=r.item_id),
  per AS (SELECT user_id, count(*) FILTER (hit) AS h, sum(CASE WHEN hit THEN 1/log2(pos+1) ELSE 0 END) AS dcg, avg(nov) AS nov FROM h GROUP BY 1),
  dv AS (SELECT user_id, 1-sum(c*(c-1))/(sum(c)*(sum(c)-1))::DOUBLE AS div FROM (SELECT user_id, cat, count(*) AS c FROM h GROUP BY 1,2) GROUP BY 1),
- w AS (SELECT user_id, count(*) AS r, (SELECT sum(1/log2(i+1)) FROM (SELECT unnest(generate_series(1,10)) AS i) WHERE i<=count(*)) AS idcg FROM rel GROUP BY 1),
+ w AS (SELECT user_id, count(*) AS r, list_sum(list_transform(generate_series(1,least(10,count(*))), lambda i: 1/log2(i+1))) AS idcg FROM rel GROUP BY 1),
  u AS (SELECT w.*, h, dcg, nov, div, CASE WHEN w.user_id IN (SELECT user_id FROM inter) THEN 'warm' ELSE 'cold' END AS users FROM w LEFT JOIN per USING (user_id) LEFT JOIN dv USING (user_id))
  SELECT users, count(*) AS n, round(avg(coalesce(h,0)/r::DOUBLE),6) AS recall, round(avg(coalesce(dcg,0)/idcg),6) AS ndcg, round(avg(div),6) AS diversity, round(avg(nov),6) AS novelty,
  round((SELECT count(DISTINCT item_id) FROM recs)/(SELECT count(*) FROM part)::DOUBLE,6) AS coverage FROM u GROUP BY 1""",
