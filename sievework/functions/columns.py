@@ -56,6 +56,12 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row; an expression used
+    inside a lambda would else be computed once per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def date_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 

@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
-from sievework.functions.columns import h32, ratio, reasons, words
+from sievework.functions.columns import h32, let, ratio, reasons, words
 from sievework.functions.graphs import components
 from sievework.functions.links import leader_links
 from sievework.functions.scan import previous, running
@@ -18,7 +19,7 @@ from sievework.operators.versions import digest_columns
 from sievework.session import cut
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
 
@@ -55,6 +56,16 @@ def luhn(c: Column) -> Column:
     return (total % 10 == 0) & (F.size(d) > 0)
 
 
+def _is_hit(name: str, allow: Sequence[str]):
+    """Predicate on one match: not allowed, and a valid card number if a card."""
+
+    def check(m: Column) -> Column:
+        free = ~m.isin(*allow) if allow else F.lit(True)
+        return free & luhn(m) if name == "CARD" else free
+
+    return check
+
+
 def redact_pii(df: DataFrame, key: str, text: str, detectors: Sequence[str] | None = None, allow: Sequence[str] = ()) -> DataFrame:
     """Replaces hits by typed placeholders and counts them per type; allowed
     values and card numbers with a wrong check digit stay. No hit text leaves."""
@@ -65,8 +76,7 @@ def redact_pii(df: DataFrame, key: str, text: str, detectors: Sequence[str] | No
         pat = PII_PATTERNS[n]
         hits = F.regexp_extract_all(F.col(text), F.lit(f"({pat})"), F.lit(1))
         pieces = F.split(F.col(text), pat, -1)
-        keep = (lambda m: m.isin(*allow)) if allow else (lambda m: F.lit(False))
-        bad = (lambda m, k=keep: ~k(m) & luhn(m)) if n == "CARD" else (lambda m, k=keep: ~k(m))
+        bad = _is_hit(n, allow)
         out = out.withColumn("_hits", hits).withColumn("_parts", pieces)
         shown = F.transform("_hits", lambda m: F.when(bad(m), f"<{n}>").otherwise(m))
         woven = F.array_join(F.flatten(F.zip_with("_parts", shown, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
@@ -110,10 +120,12 @@ def dedup_exact(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
 
 def shingle_hashes(text: Column, n: int) -> Column:
     """Distinct 64-bit hashes of word n-grams; a shorter text is one shingle."""
-    w = words(squeeze(text))
-    last = F.greatest(F.lit(1), F.size(w) - n + 1)
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
-    return F.when(F.size(w) > 0, F.array_sort(F.array_distinct(grams))).otherwise(F.array().cast("array<bigint>"))
+    def build(w: Column) -> Column:
+        last = F.greatest(F.lit(1), F.size(w) - n + 1)
+        grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+        return F.when(F.size(w) > 0, F.array_sort(F.array_distinct(grams))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words(squeeze(text)), build)
 
 
 def minhash_bands(k: int, bands: int, seed: int):
@@ -122,7 +134,7 @@ def minhash_bands(k: int, bands: int, seed: int):
     a = rng.integers(1, 2**63, size=k, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 2**63, size=k, dtype=np.uint64)
 
-    @pandas_udf("array<string>")
+    @pandas_udf(ArrayType(StringType()))
     def run(s: pd.Series) -> pd.Series:
         def one(h):
             if h is None or len(h) == 0:

@@ -209,7 +209,7 @@ def t15(spark, sf):
 
 @query(
     "T16_verify_answers",
-    f"""WITH b AS (SELECT conv_id, turn, role, text, (conv_id*10+turn)%4 AS m FROM conversations), v AS (SELECT role, length(text) AS l, CASE m WHEN 0 THEN upper(text)||'.' WHEN 1 THEN (turn+0.001::DOUBLE)::VARCHAR WHEN 2 THEN (turn+5)::VARCHAR ELSE text||' x' END AS a, CASE m WHEN 1 THEN turn::VARCHAR WHEN 2 THEN turn::VARCHAR ELSE text END AS t, m FROM b),
+    f"""WITH b AS (SELECT conv_id, turn, role, text, (conv_id*10+turn)%4 AS m FROM conversations), v AS (SELECT role, length(text) AS l, CASE m WHEN 0 THEN '  '||lower(text)||'.' WHEN 1 THEN (turn+0.001::DOUBLE)::VARCHAR WHEN 2 THEN (turn+5)::VARCHAR ELSE text||' x' END AS a, CASE m WHEN 1 THEN turn::VARCHAR WHEN 2 THEN turn::VARCHAR ELSE text END AS t, m FROM b),
  f AS (SELECT role, l, CASE WHEN m=1 THEN true WHEN m=2 THEN false ELSE {SQ("regexp_replace(a,'[.,;:!?]+$','')")}={SQ("regexp_replace(t,'[.,;:!?]+$','')")} END AS ok FROM v)
  SELECT role, count(*) AS n, round(avg(ok::INT::DOUBLE),6) AS accept_rate, round(corr(ok::INT::DOUBLE,l::DOUBLE),6) AS reward_length_corr, coalesce(abs(round(corr(ok::INT::DOUBLE,l::DOUBLE),6))>0.3,false) AS suspect FROM f GROUP BY 1""",
 )
@@ -217,7 +217,7 @@ def t16(spark, sf):
     c = table(spark, sf, "conversations")
     m = (F.col("conv_id") * 10 + F.col("turn")) % 4
     t = F.col("turn")
-    c = c.withColumn("a", F.when(m == 0, F.concat(F.upper("text"), F.lit("."))).when(m == 1, (t + 0.001).cast("string")).when(m == 2, (t + 5).cast("string")).otherwise(F.concat("text", F.lit(" x"))))
+    c = c.withColumn("a", F.when(m == 0, F.concat(F.lit("  "), F.lower("text"), F.lit("."))).when(m == 1, (t + 0.001).cast("string")).when(m == 2, (t + 5).cast("string")).otherwise(F.concat("text", F.lit(" x"))))
     c = c.withColumn("t", F.when(m.isin(1, 2), t.cast("string")).otherwise(F.col("text")))
     v = T.verify_answers(c, "a", "t", 0.01).withColumn("reward", F.col("accepted").cast("int"))
     return T.verifier_report(v, "role", "reward", F.length("text"), 0.3)
