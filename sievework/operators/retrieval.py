@@ -79,7 +79,7 @@ def ann_topk(queries: DataFrame, index: DataFrame, k: int, dim: int, planes: int
     i = i.join(sizes, "_b").withColumn("_t", F.pmod(F.xxhash64("item_id"), F.col("_tiles"))).drop("_tiles")
     probes = F.array(F.col("_b"), *[F.col("_b").bitwiseXOR(F.lit(1 << j)) for j in range(planes)])
     q = queries.withColumn("_b", bucket("vector")).withColumn("_b", F.explode(probes)).join(sizes, "_b")
-    q = q.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).cast("bigint")).drop("_tiles")
+    q = q.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1).cast("array<bigint>"))).drop("_tiles")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
