@@ -95,33 +95,42 @@ def number_rows(df: DataFrame, order: Sequence[str], block: Column, name: str =
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], blocks: int = 512
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], blocks: int = 1024
 ) -> DataFrame:
     """Exact interpolated quantiles per key, for keys of any size.
 
-    Values are counted first (partial aggregation), then each key's value range
-    is cut into equal blocks; only ranks inside one block are ever sorted.
-    """
+    Each key's value range is cut into equal blocks and only block totals are
+    shuffled. The blocks that hold a wanted rank are then read again and sorted,
+    so a quantile of a huge key moves about 1 / blocks of its rows."""
     keys = list(keys)
-    v = F.col(value).cast("double")
-    counts = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    span = counts.groupBy(*keys).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_c").alias("_n"))
-    if keys:
-        both = counts.join(span, keys)
-    else:
-        both = counts.withColumns({c: span.select(c).scalar() for c in ("_a", "_b", "_n")})
+    part = keys or ["_all"]
+    src = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    if not keys:
+        src = src.withColumn("_all", F.lit(0))
+    span = src.groupBy(*part).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.count(F.lit(1)).alias("_n"))
     width = F.when(F.col("_b") > F.col("_a"), (F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(0.0)
-    cum = running(both, keys, ["_v"], F.floor(width * (blocks - 1)).cast("int"), _cum=("sum", F.col("_c")))
+    placed = src.join(span, part).withColumn("_blk", F.floor(width * (blocks - 1)).cast("int"))
+    totals = placed.groupBy(*part, "_blk").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    before = F.sum("_c").over(Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.withColumn("_before", F.coalesce(before, F.lit(0)))
+    ranks = {n: F.lit(float(p)) * (F.col("_n") - 1) for n, p in probs.items()}
+    wanted = [i for r in ranks.values() for i in (F.floor(r), F.ceil(r))]
+    inside = F.lit(False)
+    for i in wanted:
+        inside = inside | ((F.col("_before") <= i) & (F.col("_before") + F.col("_c") > i))
+    hot = totals.where(inside).select(*part, "_blk", "_before")
+    rows = placed.select(*part, "_blk", "_v", "_n").join(hot, [*part, "_blk"])
+    rows = rows.groupBy(*part, "_blk", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"), F.first("_before").alias("_before"))
+    local = Window.partitionBy(*part, "_blk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_cum", F.col("_before") + F.sum("_c").over(local))
     picks = []
-    for name, p in probs.items():
-        rank = F.lit(float(p)) * (F.col("_n") - 1)
-        for tag, idx in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+    for name, r in ranks.items():
+        for tag, idx in (("lo", F.floor(r)), ("hi", F.ceil(r))):
             hit = (F.col("_cum") > idx) & (F.col("_cum") - F.col("_c") <= idx)
             picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{name}_{tag}"))
-    agg = cum.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
+    agg = rows.groupBy(*part).agg(F.max("_n").alias("_n"), *picks)
     out = []
-    for name, p in probs.items():
-        rank = F.lit(float(p)) * (F.col("_n") - 1)
+    for name, r in ranks.items():
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
+        out.append((lo + (hi - lo) * (r - F.floor(r))).alias(name))
     return agg.select(*keys, *out)

@@ -27,9 +27,13 @@ def cut_fraction(seed: str, tree: int, node: int, what: str) -> float:
     return int(hashlib.md5(f"{seed}|{tree}|{node}|{what}".encode()).hexdigest()[:8], 16) / 4294967296
 
 
-def _descend(axis: Column, cut: Column):
-    """Fold step from a node to its child on the chosen axis."""
-    return lambda node, _: node * 2 + (F.element_at("_x", F.element_at(axis, node)) > F.element_at(cut, node)).cast("int")
+def _leaf(x: Sequence[Column], seed: str, tree: int, node: int, depth: int, base: int) -> Column:
+    """Leaf id of one tree as nested conditions, each comparison once."""
+    if depth == 0:
+        return F.lit(base + node)
+    axis = int(cut_fraction(seed, tree, node, "axis") * len(x))
+    over = x[axis] > F.lit(cut_fraction(seed, tree, node, "cut"))
+    return F.when(over, _leaf(x, seed, tree, node * 2 + 1, depth - 1, base)).otherwise(_leaf(x, seed, tree, node * 2, depth - 1, base))
 
 
 def isolation_scores(df: DataFrame, cols: Sequence[str], trees: int, depth: int, seed: str) -> DataFrame:
@@ -38,20 +42,16 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], trees: int, depth: int,
     The cut tables are small and seeded; leaf masses (trees * 2^depth counts)
     come back as one scalar map, so the data is scanned twice and never moved."""
     span = df.agg(F.struct(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in cols])).scalar()
-    src = df.withColumn("_span", span)
-    norm = F.array(*[F.coalesce(F.try_divide(F.col(c) - F.col(f"_span.{c}.a"), F.col(f"_span.{c}.b") - F.col(f"_span.{c}.a")), F.lit(0.0)) for c in cols])
-    src = src.withColumn("_x", norm).drop("_span")
-    leaves = []
-    for t in range(trees):
-        axis = F.array(*[F.lit(int(cut_fraction(seed, t, n, "axis") * len(cols)) + 1) for n in range(1, 2**depth)])
-        cut = F.array(*[F.lit(cut_fraction(seed, t, n, "cut")) for n in range(1, 2**depth)])
-        leaves.append(F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), _descend(axis, cut)) + t * 2 ** (depth + 1))
-    src = src.withColumn("_leaf", F.array(*leaves)).drop("_x")
+    norm = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_span.{c}.a"), F.col(f"_span.{c}.b") - F.col(f"_span.{c}.a")), F.lit(0.0))
+    src = df.withColumn("_span", span).select(*df.columns, *[norm(c).alias(f"_x{i}") for i, c in enumerate(cols)])
+    x = [F.col(f"_x{i}") for i in range(len(cols))]
+    src = src.select(*df.columns, F.array(*[_leaf(x, seed, t, 1, depth, t * 2 ** (depth + 1)) for t in range(trees)]).alias("_leaf"))
     mass = src.select(F.explode("_leaf").alias("_l")).groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
-    table = mass.agg(F.map_from_entries(F.collect_list(F.struct("_l", "_n")))).scalar()
     total = src.agg(F.count(F.lit(1))).scalar()
     c = lambda n: F.when(n > 2, 2 * (F.ln(n - 1) + 0.5772156649) - 2 * (n - 1) / n).when(n == 2, 1.0).otherwise(0.0)
-    path = F.aggregate("_leaf", F.lit(0.0), lambda acc, leaf: acc + depth + c(F.element_at(F.col("_mass"), leaf).cast("double"))) / trees
+    length = mass.select("_l", (depth + c(F.col("_n").cast("double"))).alias("_d"))
+    table = length.agg(F.map_from_entries(F.collect_list(F.struct("_l", "_d")))).scalar()
+    path = sum((F.element_at("_mass", F.col("_leaf")[t]) for t in range(1, trees)), F.element_at("_mass", F.col("_leaf")[0])) / trees
     out = src.withColumn("_mass", table).withColumn("_total", total.cast("double"))
     return out.withColumn("score", F.round(F.pow(F.lit(2.0), -path / c(F.col("_total"))), 6)).drop("_leaf", "_mass", "_total")
 

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from sievework.functions.columns import reasons
+from sievework.functions.columns import let, reasons
 
 
 # --- schema contracts -------------------------------------------------------
@@ -138,13 +138,13 @@ def _hit(cond: Column, path: Column, message: Column | str) -> Column:
     return F.when(F.coalesce(cond, F.lit(False)), one).otherwise(F.array().cast(_ROW))
 
 
-def _is_type(v: Column, kind: str) -> Column:
-    t = F.schema_of_variant(v)
+def _is_type(t: Column, kind: str) -> Column:
+    """Test on the text form of a variant's own type."""
     return {
         "array": t.startswith("ARRAY"),
         "boolean": t == "BOOLEAN",
         "integer": t == "BIGINT",
-        "null": F.is_variant_null(v),
+        "null": t == "VOID",
         "number": (t == "BIGINT") | t.startswith("DECIMAL") | (t == "DOUBLE") | (t == "FLOAT"),
         "object": t.startswith("OBJECT"),
         "string": t == "STRING",
@@ -153,7 +153,13 @@ def _is_type(v: Column, kind: str) -> Column:
 
 def _rules(v: Column, node: dict, root: dict, path: Column, depth: int) -> Column:
     """Violations of one node as an array column. The schema is walked once on
-    the driver; data only meets built-in expressions."""
+    the driver; data only meets built-in expressions. A node's value and type
+    are worked out once and bound for its checks."""
+    bound = F.struct(v.alias("v"), F.schema_of_variant(v).alias("t"))
+    return let(bound, lambda s: _node_rules(s["v"], s["t"], node, root, path, depth))
+
+
+def _node_rules(v: Column, t: Column, node: dict, root: dict, path: Column, depth: int) -> Column:
     if depth > 32:
         raise ValueError("schema nests too deep or refers to itself")
     while "$ref" in node:
@@ -168,17 +174,17 @@ def _rules(v: Column, node: dict, root: dict, path: Column, depth: int) -> Colum
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if "enum" in node:
         texts = [str(x) for x in node["enum"] if isinstance(x, str)]
-        inside = _is_type(v, "string") & F.try_variant_get(v, "$", "string").isin(*texts) if texts else F.lit(False)
+        inside = _is_type(t, "string") & F.try_variant_get(v, "$", "string").isin(*texts) if texts else F.lit(False)
         numbers = [x for x in node["enum"] if isinstance(x, (int, float)) and not isinstance(x, bool)]
         if numbers:
-            inside = inside | (_is_type(v, "number") & F.try_variant_get(v, "$", "double").isin(*[float(x) for x in numbers]))
+            inside = inside | (_is_type(t, "number") & F.try_variant_get(v, "$", "double").isin(*[float(x) for x in numbers]))
         if any(x is None for x in node["enum"]):
-            inside = inside | _is_type(v, "null")
+            inside = inside | _is_type(t, "null")
         for flag in (True, False):
             if any(x is flag for x in node["enum"]):
-                inside = inside | (_is_type(v, "boolean") & (F.try_variant_get(v, "$", "boolean") == flag))
+                inside = inside | (_is_type(t, "boolean") & (F.try_variant_get(v, "$", "boolean") == flag))
         checks.append(_hit(~inside, path, "not in enum"))
-    text = F.when(_is_type(v, "string"), F.try_variant_get(v, "$", "string"))
+    text = F.when(_is_type(t, "string"), F.try_variant_get(v, "$", "string"))
     if "minLength" in node:
         checks.append(_hit(F.length(text) < node["minLength"], path, f"shorter than {node['minLength']}"))
     if "maxLength" in node:
@@ -186,7 +192,7 @@ def _rules(v: Column, node: dict, root: dict, path: Column, depth: int) -> Colum
     if "pattern" in node:
         checks.append(_hit(~text.rlike(node["pattern"]), path, "does not match pattern"))
     if "minItems" in node or "items" in node:
-        items = F.when(_is_type(v, "array"), F.try_variant_get(v, "$", "array<variant>"))
+        items = F.when(_is_type(t, "array"), F.try_variant_get(v, "$", "array<variant>"))
         if "minItems" in node:
             checks.append(_hit(F.size(items) < node["minItems"], path, f"fewer than {node['minItems']} items"))
         if node.get("items"):
@@ -200,7 +206,7 @@ def _rules(v: Column, node: dict, root: dict, path: Column, depth: int) -> Colum
     props = node.get("properties", {})
     extra = node.get("additionalProperties")
     if props or node.get("required") or extra is not None:
-        is_obj = _is_type(v, "object")
+        is_obj = _is_type(t, "object")
         member = {k: F.try_variant_get(v, f"$['{k}']", "variant") for k in {*props, *node.get("required", [])}}
         for k in node.get("required", []):
             checks.append(_hit(is_obj & member[k].isNull(), path, f"missing required field {k}"))
@@ -225,7 +231,7 @@ def _rules(v: Column, node: dict, root: dict, path: Column, depth: int) -> Colum
         return deep
     typed = F.lit(False)
     for k in kinds:
-        typed = typed | _is_type(v, k)
+        typed = typed | _is_type(t, k)
     shown = kinds[0] if len(kinds) == 1 else str(kinds)
     return F.when(typed, deep).otherwise(F.array(F.struct(path.alias("path"), F.lit(f"expected {shown}").alias("message"))))
 

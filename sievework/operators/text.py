@@ -66,23 +66,32 @@ def _is_hit(name: str, allow: Sequence[str]):
     return check
 
 
+def _redact_step(name: str, allow: Sequence[str]):
+    """One detector over struct(t: text, a: audit); texts without a hit pass."""
+    pat, bad = PII_PATTERNS[name], _is_hit(name, allow)
+
+    def weave(s: Column, hits: Column) -> Column:
+        shown = F.transform(hits, lambda m: F.when(bad(m), f"<{name}>").otherwise(m))
+        woven = F.array_join(F.flatten(F.zip_with(F.split(s["t"], pat, -1), shown, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+        n = F.size(F.filter(hits, bad))
+        count = F.filter(F.array(F.struct(F.lit(name).alias("type"), n.alias("n"))), lambda x: x["n"] > 0)
+        return F.struct(woven.alias("t"), F.concat(s["a"], count).alias("a"))
+
+    def step(s: Column) -> Column:
+        found = F.regexp_extract_all(s["t"], F.lit(f"({pat})"), F.lit(1))
+        return let(found, lambda hits: F.when(F.size(hits) > 0, weave(s, hits)).otherwise(s))
+
+    return step
+
+
 def redact_pii(df: DataFrame, key: str, text: str, detectors: Sequence[str] | None = None, allow: Sequence[str] = ()) -> DataFrame:
     """Replaces hits by typed placeholders and counts them per type; allowed
     values and card numbers with a wrong check digit stay. No hit text leaves."""
-    names = list(detectors or PII_PATTERNS)
-    out = df
-    counts = []
-    for n in names:
-        pat = PII_PATTERNS[n]
-        hits = F.regexp_extract_all(F.col(text), F.lit(f"({pat})"), F.lit(1))
-        pieces = F.split(F.col(text), pat, -1)
-        bad = _is_hit(n, allow)
-        out = out.withColumn("_hits", hits).withColumn("_parts", pieces)
-        shown = F.transform("_hits", lambda m: F.when(bad(m), f"<{n}>").otherwise(m))
-        woven = F.array_join(F.flatten(F.zip_with("_parts", shown, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-        out = out.withColumn(f"_n_{n}", F.size(F.filter("_hits", bad))).withColumn(text, F.when(F.size("_hits") > 0, woven).otherwise(F.col(text)))
-        counts.append(F.struct(F.lit(n).alias("type"), F.col(f"_n_{n}").alias("n")))
-    return out.withColumn("audit", F.filter(F.array(*counts), lambda x: x["n"] > 0)).drop("_hits", "_parts", *[f"_n_{n}" for n in names])
+    state = F.struct(F.col(text).alias("t"), F.array().cast("array<struct<type:string,n:int>>").alias("a"))
+    for n in detectors or PII_PATTERNS:
+        state = let(state, _redact_step(n, allow))
+    out = df.withColumn("_s", state)
+    return out.withColumn(text, F.col("_s.t")).withColumn("audit", F.col("_s.a")).drop("_s")
 
 
 def chunk(df: DataFrame, key: str, text: str, version: str, max_tokens: int, overlap: int) -> DataFrame:

@@ -113,7 +113,7 @@ def e5s(spark, sf):
     return E.newest_batch(spark, out, ["key"])
 
 
-@query("E6_replay_check", "SELECT 0::BIGINT AS differing_keys, true AS same")
+@query("E6_replay_check", D.with_(D.CHANGES) + " SELECT 0::BIGINT AS differing_keys, true AS same, count(DISTINCT key) AS keys FROM changes")
 def e6(spark, sf):
     d = D.changes(spark, sf).select("key", "seq", "op", "value", "copy")
     path = scratch_path(spark, "stream-in")
@@ -125,7 +125,7 @@ def e6(spark, sf):
         for _ in range(2):  # the second start resumes from the checkpoint
             E.drain(E.replay_stream(spark, path, d.schema, n), writer, cp)
         runs.append(E.current_state(spark, log))
-    return E.replay_check(runs[0], runs[1], ["key"]).select("differing_keys", "same")
+    return E.replay_check(runs[0], runs[1], ["key"]).select("differing_keys", "same").withColumn("keys", runs[0].agg(F.count(F.lit(1))).scalar())
 
 
 def preds_labels(spark, sf):
@@ -213,12 +213,12 @@ def e11b(spark, sf):
 
 @query(
     "E12_page_hinkley",
-    """WITH a AS (SELECT user_id%5 AS key, ts, event_id, value, avg(value) OVER w AS mn FROM events WINDOW w AS (PARTITION BY user_id%5 ORDER BY ts, event_id)), b AS (SELECT *, round(sum(value-mn-0.5::DOUBLE) OVER (PARTITION BY key ORDER BY ts, event_id),9) AS m FROM a)
- SELECT key, event_id, round(m-min(m) OVER (PARTITION BY key ORDER BY ts, event_id),6) AS ph FROM b""",
+    """WITH a AS (SELECT user_id%5 AS key, ts, event_id, value, avg(value) OVER w AS mn FROM events WINDOW w AS (PARTITION BY user_id%5 ORDER BY ts, event_id)), b AS (SELECT *, sum(value-mn-0.5::DOUBLE) OVER (PARTITION BY key ORDER BY ts, event_id) AS m FROM a)
+ SELECT key, event_id, round(m-min(m) OVER (PARTITION BY key ORDER BY ts, event_id),4) AS ph FROM b""",
 )
 def e12(spark, sf):
     e = events(spark, sf).withColumn("key", F.col("user_id") % 5)
-    return E.page_hinkley(e, "key", ["ts", "event_id"], "value", 0.5, 100.0).select("key", "event_id", "ph")
+    return E.page_hinkley(e, "key", ["ts", "event_id"], "value", 0.5, 100.0).select("key", "event_id", F.round("ph", 4).alias("ph"))
 
 
 @query("E12_drift_detector_stream")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sievework.functions.columns import seconds
+from sievework.functions.columns import let, seconds
 from sievework.functions.scan import running
 from sievework.operators.quality import tag_broken
 from sievework.operators.versions import dataset_checksum, diff_rows
@@ -221,9 +221,8 @@ def page_hinkley(df: DataFrame, key: str, order: Sequence[str], value: str, delt
     keys = [key]
     d = running(df, keys, list(order), block(), _s=("sum", F.col(value)), _n=("count", F.lit(1)))
     d = running(d, keys, list(order), block(), _m=("sum", F.col(value) - F.col("_s") / F.col("_n") - delta))
-    d = running(d, keys, list(order), block(), _low=("min", F.round("_m", 9)))
-    stat = F.round(F.round("_m", 9) - F.col("_low"), 6)
-    return d.withColumn("ph", stat).withColumn("alarm", F.col("ph") > limit).drop("_s", "_n", "_m", "_low")
+    d = running(d, keys, list(order), block(), _low=("min", F.col("_m")))
+    return d.withColumn("ph", F.col("_m") - F.col("_low")).withColumn("alarm", F.col("ph") > limit).drop("_s", "_n", "_m", "_low")
 
 
 _ALARM = "key bigint, event_id bigint, ts timestamp, ph double, model_version string"
@@ -295,17 +294,21 @@ def update_policies(daily: DataFrame, key: str, delay: int, window: int, delta:
                 F.when(hit, z).otherwise(low).alias("low"), F.when(hit, x["day_no"]).otherwise(a["cut"]).alias("cut"),
             )
 
-        last = F.aggregate(days, start, fold, lambda a: a["cut"])
-        return F.filter(days, lambda x: x["day_no"] >= last)
+        return let(F.aggregate(days, start, fold, lambda a: a["cut"]), lambda last: F.filter(days, lambda x: x["day_no"] >= last))
 
     known = lambda x: F.filter("d", lambda y: y["day_no"] <= x["day_no"] - delay)
-    rows = g.select(key, "d", F.explode("d").alias("t")).withColumn("_k", known(F.col("t"))).where(F.size("_k") > 0)
     actual = F.col("t.total") / F.col("t.n")
-    models = {
-        "static": mean_of(F.slice("_k", 1, 1)), "incremental": mean_of(F.col("_k")),
-        "window": mean_of(F.filter("_k", lambda y: y["day_no"] > F.col("t.day_no") - delay - window)), "drift": mean_of(since_alarm(F.col("_k"))),
-    }
-    long = rows.select(key, F.inline(F.array(*[F.struct(F.lit(p).alias("policy"), F.abs(c - actual).alias("err")) for p, c in models.items()])))
+
+    def errors(k: Column) -> Column:
+        models = {
+            "static": mean_of(F.slice(k, 1, 1)), "incremental": mean_of(k),
+            "window": mean_of(F.filter(k, lambda y: y["day_no"] > F.col("t.day_no") - delay - window)), "drift": mean_of(since_alarm(k)),
+        }
+        return F.array(*[F.struct(F.lit(p).alias("policy"), F.abs(c - actual).alias("err")) for p, c in models.items()])
+
+    rows = g.select(key, "d", F.explode("d").alias("t"))
+    first = F.element_at("d", 1)["day_no"]
+    long = rows.where(first <= F.col("t.day_no") - delay).select(key, F.inline(let(known(F.col("t")), errors)))
     return long.groupBy(key, "policy").agg(F.count("err").alias("days"), F.round(F.avg("err"), 6).alias("mae"))
 
 
