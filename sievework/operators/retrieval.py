@@ -37,7 +37,8 @@ def _hash_vectors(dim: int):
 
         return s.map(one)
 
-    return run
+    # marked so that the optimizer does not copy the call into inferred filters
+    return run.asNondeterministic()
 
 
 def hash_embed(df: DataFrame, key: str, text: str, dim: int, max_tokens: int, revision: str = "signed-hash-1") -> DataFrame:
@@ -74,6 +75,7 @@ def ann_topk(queries: DataFrame, index: DataFrame, k: int, dim: int, planes: int
             return pd.Series([], dtype="int64")
         return pd.Series(((np.stack(s.to_numpy()) @ p.T > 0) * weights).sum(axis=1).astype("int64"), index=s.index)
 
+    bucket = bucket.asNondeterministic()
     i = index.withColumn("_b", bucket("vector"))
     sizes = i.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_tiles"))
     i = i.join(sizes, "_b").withColumn("_t", F.pmod(F.xxhash64("item_id"), F.col("_tiles"))).drop("_tiles")

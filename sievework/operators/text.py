@@ -159,7 +159,8 @@ def minhash_bands(k: int, bands: int, seed: int):
 
         return s.map(one)
 
-    return run
+    # marked so that the optimizer does not copy the call into inferred filters
+    return run.asNondeterministic()
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from sievework.functions.columns import h32, h32_sql as H
 from sievework.operators import contracts as K
 from sievework.plans import derive as D
 from sievework.plans.registry import query
-from sievework.session import table
+from sievework.session import raw_table, table
 
 LINE_CONTRACT = [
     {"name": "l_orderkey", "type": "bigint", "nullable": False},
@@ -63,7 +63,7 @@ K3_TABLES = ("customer", "documents", "events", "lineitem", "orders", "part")
 def k3(spark, sf):
     out = None
     for t in K3_TABLES:
-        one = K.file_layout_audit(table(spark, sf, t), 1 << 20).agg(
+        one = K.file_layout_audit(raw_table(spark, sf, t), 1 << 20).agg(
             F.lit(t).alias("table_name"), F.sum("rows").alias("n_rows"), F.sum(F.size("bad_partitions")).alias("bad_partitions")
         )
         out = one if out is None else out.unionByName(one)

@@ -19,6 +19,7 @@ def build_session(cores: str = "8", app: str = "sievework") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.icu.caseMappings.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -49,5 +50,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, spread over the cores where its scan would leave them idle.
+
+    A file with one row group is one task whatever its size. A table of many
+    files or row groups has more scan tasks than cores and is left as it is."""
+    df = raw_table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    if name in WIDE_TABLES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+WIDE_TABLES = ("documents", "pages", "conversations", "lineitem", "events")
