@@ -128,8 +128,9 @@ def resolve_entities(mentions: DataFrame, max_distance: float) -> DataFrame:
     """(mention_id, entity, evidence, confidence).
 
     mentions(mention_id, name, block, strong_id). Equal strong ids are one
-    entity. Weak names join by edit distance to block leaders; a weak group
-    that touches two strong identities does not merge them and stays its own."""
+    entity. A weak name joins the least leader of its block within the edit
+    distance. Where weak links would chain two strong identities together, both
+    stay apart and the weak names form their own low-confidence entity."""
     m = mentions.select("mention_id", "name", "block", "strong_id")
     reps = m.groupBy("name", "block", "strong_id").agg(F.min("mention_id").alias("id"))
     rep = cut(reps)
