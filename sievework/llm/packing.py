@@ -57,7 +57,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, id_col: s
     return src.mapInArrow(run, PIECES)
 
 
-def plan_bins(histogram: dict[int, int], capacity: int = 4096, groups: int = 64) -> list[tuple[int, list[tuple[int, int]]]]:
+def plan_bins(histogram: dict[int, int], capacity: int = 4096, groups: int = 16) -> list[tuple[int, list[tuple[int, int]]]]:
     """Bin classes (bins, [(length, how many in each bin), ...])."""
     sizes = {s: c for s, c in histogram.items() if c > 0}
     done = [(sizes.pop(capacity), [(capacity, 1)])] if capacity in sizes else []
@@ -218,7 +218,7 @@ def slots_of(classes) -> dict[str, np.ndarray]:
     return {n: np.array([r[i] for r in rows], np.int64) for i, n in enumerate(names)}
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, groups: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, groups: int = 16) -> DataFrame:
     """Adds sequence_id and offset to pieces written by :func:`cut_pieces`.
 
     ``pieces`` must be a written table: it is read for the counts and again for
@@ -253,7 +253,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, groups: int = 64) -> DataFrame
     return ranked.mapInArrow(place, out)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, groups: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, groups: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cuts, plans and places all documents; see the module docstring.
 
     A null or empty text is one piece of the end id alone. Repeated rows and null

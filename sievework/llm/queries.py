@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from sievework.llm import packing, token_store
+from sievework.llm import packing, sharding, token_store
 from sievework.llm.common import documents
 from sievework.plans.registry import query
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+@query("op3_uniform_shards")
+def op3(spark, sf_dir):
+    """Size, checksum and place of every document after the shuffle; law: rows."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return sharding.shuffle_into_shards(documents(spark, sf_dir), 16).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query("op5_token_files")
 def op5(spark, sf_dir):
     return token_store.token_digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
