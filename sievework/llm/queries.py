@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, packing, sharding, token_store, topk
+from sievework.llm import decontaminate, packing, sharding, token_store, topk, toxicity
 from sievework.llm.common import documents
 from sievework.plans.registry import query
 from sievework.session import raw_table
@@ -57,6 +57,18 @@ def op5(spark, sf_dir):
     return token_store.token_digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit_toxicity(docs, raw_table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op9_best_fit_packing")
 def op9(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
