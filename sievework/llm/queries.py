@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, packing, sharding, token_store, topk, toxicity
+from sievework.llm import decontaminate, packing, pii, sharding, token_store, topk, toxicity
 from sievework.llm.common import documents
 from sievework.plans.registry import query
 from sievework.session import raw_table
@@ -69,6 +69,11 @@ def op7(spark, sf_dir):
     )
 
 
+@query("op8_pii")
+def op8(spark, sf_dir):
+    return pii.pii_digest(documents(spark, sf_dir))
+
+
 @query("op9_best_fit_packing")
 def op9(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
