@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, jaccard, packing, pii, sharding, token_store, topk, toxicity
+from sievework.llm import decontaminate, grades, jaccard, licenses, packing, pii, sharding, token_store, topk, toxicity
 from sievework.llm.common import documents
 from sievework.plans.registry import query
 from sievework.session import raw_table
@@ -13,6 +14,22 @@ from sievework.session import raw_table
 VOCABULARY = "word_bpe_49k.json"
 
 
+@query("op1_ordinal_grades")
+def op1(spark, sf_dir):
+    """Grades from labels: 0 low quality, 1 good but toxic, 2 good and clean."""
+    docs, labels = documents(spark, sf_dir), raw_table(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    model = grades.fit_grades(docs, labels.select("doc_id", grade.alias("grade")), 3)
+    return grades.score_grades(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)).alias("held_out"),
+        "expected_grade",
+        F.col("tails")[0].alias("p_grade_1"),
+        F.col("tails")[1].alias("p_grade_2"),
+        (F.col("tails")[0] >= 0.5).cast("int").alias("keep"),
+    )
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -74,6 +91,11 @@ def op5(spark, sf_dir):
     return token_store.token_digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+@query("op6_license_scan", licenses.oracle())
+def op6(spark, sf_dir):
+    return licenses.scan_licenses(documents(spark, sf_dir)).select("doc_id", "n_known", "licenses")
+
+
 @query("op7_toxicity")
 def op7(spark, sf_dir):
     docs = documents(spark, sf_dir)
@@ -110,3 +132,6 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op10(spark, sf_dir):
     rows = topk.integer_vectors(raw_table(spark, sf_dir, "embeddings"))
     return topk.exact_topk(rows.where(F.col("vec_id") % 20 == 0), rows)
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
