@@ -138,37 +138,54 @@ def _hit(cond: Column, path: Column, message: Column | str) -> Column:
     return F.when(F.coalesce(cond, F.lit(False)), one).otherwise(F.array().cast(_ROW))
 
 
-def _is_type(t: Column, kind: str) -> Column:
-    """Test on the text form of a variant's own type."""
-    return {
-        "array": t.startswith("ARRAY"),
-        "boolean": t == "BOOLEAN",
-        "integer": t == "BIGINT",
-        "null": t == "VOID",
-        "number": (t == "BIGINT") | t.startswith("DECIMAL") | (t == "DOUBLE") | (t == "FLOAT"),
-        "object": t.startswith("OBJECT"),
-        "string": t == "STRING",
-    }[kind]
-
-
-def _rules(v: Column, node: dict, root: dict, path: Column, depth: int) -> Column:
+# Head word of a variant's type text -> the schema types it satisfies.
+_HEADS = {
+    "BIGINT": "integer number", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "STRING": "string",
+    "BOOLEAN": "boolean", "VOID": "null", "OBJECT": "object", "ARRAY": "array",
+}
+
+
+def _is_type(head: Column, kind: str) -> Column:
+    return head.isin(*[h for h, kinds in _HEADS.items() if kind in kinds.split()])
+
+
+def flat_schema(schema: dict) -> dict:
+    """The schema with every local reference replaced by what it names, so that
+    the walk below never looks one up. A reference to itself is an error."""
+
+    def flat(node: Any, open_refs: tuple[str, ...]) -> Any:
+        if isinstance(node, list):
+            return [flat(x, open_refs) for x in node]
+        if not isinstance(node, dict):
+            return node
+        ref = node.get("$ref")
+        if ref is None:
+            return {k: flat(x, open_refs) for k, x in node.items()}
+        if ref in open_refs or ref not in names:
+            raise ValueError(f"schema reference is circular or not local: {ref}")
+        return flat(names[ref], (*open_refs, ref))
+
+    names: dict[str, Any] = {}
+
+    def index(node: Any, at: str) -> None:
+        names[at] = node
+        for k, x in node.items() if isinstance(node, dict) else ():
+            index(x, f"{at}/{k}")
+
+    index(schema, "#")
+    return flat(schema, ())
+
+
+def _rules(v: Column, node: dict, path: Column) -> Column:
     """Violations of one node as an array column. The schema is walked once on
     the driver; data only meets built-in expressions. A node's value and type
     are worked out once and bound for its checks."""
-    bound = F.struct(v.alias("v"), F.schema_of_variant(v).alias("t"))
-    return let(bound, lambda s: _node_rules(s["v"], s["t"], node, root, path, depth))
-
-
-def _node_rules(v: Column, t: Column, node: dict, root: dict, path: Column, depth: int) -> Column:
-    if depth > 32:
-        raise ValueError("schema nests too deep or refers to itself")
-    while "$ref" in node:
-        if not node["$ref"].startswith("#/"):
-            raise ValueError(f"unsupported schema ref: {node['$ref']}")
-        target: Any = root
-        for step in node["$ref"][2:].split("/"):
-            target = target[step]
-        node = target
+    bound = F.struct(v.alias("v"), F.regexp_substr(F.schema_of_variant(v), F.lit("^[A-Z]+")).alias("t"))
+    return let(bound, lambda s: _node_rules(s["v"], s["t"], node, path))
+
+
+def _node_rules(v: Column, t: Column, node: dict, path: Column) -> Column:
+    # fixed values: the violation messages below
     checks: list[Column] = []
     kinds = node.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
@@ -199,7 +216,7 @@ def _node_rules(v: Column, t: Column, node: dict, root: dict, path: Column, dept
             inner = F.flatten(
                 F.transform(
                     items,
-                    lambda x, i: _rules(x, node["items"], root, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), depth + 1),
+                    lambda x, i: _rules(x, node["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))),
                 )
             )
             checks.append(F.coalesce(inner, F.array().cast(_ROW)))
@@ -220,11 +237,11 @@ def _node_rules(v: Column, t: Column, node: dict, root: dict, path: Column, dept
                 )
             else:
                 rows = F.flatten(
-                    F.transform(others, lambda e: _rules(e["value"], extra, root, F.concat(path, F.lit("."), e["key"]), depth + 1))
+                    F.transform(others, lambda e: _rules(e["value"], extra, F.concat(path, F.lit("."), e["key"])))
                 )
             checks.append(F.coalesce(rows, F.array().cast(_ROW)))
         for k, sub in props.items():
-            inner = _rules(member[k], sub, root, F.concat(path, F.lit(f".{k}")), depth + 1)
+            inner = _rules(member[k], sub, F.concat(path, F.lit(f".{k}")))
             checks.append(F.when(is_obj & member[k].isNotNull(), inner).otherwise(F.array().cast(_ROW)))
     deep = F.concat(*checks) if checks else F.array().cast(_ROW)
     if not kinds:
@@ -240,7 +257,7 @@ def record_violations(df: DataFrame, key: str, text: str, schema: dict) -> DataF
     """Rows (key, path, message) for each broken JSON-Schema rule; text that is
     not JSON gives one row with the message ``not json``."""
     v = df.select(key, F.try_parse_json(text).alias("_v"), F.col(text).alias("_t"))
-    found = _rules(F.col("_v"), schema, schema, F.lit("$"), 0)
+    found = _rules(F.col("_v"), flat_schema(schema), F.lit("$"))
     bad = F.array(F.struct(F.lit("$").alias("path"), F.lit("not json").alias("message")))
     rows = F.when(F.col("_v").isNull(), bad).otherwise(found)
     return v.select(key, F.inline(rows))
@@ -369,21 +386,22 @@ def inherited_licenses(adapters: DataFrame, models: DataFrame, datasets: DataFra
     )
 
 
-# fixed values: version tokens that float, digest and version shapes
-FLOATING = ("latest", "stable", "main", "master", "nightly", "edge", "dev")
+# fixed values: digest shape; numbers, then an optional qualifier; qualifiers that move
 DIGEST = r"^sha256:[0-9a-f]{64}$"
-VERSION = r"^v?\d+\.\d+(?:\.\d+)?(?:[+-][0-9A-Za-z][0-9A-Za-z.-]*)?$"
+VERSION = r"^v?([0-9]+[.][0-9]+(?:[.][0-9]+)?)([+-][0-9A-Za-z][0-9A-Za-z.-]*)?$"
+MOVING_ENDS = (".x", "-snapshot")
 
 
 def floating(version: Column) -> Column:
-    low = F.lower(F.trim(version))
-    return (
-        low.isin(*FLOATING)
-        | low.rlike(r"[<>*,]")
-        | low.rlike(r"^[~^]")
-        | low.rlike(r"(\.x|-snapshot)$")
-        | ~F.trim(version).rlike(VERSION)
-    )
+    """A version is pinned when it parses into numbers and a qualifier and the
+    qualifier does not end in a moving token; anything else floats."""
+
+    def judge(parsed: Column) -> Column:
+        ends = [F.lower(parsed["tail"]).endswith(e) for e in MOVING_ENDS]
+        return (parsed["numbers"] == "") | ends[0] | ends[1]
+
+    text = F.trim(version)
+    return let(F.struct(F.regexp_extract(text, VERSION, 1).alias("numbers"), F.regexp_extract(text, VERSION, 2).alias("tail")), judge)
 
 
 def pinned_version_audit(components: DataFrame, required: Sequence[str] = ()) -> DataFrame:

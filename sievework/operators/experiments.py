@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sievework.functions.columns import h32, ratio, uniform
 from sievework.functions.scan import number_rows
@@ -202,9 +204,27 @@ def private_aggregate(bounded: DataFrame, key: str, eps: float, bound: int, low:
 
 
 def epsilon_ledger(spends: DataFrame, dataset: str, at: str, eps: str, limit: float) -> DataFrame:
-    """Running epsilon per dataset; a spend past the limit is refused."""
-    w = Window.partitionBy(dataset).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return spends.withColumn("spent", F.round(F.sum(eps).over(w), 9)).withColumn("refused", F.col("spent") > limit)
+    """Epsilon spent after each request, in time order; a request that would pass
+    the limit is refused and costs nothing.
+
+    What is left decides each next request, so a dataset's requests are read one
+    after the other: sorted by Spark, with one number kept for the dataset."""
+    schema = T.StructType([*spends.schema.fields, T.StructField("spent", T.DoubleType()), T.StructField("refused", T.BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, spent = object(), 0.0
+        for b in batches:
+            totals, refused = [], []
+            for d, e in zip(b[dataset].tolist(), b[eps].tolist()):
+                if d != key:
+                    key, spent = d, 0.0
+                over = round(spent + e, 9) > limit
+                spent = spent if over else round(spent + e, 9)
+                totals.append(spent)
+                refused.append(over)
+            yield b.assign(spent=totals, refused=refused)
+
+    return spends.repartition(dataset).sortWithinPartitions(dataset, at).mapInPandas(run, schema)
 
 
 def weak_labels(df: DataFrame, key: str, functions: Sequence[tuple[str, Column]], truth: str, version: str) -> tuple[DataFrame, DataFrame]:

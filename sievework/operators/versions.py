@@ -78,9 +78,25 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
         raise
 
 
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Takes a version by creating its mark; of several writers one succeeds, as
+    the file system creates a file without overwriting it in one step."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(path)
+    fs = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        fs.create(mark, False).close()
+    except Exception as exc:
+        if "already exists" in str(exc):
+            return False
+        raise
+    return True
+
+
 def commit_version(df: DataFrame, name: str, run_path: str, ledger: str, gate, committed_at: str) -> dict:
     """Writes to a run-scoped path, runs the gate on what was written, and only
-    then appends the ledger row. Same digest as current is a linked no-op."""
+    then claims the next free version and appends the ledger row. Same digest as
+    current is a linked no-op."""
     spark = df.sparkSession
     df.write.mode("errorifexists").parquet(run_path)
     back = spark.read.schema(df.schema).parquet(run_path)
@@ -93,6 +109,8 @@ def commit_version(df: DataFrame, name: str, run_path: str, ledger: str, gate, c
     if current and current[0]["digest"] == d["digest"]:
         return {"status": "no_op", "version": current[0]["version"], "path": current[0]["path"]}
     version = current[0]["version"] + 1 if current else 1
+    while not _claim(spark, f"{ledger}-claims/{name}/version={version}"):
+        version += 1
     row = [(name, version, run_path, d["digest"], d["rows"], committed_at, "commit")]
     spark.createDataFrame(row, LEDGER).coalesce(1).write.mode("append").parquet(ledger)
     return {"status": "committed", "version": version, "path": run_path}
@@ -171,28 +189,24 @@ def restore_check(backup: DataFrame, restored: DataFrame, key: Sequence[str], ev
 # --- manifests and lineage --------------------------------------------------
 
 
-def build_manifests(runs: DataFrame, artifacts: DataFrame, metrics: DataFrame, max_inline: int = 10_000) -> DataFrame:
-    """One nested record per run; a run with more artifacts than ``max_inline``
-    gets numbered parts, so no record grows without bound and none is dropped.
+def build_manifests(runs: DataFrame, artifacts: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One record per run, of one shape whatever the run's size: artifacts and
+    metrics stay in their tables and the record refers to them by count, least
+    output and an order-free digest of the run's rows there.
 
     runs(run_id, name, decision, started_at), artifacts(run_id, role, uri,
     checksum), metrics(run_id, metric, value)."""
-    n = artifacts.groupBy("run_id").agg(F.ceil(F.count(F.lit(1)) / max_inline).cast("int").alias("parts"))
-    arts = (
-        artifacts.join(n, "run_id")
-        .withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("uri"), F.col("parts"))).otherwise(0).cast("int"))
-        .groupBy("run_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("role", "uri", "checksum"))).alias("items"))
-        .select(
-            "run_id", "part",
-            F.filter("items", lambda x: x["role"] == "input").alias("inputs"),
-            F.filter("items", lambda x: x["role"] == "output").alias("outputs"),
-        )
+    kind = lambda role, c: F.when(F.col("role") == role, F.col(c))
+    arts = artifacts.groupBy("run_id").agg(
+        F.count(kind("input", "role")).alias("n_inputs"), F.count(kind("output", "role")).alias("n_outputs"),
+        F.min(kind("output", "uri")).alias("first_output"), F.bit_xor(F.xxhash64("role", "uri", "checksum")).alias("artifacts_digest"),
     )
-    mets = metrics.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    mets = metrics.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_metrics"), F.bit_xor(F.xxhash64("metric", "value")).alias("metrics_digest"))
+    zero = F.lit(0).cast("bigint")
+    counts = [F.coalesce(c, zero).alias(c) for c in ("n_inputs", "n_outputs", "n_metrics")]
     return (
         runs.join(arts, "run_id", "left").join(mets, "run_id", "left")
-        .select("run_id", F.coalesce("part", F.lit(0)).alias("part"), "name", "started_at", "decision", "inputs", "outputs", "metrics")
+        .select("run_id", "name", "started_at", "decision", *counts, "first_output", "artifacts_digest", "metrics_digest")
     )
 
 
@@ -243,13 +257,15 @@ def orphan_outputs(artifacts: DataFrame, runs: DataFrame, sources: DataFrame) ->
     return no_run.unionByName(no_producer)
 
 
-def unorderable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes on, or waiting for, a dependency cycle: what is left after taking
-    away nodes with no open dependency, round by round. edges(id, needs)."""
-    left = cut(edges.where("id <> needs").join(nodes.select(F.col("id").alias("needs")).distinct(), "needs", "left_semi").select("id", "needs").distinct())
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes on a dependency cycle, or on a way from one cycle to another: what is
+    left after taking away, from both sides at once, nodes that need nothing open
+    and nodes that nothing open needs. edges(id, needs)."""
+    left = cut(edges.where("id <> needs").select("id", "needs").distinct())
     count = left.count()
     while count:
-        left = cut(left.join(left.select(F.col("id").alias("needs")).distinct(), "needs", "left_semi").select("id", "needs"))
+        needed, needing = left.select(F.col("needs").alias("id")), left.select(F.col("id").alias("needs"))
+        left = cut(left.join(needing.distinct(), "needs", "left_semi").join(needed.distinct(), "id", "left_semi").select("id", "needs"))
         now = left.count()
         if now == count:
             break
@@ -258,20 +274,27 @@ def unorderable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def dependency_audit(nodes: DataFrame, edges: DataFrame, id_pattern: str) -> DataFrame:
-    """(rule, subject) findings. nodes(id, grp, number, route), edges(id, needs)."""
+    """(rule, subject) findings. nodes(id, grp, number, route), edges(id, needs).
+
+    A dependency on a route name is one on each of the route's members. A gap
+    finding names the group and the missing number, one row for each number."""
     find = lambda d, rule, c: d.select(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("subject"))
-    known = nodes.select(F.col("id").alias("needs"))
-    routes = nodes.where("route is not null").groupBy("route").agg(F.count(F.lit(1)).alias("n"))
-    known = known.union(routes.select("route"))
-    gaps = nodes.groupBy("grp").agg(F.max("number").alias("top"), F.count_distinct(F.when(F.col("number") >= 1, F.col("number"))).alias("n")).where("n < top")
+    ids = nodes.select(F.col("id").alias("needs")).distinct()
+    members = nodes.where("route is not null").select("route", F.col("id").alias("member")).distinct()
+    routes = members.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    whole = edges.join(ids, "needs", "left_semi").select("id", "needs").unionByName(
+        edges.join(members, F.col("needs") == F.col("route")).select("id", F.col("member").alias("needs"))
+    )
+    tops = nodes.groupBy("grp").agg(F.max("number").alias("top")).where("top >= 1")
+    every = tops.select("grp", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("top").cast("bigint"))).alias("number"))
+    missing = every.join(nodes.select("grp", F.col("number").cast("bigint").alias("number")).distinct(), ["grp", "number"], "left_anti")
     out = find(nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "duplicate_id", "id")
     out = out.unionByName(find(nodes.where(~F.col("id").rlike(id_pattern)), "malformed_id", "id"))
     out = out.unionByName(find(edges.where("id = needs"), "self_dependency", "id"))
-    out = out.unionByName(find(edges.join(known, "needs", "left_anti"), "unknown_dependency", "id"))
+    out = out.unionByName(find(edges.join(ids.union(routes.select("route")), "needs", "left_anti"), "unknown_dependency", "id"))
     out = out.unionByName(find(routes.where("n < 2"), "small_route_group", "route"))
-    out = out.unionByName(find(gaps, "numbering_gap", "grp"))
-    return out.unionByName(find(unorderable(edges, nodes), "cycle", "id"))
-
+    out = out.unionByName(missing.select(F.lit("numbering_gap").alias("rule"), F.concat_ws("/", "grp", "number").alias("subject")))
+    return out.unionByName(find(on_cycles(whole), "cycle", "id"))
 
 def catalog_search(assets: DataFrame, quality: DataFrame, lineage: DataFrame, text: str, owner: str | None = None) -> DataFrame:
     """Assets by name part and owner with newest quality status and lineage time."""

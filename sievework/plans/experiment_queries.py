@@ -168,11 +168,14 @@ def x12(spark, sf):
 
 @query(
     "X12_epsilon_ledger",
-    "SELECT user_id AS dataset, day, round(sum(e) OVER (PARTITION BY user_id ORDER BY day),9) AS spent, round(sum(e) OVER (PARTITION BY user_id ORDER BY day),9)>2 AS refused FROM (SELECT user_id, strftime(ts,'%Y-%m-%d') AS day, count(*)*0.05::DOUBLE AS e FROM events GROUP BY 1,2)",
+    """WITH RECURSIVE s AS (SELECT user_id AS dataset, strftime(ts,'%Y-%m-%d') AS day, count(*)*0.05::DOUBLE AS e, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts,'%Y-%m-%d')) AS i FROM events GROUP BY 1,2),
+ r AS (SELECT dataset, day, i, CASE WHEN round(e,9)>0.2 THEN 0 ELSE round(e,9) END AS spent, round(e,9)>0.2 AS refused FROM s WHERE i=1
+  UNION ALL SELECT s.dataset, s.day, s.i, CASE WHEN round(r.spent+e,9)>0.2 THEN r.spent ELSE round(r.spent+e,9) END, round(r.spent+e,9)>0.2 FROM r JOIN s ON s.dataset=r.dataset AND s.i=r.i+1)
+ SELECT dataset, day, spent, refused FROM r""",
 )
 def x12b(spark, sf):
     s = table(spark, sf, "events").groupBy(F.col("user_id").alias("dataset"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg((F.count(F.lit(1)) * 0.05).alias("eps"))
-    return X.epsilon_ledger(s, "dataset", "day", "eps", 2.0).drop("eps")
+    return X.epsilon_ledger(s, "dataset", "day", "eps", 0.2).drop("eps")
 
 
 def weak_functions():

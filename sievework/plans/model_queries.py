@@ -302,7 +302,7 @@ def m20(spark, sf):
 
 INTER_TRAIN = "inter AS (SELECT * FROM interactions WHERE \"at\" < DATE '1998-01-01' AND user_id%25<>0)"
 POP = """items AS (SELECT item_id, row_number() OVER (ORDER BY count(*) DESC, item_id) AS rank FROM inter GROUP BY 1), seen AS (SELECT DISTINCT user_id, item_id FROM inter),
- cand AS (SELECT c_custkey AS user_id, item_id, row_number() OVER (PARTITION BY c_custkey ORDER BY rank) AS pos FROM customer, (SELECT * FROM items WHERE rank <= 400) WHERE (c_custkey, item_id) NOT IN (SELECT (user_id, item_id) FROM seen)),
+ cand AS (SELECT c_custkey AS user_id, item_id, row_number() OVER (PARTITION BY c_custkey ORDER BY rank) AS pos FROM customer, items WHERE (c_custkey, item_id) NOT IN (SELECT (user_id, item_id) FROM seen)),
  recs AS (SELECT user_id, item_id, pos::INT AS pos FROM cand WHERE pos<=10)"""
 
 

@@ -25,7 +25,8 @@ def questions(spark, sf):
 
 
 def embed(df, key):
-    return R.hash_embed(df, key, "text", DIM, 100000).where("status = 'ok'").select(key, "vector")
+    """Vectors of all texts; the only texts without one are those without words."""
+    return R.hash_embed(df, key, "text", DIM, 2**31 - 1).where("status = 'ok'").select(key, "vector")
 
 
 def lexical(spark, sf, k=10):
@@ -342,14 +343,14 @@ def mentions(spark, sf):
     """E-mail addresses of documents, each also seen with one letter lost."""
     d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([a-z]+\.\d+@mail\d\.example\.com)"), F.lit(1)))).alias("mail"))
     name, host = F.regexp_extract("mail", r"^([a-z]+)\.", 1), F.regexp_extract("mail", r"@(.*)$", 1)
-    v = d.select("doc_id", "mail", F.inline(F.array(F.struct(F.lit(0).alias("v"), name.alias("name"), F.col("mail").alias("strong_id")), F.struct(F.lit(1).alias("v"), F.substring(name, 1, 40).alias("name"), F.lit(None).cast("string").alias("strong_id")))), host.alias("block"))
-    v = v.withColumn("name", F.when(F.col("v") == 1, F.concat(F.substring("name", 1, 3), F.substring("name", 5, 40))).otherwise(F.col("name")))
-    return v.select((F.col("doc_id") * 2 + F.col("v")).alias("mention_id"), "name", "block", "strong_id", F.col("mail").alias("true_entity"))
+    v = d.select("doc_id", "mail", F.inline(F.array(F.struct(F.lit(0).alias("v"), name.alias("name"), F.col("mail").alias("strong_id")), F.struct(F.lit(1).alias("v"), name.alias("name"), F.lit(None).cast("string").alias("strong_id")))), host.alias("block"))
+    v = v.withColumn("name", F.when(F.col("v") == 1, F.concat(F.substring("name", 1, 3), F.expr("substring(name, 5)"))).otherwise(F.col("name")))
+    return v.select(F.concat_ws("/", "doc_id", "mail", "v").alias("mention_id"), "name", "block", "strong_id", F.col("mail").alias("true_entity"))
 
 
 @query("R24_resolve_entities")
 def r24(spark, sf):
-    return G.resolve_entities(mentions(spark, sf).dropDuplicates(["mention_id"]), 0.25)
+    return G.resolve_entities(mentions(spark, sf), 0.25)
 
 
 @query(

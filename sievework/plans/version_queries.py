@@ -101,7 +101,7 @@ def v6(spark, sf):
 @query(
     "V7_build_manifests",
     """WITH a AS (SELECT l_orderkey AS run_id, CASE WHEN l_linenumber=1 THEN 'input' ELSE 'output' END AS role, 'p/'||l_partkey||'/'||l_linenumber||'/'||l_suppkey AS uri FROM lineitem)
- SELECT o_orderkey AS run_id, CASE WHEN o_totalprice>=100000 THEN 'allow' ELSE 'deny' END AS decision, count(*) FILTER (role='input')::INT AS n_inputs, count(*) FILTER (role='output')::INT AS n_outputs,
+ SELECT o_orderkey AS run_id, CASE WHEN o_totalprice>=100000 THEN 'allow' ELSE 'deny' END AS decision, count(*) FILTER (role='input') AS n_inputs, count(*) FILTER (role='output') AS n_outputs,
  min(uri) FILTER (role='output') AS first_output, any_value(o_totalprice) AS total FROM orders LEFT JOIN a ON o_orderkey=run_id GROUP BY 1,2""",
 )
 def v7(spark, sf):
@@ -115,12 +115,8 @@ def v7(spark, sf):
         F.concat_ws("/", F.lit("p"), "l_partkey", "l_linenumber", "l_suppkey").alias("uri"), F.md5(F.col("l_partkey").cast("string")).alias("checksum"),
     )
     mets = o.select(F.col("o_orderkey").alias("run_id"), F.lit("total").alias("metric"), F.col("o_totalprice").alias("value"))
-    m = V.build_manifests(runs, arts, mets)
-    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
-    return m.select(
-        "run_id", "decision", n("inputs").alias("n_inputs"), n("outputs").alias("n_outputs"),
-        F.array_min(F.transform("outputs", lambda x: x["uri"])).alias("first_output"), F.col("metrics")["total"].alias("total"),
-    )
+    m = V.build_manifests(runs, arts, mets).join(mets.select("run_id", F.col("value").alias("total")), "run_id", "left")
+    return m.select("run_id", "decision", "n_inputs", "n_outputs", "first_output", "total")
 
 
 @query(
@@ -183,9 +179,10 @@ def v10(spark, sf):
     "V11_dependency_audit",
     """WITH RECURSIVE nodes AS (SELECT CASE WHEN o_orderkey%701=5 THEN 'N'||(o_orderkey-1) WHEN o_orderkey%809=3 THEN 'bad '||o_orderkey ELSE 'N'||o_orderkey END AS id, o_custkey%50 AS grp, o_orderkey//50+1 AS number,
   CASE WHEN o_orderkey%10=0 THEN 'choose:'||(o_orderkey//25) END AS route, o_orderkey AS k FROM orders),
- edges AS (SELECT 'N'||o_orderkey AS id, CASE WHEN o_orderkey%997=1 THEN 'N-'||o_orderkey ELSE 'N'||(o_orderkey//10) END AS needs FROM orders UNION ALL SELECT 'N'||(o_orderkey//10), 'N'||o_orderkey FROM orders WHERE o_orderkey%1000=117),
+ edges AS (SELECT 'N'||o_orderkey AS id, CASE WHEN o_orderkey%997=1 THEN 'N-'||o_orderkey ELSE 'N'||(o_orderkey//10) END AS needs FROM orders UNION ALL SELECT 'N'||(o_orderkey//10), 'N'||o_orderkey FROM orders WHERE o_orderkey%1000=117
+  UNION ALL SELECT 'N'||o_orderkey, 'choose:'||(o_orderkey*10//25) FROM orders WHERE o_orderkey%1000=214),
  rc AS (SELECT route, count(*) AS n FROM nodes WHERE route IS NOT NULL GROUP BY 1),
- ee AS (SELECT DISTINCT id, needs FROM edges WHERE id<>needs AND needs IN (SELECT id FROM nodes)),
+ ee AS (SELECT DISTINCT id, needs FROM (SELECT id, needs FROM edges WHERE needs IN (SELECT id FROM nodes) UNION ALL SELECT e.id, n.id FROM edges e JOIN nodes n ON n.route=e.needs) WHERE id<>needs),
  cl AS (SELECT id AS a, needs AS b FROM ee UNION SELECT a, needs FROM cl JOIN ee ON b=id),
  cyc AS (SELECT a FROM cl WHERE a=b)
  SELECT 'duplicate_id' AS rule, id AS subject FROM nodes GROUP BY id HAVING count(*)>1
@@ -193,8 +190,8 @@ def v10(spark, sf):
  UNION ALL SELECT 'self_dependency', id FROM edges WHERE id=needs
  UNION ALL SELECT 'unknown_dependency', id FROM edges WHERE needs NOT IN (SELECT id FROM nodes UNION SELECT route FROM rc)
  UNION ALL SELECT 'small_route_group', route FROM rc WHERE n<2
- UNION ALL SELECT 'numbering_gap', grp::VARCHAR FROM nodes GROUP BY grp HAVING count(DISTINCT number) < max(number)
- UNION ALL SELECT DISTINCT 'cycle', a FROM cl WHERE b IN (SELECT a FROM cyc)""",
+ UNION ALL SELECT 'numbering_gap', g.grp||'/'||g.i FROM (SELECT grp, unnest(generate_series(1, max(number))) AS i FROM nodes GROUP BY grp) g WHERE (g.grp, g.i) NOT IN (SELECT (grp, number) FROM nodes)
+ UNION ALL SELECT DISTINCT 'cycle', a FROM cyc""",
 )
 def v11(spark, sf):
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
@@ -207,7 +204,7 @@ def v11(spark, sf):
     )
     edges = o.select(text("N", k).alias("id"), F.when(k % 997 == 1, text("N-", k)).otherwise(text("N", tenth)).alias("needs")).union(
         o.where("o_orderkey % 1000 = 117").select(text("N", tenth), text("N", k))
-    )
+    ).union(o.where("o_orderkey % 1000 = 214").select(text("N", k), text("choose:", F.floor(k * 10 / 25).cast("bigint"))))
     return V.dependency_audit(nodes, edges, "^N[0-9]+$")
 
 

@@ -19,6 +19,7 @@ def build_session(cores: str = "8", app: str = "sievework") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.icu.caseMappings.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -29,10 +30,13 @@ def build_session(cores: str = "8", app: str = "sievework") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder. Only a local session without one gets a
+    temporary folder; a cluster without one is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named is None and current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="sievework-")
     if current is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -55,15 +59,6 @@ def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, spread over the cores where its scan would leave them idle.
-
-    A file with one row group is one task whatever its size. A table of many
-    files or row groups has more scan tasks than cores and is left as it is."""
-    df = raw_table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    if name in WIDE_TABLES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-WIDE_TABLES = ("documents", "pages", "conversations", "lineitem", "events")
+    """A given table as its files are; how many tasks read it is a matter of row
+    groups and ``spark.sql.files.maxPartitionBytes``."""
+    return raw_table(spark, sf_dir, name)

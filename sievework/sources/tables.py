@@ -83,7 +83,7 @@ def list_source_files(
     rel = F.when(inside, F.substring(rel, len(root_text) + 1, 1 << 20))
     allowed = F.lit(False)
     for p in allow_prefixes:
-        allowed = allowed | rel.startswith(p)
+        allowed = allowed | (rel == p.rstrip("/")) | rel.startswith(p.rstrip("/") + "/")
     status = (
         F.when(~inside | F.concat(F.lit("/"), rel, F.lit("/")).contains("/../"), "outside_root")
         .when(~allowed, "not_allowed")
@@ -91,10 +91,14 @@ def list_source_files(
         .otherwise("listed")
     )
     meta = meta.select("path", rel.alias("rel_path"), "length", "modificationTime", status.alias("status"))
-    body = base.load(root).where(F.col("length") <= max_bytes).select("path", F.sha2("content", 256).alias("sha256"))
-    return meta.where("status = 'listed'").join(body, "path").unionByName(
-        meta.where("status <> 'listed'").withColumn("sha256", F.lit(None).cast("string"))
-    )
+    none = meta.where("status <> 'listed'").withColumn("sha256", F.lit(None).cast("string"))
+    listed = meta.where("status = 'listed'")
+    # Content is loaded from allowed prefixes that hold a listed file and from nowhere else.
+    roots = [p for p in allow_prefixes if not listed.where((F.col("rel_path") == p.rstrip("/")) | F.col("rel_path").startswith(p.rstrip("/") + "/")).isEmpty()]
+    if not roots:
+        return none
+    body = base.load([f"{root.rstrip('/')}/{p.strip('/')}" for p in roots]).where(F.col("length") <= max_bytes)
+    return listed.join(body.select("path", F.sha2("content", 256).alias("sha256")).distinct(), "path").unionByName(none)
 
 
 def source_changes(prev: DataFrame, cur: DataFrame, key: str, checksum: str) -> DataFrame:
