@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sievework.functions.columns import h32, normal, ratio
 from sievework.functions.graphs import components
-from sievework.functions.links import leader_links
+from sievework.functions.links import complete_links, edit_keys
 from sievework.functions.scan import number_rows, running
 from sievework.operators.versions import diff_rows
 from sievework.session import cut
@@ -128,8 +128,9 @@ def resolve_entities(mentions: DataFrame, max_distance: float) -> DataFrame:
     """(mention_id, entity, evidence, confidence).
 
     mentions(mention_id, name, block, strong_id). Equal strong ids are one
-    entity. A weak name joins the least leader of its block within the edit
-    distance. Where weak links would chain two strong identities together, both
+    entity, settled by equality. Names of one block within the edit distance
+    (a share of the longer name, below 0.5) are linked, unless their strong ids
+    differ; candidates share a piece of the name (``edit_keys``). Where weak links would chain two strong identities together, both
     stay apart and the weak names form their own low-confidence entity."""
     m = mentions.select("mention_id", "name", "block", "strong_id")
     reps = m.groupBy("name", "block", "strong_id").agg(F.min("mention_id").alias("id"))
@@ -143,7 +144,8 @@ def resolve_entities(mentions: DataFrame, max_distance: float) -> DataFrame:
         clash = a["strong_id"].isNotNull() & b["strong_id"].isNotNull() & (a["strong_id"] != b["strong_id"])
         return (far <= max_distance) & ~clash
 
-    weak = leader_links(rep.select("block", "id"), rep.select("id", F.struct("name", "strong_id").alias("payload")), close)
+    keys = rep.where("block is not null and name is not null").select("id", F.col("block").alias("_b"), F.explode(edit_keys(F.col("name"), max_distance)).alias("_k"))
+    weak = complete_links(keys.select(F.concat_ws("|", "_b", "_k").alias("block"), "id"), rep.select("id", F.struct("name", "strong_id").alias("payload")), close)
     comp = components(links.unionByName(weak), "leader", "member")
     tagged = cut(same.join(comp, same["id"] == comp["node"], "left").select("mention_id", "strong_id", F.coalesce("component", "id").alias("component")))
     ids = tagged.groupBy("component").agg(F.count_distinct("strong_id").alias("_ids"))

@@ -5,15 +5,14 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from sievework.functions.columns import h32, let, ratio, reasons, words
 from sievework.functions.graphs import components
-from sievework.functions.links import leader_links
+from sievework.functions.links import complete_links, rare_blocks
 from sievework.functions.scan import previous, running
 from sievework.operators.versions import digest_columns
 from sievework.session import cut
@@ -137,51 +136,23 @@ def shingle_hashes(text: Column, n: int) -> Column:
     return let(words(squeeze(text)), build)
 
 
-def minhash_bands(k: int, bands: int, seed: int):
-    """Arrow UDF: hash array to one key per band (k / bands minima each)."""
-    rng = np.random.default_rng(seed)
-    a = rng.integers(1, 2**63, size=k, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 2**63, size=k, dtype=np.uint64)
-
-    @pandas_udf(ArrayType(StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        def one(h):
-            if h is None or len(h) == 0:
-                return []
-            x = np.asarray(h, dtype=np.int64).view(np.uint64)
-            low = np.full(k, np.iinfo(np.uint64).max, dtype=np.uint64)
-            for at in range(0, x.size, 4096):
-                with np.errstate(over="ignore"):
-                    y = x[None, at : at + 4096] * a[:, None] + b[:, None]
-                    y ^= y >> np.uint64(29)
-                low = np.minimum(low, y.min(axis=1))
-            return [f"{i}:{part.tobytes().hex()}" for i, part in enumerate(low.reshape(bands, -1))]
-
-        return s.map(one)
-
-    # marked so that the optimizer does not copy the call into inferred filters
-    return run.asNondeterministic()
-
-
 def jaccard(a: Column, b: Column) -> Column:
     i = F.size(F.array_intersect(a, b))
     return i / (F.size(a) + F.size(b) - i)
 
 
-def dedup_near(df: DataFrame, key: str, text: str, n: int = 5, k: int = 96, bands: int = 16, threshold: float = 0.8, seed: int = 7) -> DataFrame:
-    """(key, canonical): word shingles, MinHash bands, exact Jaccard, components.
+def dedup_near(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(key, canonical): components of all pairs of texts whose word shingles have
+    a Jaccard similarity of ``threshold`` or more; canonical is the least key.
 
-    Texts with one shingle set collapse first. Inside a band bucket every text
-    is compared with leaders only (see ``leader_links``), so a bucket holding a
-    third of the corpus costs one comparison per text, and none is skipped."""
+    Texts with one shingle set collapse first. Candidates share a rare shingle
+    (``rare_blocks``), which is exact; links are verified on the whole sets."""
     docs = df.select(F.col(key).cast("bigint").alias("id"), shingle_hashes(F.col(text), n).alias("payload"))
     docs = docs.withColumn("_set", F.md5(F.array_join("payload", ",")))
     reps = docs.groupBy("_set").agg(F.min("id").alias("rep"))
     same = cut(docs.select("id", "_set").join(reps, "_set").select("id", "rep"))
     items = cut(docs.join(reps, (docs["_set"] == reps["_set"]) & (docs["id"] == reps["rep"])).select("id", "payload"))
-    members = items.select("id", F.explode(minhash_bands(k, bands, seed)("payload")).alias("block"))
-    shared = members.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("block")
-    links = leader_links(members.join(shared, "block", "left_semi"), items, lambda a, b: jaccard(a, b) >= threshold)
+    links = complete_links(rare_blocks(items, threshold), items, lambda a, b: jaccard(a, b) >= threshold)
     comp = components(links, "leader", "member")
     return same.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         F.col("id").alias(key), F.coalesce("component", "rep").alias("canonical")

@@ -348,7 +348,21 @@ def mentions(spark, sf):
     return v.select(F.concat_ws("/", "doc_id", "mail", "v").alias("mention_id"), "name", "block", "strong_id", F.col("mail").alias("true_entity"))
 
 
-@query("R24_resolve_entities")
+@query(
+    "R24_resolve_entities",
+    r"""WITH RECURSIVE e AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text,'([a-z]+\.\d+@mail\d\.example\.com)'))) AS mail FROM documents),
+ p AS (SELECT *, regexp_extract(mail,'^([a-z]+)\.',1) AS name, regexp_extract(mail,'@(.*)$',1) AS block FROM e),
+ m AS (SELECT doc_id||'/'||mail||'/0' AS mention_id, name, block, mail AS strong_id FROM p UNION ALL SELECT doc_id||'/'||mail||'/1', substr(name,1,3)||substr(name,5), block, NULL FROM p),
+ r AS (SELECT min(mention_id) AS id, name, block, strong_id FROM m GROUP BY ALL),
+ l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id<>b.id AND (a.strong_id=b.strong_id OR (a.block=b.block AND (a.strong_id=b.strong_id OR a.strong_id IS NULL OR b.strong_id IS NULL)
+  AND levenshtein(a.name,b.name)/greatest(len(a.name),len(b.name),1)::DOUBLE <= 0.25))),
+ c(id, other) AS (SELECT id, id FROM r UNION SELECT c.id, l.b FROM c JOIN l ON c.other=l.a), k AS (SELECT id, min(other) AS comp FROM c GROUP BY 1),
+ t AS (SELECT mention_id, m.strong_id, comp FROM m JOIN r ON m.name=r.name AND m.block=r.block AND m.strong_id IS NOT DISTINCT FROM r.strong_id JOIN k USING (id)),
+ n AS (SELECT comp, count(DISTINCT strong_id) AS ids FROM t GROUP BY 1)
+ SELECT mention_id, CASE WHEN ids>1 AND strong_id IS NOT NULL THEN 's:'||strong_id WHEN ids>1 THEN 'w:'||comp ELSE 'c:'||comp END AS entity,
+  CASE WHEN strong_id IS NOT NULL THEN 'strong_id' WHEN ids>1 THEN 'ambiguous_name' ELSE 'name' END AS evidence,
+  CASE WHEN strong_id IS NOT NULL THEN 1.0 WHEN ids>1 THEN 0.3 ELSE 0.8 END::DOUBLE AS confidence FROM t JOIN n USING (comp)""",
+)
 def r24(spark, sf):
     return G.resolve_entities(mentions(spark, sf), 0.25)
 

@@ -57,7 +57,15 @@ def t4(spark, sf):
     return T.dedup_exact(docs(spark, sf), "doc_id", "text")[1]
 
 
-@query("T5_dedup_near")
+@query(
+    "T5_dedup_near",
+    f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS('text')} AS w FROM documents), s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4],' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1,greatest(1,len(w)-4))) AS i FROM w WHERE len(w)>0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) GROUP BY ALL),
+ l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id=a JOIN n y ON y.doc_id=b WHERE a<>b AND c/(x.n+y.n-c)::DOUBLE >= 0.8
+  UNION SELECT a.doc_id, b.doc_id FROM w a JOIN w b ON len(a.w)=0 AND len(b.w)=0),
+ r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other=l.a)
+ SELECT doc_id, min(other) AS canonical FROM r GROUP BY 1""",
+)
 def t5(spark, sf):
     return T.dedup_near(docs(spark, sf), "doc_id", "text")
 
