@@ -75,7 +75,19 @@ def r2(spark, sf):
     return R.dense_topk(*vectors(spark, sf), 10)
 
 
-@query("R3_ann_topk")
+def _bucket(v: str) -> str:
+    """The plane bucket of a vector as DuckDB text; planes as literals."""
+    bits = [f"(list_inner_product({v}, {[float(x) for x in plane]}::DOUBLE[])>0)::INT*{1 << j}" for j, plane in enumerate(R._planes(64, 3, 11))]
+    return "+".join(bits)
+
+
+@query(
+    "R3_ann_topk",
+    f"""WITH {DENSE_SQL}, b AS (SELECT vec_id, embedding, {_bucket('embedding::DOUBLE[]')} AS k FROM embeddings),
+ near AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id FROM b q JOIN b i ON q.vec_id%25=0 AND i.vec_id%25<>0 AND bit_count(xor(q.k,i.k))<=1
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS},6) DESC, i.vec_id)<=10)
+ SELECT query_id, round(count(n.item_id)/count(*)::DOUBLE,6) AS recall FROM exact LEFT JOIN near n USING (query_id, item_id) GROUP BY 1""",
+)
 def r3(spark, sf):
     q, i = vectors(spark, sf)
     return R.recall_against(R.ann_topk(q, i, 10, 64, 3, 11), R.dense_topk(q, i, 10))
@@ -145,7 +157,15 @@ def r8(spark, sf):
     return R.rerank(f, feats, {"overlap": 0.8, "closeness": 0.2}, 8)
 
 
-@query("R9_late_interaction")
+@query(
+    "R9_late_interaction",
+    f"""WITH {LEX}, c AS (SELECT query_id, item_id FROM lexi WHERE rank<=5), q AS (SELECT item_id AS query_id, i, w[i] AS t FROM (SELECT item_id, w, unnest(generate_series(1,len(w))) AS i FROM (SELECT item_id, {WORDS('text')} AS w FROM benchmark))),
+ d AS (SELECT DISTINCT item_id, unnest(w) AS t FROM ld SEMI JOIN c USING (item_id)), u AS (SELECT t, list_transform(generate_series(0,15), lambda i: ('0x'||substr(md5(t),(2*i+1)::INT,2))::INT-127.5::DOUBLE) AS v FROM (SELECT t FROM q UNION SELECT t FROM d)),
+ x AS MATERIALIZED (SELECT t, list_transform(v, lambda y: y/sqrt(list_inner_product(v,v))) AS v FROM u),
+ best AS (SELECT c.query_id, c.item_id, q.i, max(list_inner_product(a.v,b.v)) AS s FROM c JOIN q USING (query_id) JOIN d USING (item_id) JOIN x a ON a.t=q.t JOIN x b ON b.t=d.t GROUP BY 1,2,3),
+ z AS (SELECT query_id, item_id, round(sum(s),6) AS score FROM best GROUP BY 1,2), n AS (SELECT item_id, count(*)::INT AS item_vectors FROM d GROUP BY 1)
+ SELECT query_id, item_id, score, item_vectors, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id))::INT AS rank FROM z JOIN n USING (item_id)""",
+)
 def r9(spark, sf):
     return R.late_interaction(lexical(spark, sf, 5).select("query_id", "item_id"), questions(spark, sf), items(spark, sf))
 

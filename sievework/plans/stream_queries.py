@@ -221,7 +221,15 @@ def e12(spark, sf):
     return E.page_hinkley(e, "key", ["ts", "event_id"], "value", 0.5, 100.0).select("key", "event_id", F.round("ph", 4).alias("ph"))
 
 
-@query("E12_drift_detector_stream")
+@query(
+    "E12_drift_detector_stream",
+    """WITH RECURSIVE e AS (SELECT user_id%5 AS key, event_id, value, row_number() OVER (PARTITION BY user_id%5 ORDER BY ts, event_id) AS i FROM events),
+ r AS (SELECT key, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0::BIGINT AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS m, 0.0::DOUBLE AS low, NULL::DOUBLE AS ph FROM e GROUP BY key
+  UNION ALL SELECT key, i, event_id, CASE WHEN hit THEN 0 ELSE n END, CASE WHEN hit THEN 0 ELSE mean END, CASE WHEN hit THEN 0 ELSE m END, CASE WHEN hit THEN 0 ELSE low END, CASE WHEN hit THEN m-low END
+  FROM (SELECT *, m-low > 100.0::DOUBLE AS hit FROM (SELECT key, i, event_id, n, mean, m, CASE WHEN n>1 THEN least(low,m) ELSE m END AS low
+   FROM (SELECT key, i, event_id, n, mean, m+value-mean-0.5::DOUBLE AS m, low FROM (SELECT e.key, e.i, e.event_id, e.value, r.n+1 AS n, r.mean+(e.value-r.mean)/(r.n+1) AS mean, r.m, r.low FROM r JOIN e ON e.key=r.key AND e.i=r.i+1)))))
+ SELECT key, event_id, round(ph,6) AS ph, 'm1' AS model_version FROM r WHERE ph IS NOT NULL""",
+)
 def e12s(spark, sf):
     out = scratch_path(spark, "alarms")
     src = events(spark, sf).select((F.col("user_id") % 5).alias("key"), "event_id", "ts", "value")
@@ -248,7 +256,17 @@ def e14(spark, sf):
     return policies(spark, sf).where("policy <> 'drift'")
 
 
-@query("E14_drift_policy")
+@query(
+    "E14_drift_policy",
+    """WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY dn) AS i FROM (SELECT user_id AS key, day(ts) AS dn, count(*) AS n, sum(value) AS t FROM events GROUP BY 1,2)),
+ r AS (SELECT DISTINCT key, 0::BIGINT AS i, 0::BIGINT AS dn, 0::BIGINT AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS m, 0.0::DOUBLE AS low, -1::BIGINT AS cut FROM d
+  UNION ALL SELECT key, i, dn, CASE WHEN hit THEN 0 ELSE n END, CASE WHEN hit THEN 0 ELSE mean END, CASE WHEN hit THEN 0 ELSE m END, CASE WHEN hit THEN 0 ELSE low END, CASE WHEN hit THEN dn ELSE cut END
+  FROM (SELECT *, m-low > 20.0::DOUBLE AS hit FROM (SELECT key, i, dn, n, mean, m, CASE WHEN n=1 THEN m ELSE least(low,m) END AS low, cut
+   FROM (SELECT key, i, dn, n, mean, m+v-mean-0.5::DOUBLE AS m, low, cut FROM (SELECT d.key, d.i, d.dn, d.t/d.n AS v, r.n+1 AS n, r.mean+(d.t/d.n-r.mean)/(r.n+1) AS mean, r.m, r.low, r.cut FROM r JOIN d ON d.key=r.key AND d.i=r.i+1))))),
+ k AS (SELECT a.key, a.dn, a.t/a.n AS y, max(r.i) AS i FROM d a JOIN r ON r.key=a.key AND r.i>0 AND r.dn<=a.dn-2 GROUP BY ALL),
+ x AS (SELECT k.key, k.dn, any_value(y) AS y, sum(b.t)/sum(b.n) AS f FROM k JOIN r ON r.key=k.key AND r.i=k.i JOIN d b ON b.key=k.key AND b.dn<=k.dn-2 AND b.dn>=r.cut GROUP BY 1,2)
+ SELECT key, 'drift' AS policy, count(*) AS days, round(avg(abs(f-y)),6) AS mae FROM x GROUP BY 1""",
+)
 def e14b(spark, sf):
     return policies(spark, sf).where("policy = 'drift'")
 

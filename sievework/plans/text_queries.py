@@ -97,7 +97,28 @@ def t7(spark, sf):
     return T.contamination(docs(spark, sf), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text", 8)[0]
 
 
-@query("T8_train_bpe")
+def bpe_steps(where: str, merges: int) -> str:
+    """CTEs p0, p1, ..: the merges of a vocabulary, each symbol between chr(1) and
+    chr(2) so that replacing one pair never touches the next."""
+    a, z = "chr(1)", "chr(2)"
+    out = [f"v0 AS MATERIALIZED (SELECT regexp_replace(word,'(.)',{a}||'\\1'||{z},'gs') AS s, count(*) AS n FROM (SELECT unnest({WORDS('text')}) AS word FROM documents WHERE {where}) GROUP BY 1)"]
+    for k in range(merges):
+        sym = f"string_split(substr(s,2,length(s)-2),{z}||{a})"
+        out.append(
+            f"p{k} AS MATERIALIZED (SELECT z[1] AS l, z[2] AS r, sum(n)::BIGINT AS c FROM (SELECT n, unnest(list_zip(y[:len(y)-1],y[2:])) AS z FROM (SELECT n, {sym} AS y FROM v{k}) WHERE len(y)>1) GROUP BY 1,2 ORDER BY c DESC, 1, 2 LIMIT 1)"
+        )
+        out.append(f"v{k + 1} AS MATERIALIZED (SELECT {bpe_merge('s', f'p{k}')} AS s, n FROM v{k}, p{k})")
+    return ", ".join(out)
+
+
+def bpe_merge(s: str, p: str) -> str:
+    return f"replace({s}, chr(1)||{p}.l||chr(2)||chr(1)||{p}.r||chr(2), chr(1)||{p}.l||{p}.r||chr(2))"
+
+
+BPE16 = bpe_steps("doc_id%10<>0", 16)
+
+
+@query("T8_train_bpe", f"WITH {BPE16} " + " UNION ALL ".join(f"SELECT {k}::INT AS step, l AS \"left\", r AS \"right\", c AS n FROM p{k}" for k in range(16)))
 def t8(spark, sf):
     merges = B.train_bpe(docs(spark, sf).where("doc_id % 10 <> 0"), "text", 16)
     rows = [(i, a, b, c) for i, (a, b, c) in enumerate(merges)]
@@ -113,7 +134,14 @@ def t8b(spark, sf):
     return spark.createDataFrame(B.train_bpe(docs(spark, sf), "text", 1), "left string, right string, n bigint")
 
 
-@query("T9_encode_fertility")
+@query(
+    "T9_encode_fertility",
+    f"WITH {BPE16}, e0 AS (SELECT lang, word, regexp_replace(word,'(.)',chr(1)||'\\1'||chr(2),'gs') AS s, n FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({WORDS('text')}) AS word FROM documents WHERE doc_id%10=0) GROUP BY 1,2)), "
+    + ", ".join(f"e{k + 1} AS (SELECT lang, word, {bpe_merge('s', f'p{k}')} AS s, n FROM e{k}, p{k})" for k in range(16))
+    + """, f AS (SELECT lang, word, n, string_split(substr(s,2,length(s)-2),chr(2)||chr(1)) AS y FROM e16)
+ SELECT lang, sum(n)::BIGINT AS words, round(sum(n*len(y))/sum(n)::DOUBLE,6) AS pieces_per_word, round(sum(n*length(word))/sum(n)::DOUBLE,6) AS chars_per_word,
+ round(sum(n*len(list_filter(y, lambda x: length(x)=1)))/sum(n*len(y))::DOUBLE,6) AS single_char_share, count(*) FILTER (array_to_string(y,'')<>word) AS broken_words FROM f GROUP BY 1""",
+)
 def t9(spark, sf):
     d = docs(spark, sf)
     merges = [(a, b) for a, b, _ in B.train_bpe(d.where("doc_id % 10 <> 0"), "text", 16)]
