@@ -57,7 +57,7 @@ def test_weak_names_do_not_merge_strong_identities(spark):
     m = [(1, "jonathan", "b", "s1"), (2, "jonathan", "b", "s2"), (3, "jonathon", "b", None), (4, "maria", "b", "s3"), (5, "marla", "b", None), (6, "jonathan", "c", "s1")]
     out = {r.mention_id: r.entity for r in G.resolve_entities(spark.createDataFrame(m, "mention_id long, name string, block string, strong_id string"), 0.25).collect()}
     assert out[1] == out[6] != out[2]
-    assert out[3] == out[1]  # the least accepting leader, never both
+    assert out[3] not in (out[1], out[2])  # near both: neither, and apart
     assert out[4] == out[5]
 
 
