@@ -94,43 +94,48 @@ def number_rows(df: DataFrame, order: Sequence[str], block: Column, name: str =
     return running(df, [], order, block, **{name: ("count", F.lit(1).cast("bigint"))})
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], blocks: int = 1024
-) -> DataFrame:
-    """Exact interpolated quantiles per key, for keys of any size.
-
-    Each key's value range is cut into equal blocks and only block totals are
-    shuffled. The blocks that hold a wanted rank are then read again and sorted,
-    so a quantile of a huge key moves about 1 / blocks of its rows."""
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Exact interpolated quantiles per key, for keys of any size and any tail.
+
+    A mergeable sketch gives, for each probability, two values of the key that
+    bracket the wanted rank (its rank error is at most n / accuracy). One more
+    scan counts the rows below each bracket and the values inside, so only about
+    6 n / accuracy values of a key reach its window, whatever their spread; equal
+    values are counted before the shuffle."""
     keys = list(keys)
     part = keys or ["_all"]
     src = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
     if not keys:
         src = src.withColumn("_all", F.lit(0))
-    span = src.groupBy(*part).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.count(F.lit(1)).alias("_n"))
-    width = F.when(F.col("_b") > F.col("_a"), (F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(0.0)
-    placed = src.join(span, part).withColumn("_blk", F.floor(width * (blocks - 1)).cast("int"))
-    totals = placed.groupBy(*part, "_blk").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    before = F.sum("_c").over(Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.withColumn("_before", F.coalesce(before, F.lit(0)))
-    ranks = {n: F.lit(float(p)) * (F.col("_n") - 1) for n, p in probs.items()}
-    wanted = [i for r in ranks.values() for i in (F.floor(r), F.ceil(r))]
-    inside = F.lit(False)
-    for i in wanted:
-        inside = inside | ((F.col("_before") <= i) & (F.col("_before") + F.col("_c") > i))
-    hot = totals.where(inside).select(*part, "_blk", "_before")
-    rows = placed.select(*part, "_blk", "_v", "_n").join(hot, [*part, "_blk"])
-    rows = rows.groupBy(*part, "_blk", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"), F.first("_before").alias("_before"))
-    local = Window.partitionBy(*part, "_blk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_cum", F.col("_before") + F.sum("_c").over(local))
+    wide = 3.0 / accuracy
+    names = list(probs)
+    asked = [x for n in names for x in (max(0.0, probs[n] - wide), min(1.0, probs[n] + wide))]
+    bounds = src.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", asked, accuracy).alias("_q"))
+    low = {n: F.col("_q")[2 * i] for i, n in enumerate(names)}
+    high = {n: F.col("_q")[2 * i + 1] for i, n in enumerate(names)}
+    inside = {n: F.col("_v").between(low[n], high[n]) for n in names}
+    any_ = F.lit(False)
+    for n in names:
+        any_ = any_ | inside[n]
+    # A few values may round the bracket off by one rank, so its neighbours come along.
+    below = [F.count_if(F.col("_v") < low[n]).alias(f"_b_{n}") for n in names]
+    below += [F.max(F.when(F.col("_v") < low[n], F.col("_v"))).alias(f"_p_{n}") for n in names]
+    below += [F.min(F.when(F.col("_v") > high[n], F.col("_v"))).alias(f"_s_{n}") for n in names]
+    placed = src.join(bounds, part)
+    rows = placed.groupBy(*part, F.when(any_, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"), F.first("_q").alias("_q"), *below)
+    whole, upto = Window.partitionBy(*part), Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_t_{n}": F.sum(f"_b_{n}").over(whole) + F.coalesce(F.sum(F.when(inside[n], F.col("_c"))).over(upto), F.lit(0)) for n in names})
     picks = []
-    for name, r in ranks.items():
-        for tag, idx in (("lo", F.floor(r)), ("hi", F.ceil(r))):
-            hit = (F.col("_cum") > idx) & (F.col("_cum") - F.col("_c") <= idx)
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{name}_{tag}"))
+    for n in names:
+        rank = F.lit(float(probs[n])) * (F.col("_n") - 1)
+        for tag, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+            hit = inside[n] & (F.col(f"_t_{n}") > at) & (F.col(f"_t_{n}") - F.col("_c") <= at)
+            beside = F.max(f"_p_{n}") if tag == "lo" else F.min(f"_s_{n}")
+            picks.append(F.coalesce(F.max(F.when(hit, F.col("_v"))), beside).alias(f"_{n}_{tag}"))
     agg = rows.groupBy(*part).agg(F.max("_n").alias("_n"), *picks)
     out = []
-    for name, r in ranks.items():
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * (r - F.floor(r))).alias(name))
+    for n in names:
+        rank = F.lit(float(probs[n])) * (F.col("_n") - 1)
+        lo, hi = F.col(f"_{n}_lo"), F.col(f"_{n}_hi")
+        out.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(n))
     return agg.select(*keys, *out)

@@ -31,7 +31,7 @@ def service_sli(requests: DataFrame, window_seconds: int, capacity_per_second: f
     keys = ["service", "window_start"]
     if not exact:
         return src.groupBy(*keys).agg(*aggs, *[F.percentile_approx("latency_ms", p, 10000).alias(k) for k, p in PCTS.items()])
-    q = exact_quantiles(src, keys, "latency_ms", PCTS, blocks=64)
+    q = exact_quantiles(src, keys, "latency_ms", PCTS)
     return src.groupBy(*keys).agg(*aggs).join(q.select(*keys, *[F.round(k, 6).alias(k) for k in PCTS]), keys)
 
 
@@ -169,7 +169,7 @@ def load_report(samples: DataFrame, warmup_s: float, max_error: float, max_p95:
 
     samples(step, since_start_s, ok, correct, latency_ms, duration_s)."""
     warm = samples.where(F.col("since_start_s") >= warmup_s)
-    q = exact_quantiles(warm, ["step"], "latency_ms", PCTS, blocks=128)
+    q = exact_quantiles(warm, ["step"], "latency_ms", PCTS)
     n = F.count(F.lit(1))
     s = warm.groupBy("step").agg(
         n.alias("n"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("correctness"), F.round(1 - F.avg(F.col("ok").cast("double")), 6).alias("error_rate"),

@@ -205,7 +205,8 @@ def pack_sequences(df: DataFrame, key: str, tokens: Column, length: int, shards:
     """Spans (shard, seq, key, from, to) of each document in fixed-length
     sequences; documents follow key order inside a hash shard."""
     d = df.select(key, tokens.cast("bigint").alias("_n")).where("_n > 0").withColumn("shard", F.pmod(h32(F.lit("shard|"), F.col(key)), F.lit(shards)).cast("int"))
-    d = running(d, ["shard"], [key], F.floor(F.col(key) / 65536), inclusive=False, _at=("sum", F.col("_n")))
+    # The scan reads its rows twice: the counts are written once, not the texts read again.
+    d = running(cut(d), ["shard"], [key], F.floor(F.col(key) / 65536), inclusive=False, _at=("sum", F.col("_n")))
     first, last = F.floor(F.col("_at") / length), F.floor((F.col("_at") + F.col("_n") - 1) / length)
     s = d.select("shard", key, "_at", "_n", F.explode(F.sequence(first, last)).alias("seq"))
     out = s.select(

@@ -44,13 +44,24 @@ def test_number_rows(spark):
 
 def test_exact_quantiles(spark):
     p, d = frame(spark)
-    out = exact_quantiles(d, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.99}, blocks=16).toPandas().set_index("k").sort_index()
+    out = exact_quantiles(d, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.99}).toPandas().set_index("k").sort_index()
     for name, q in (("a", 0.1), ("b", 0.5), ("c", 0.99)):
         assert out[name].round(9).tolist() == p.groupby("k")["v"].quantile(q).round(9).tolist()
     one = exact_quantiles(d, [], "v", {"m": 0.5}).first()["m"]
     assert round(one, 9) == round(p["v"].median(), 9)
 
 
+def test_quantiles_of_heavy_tails_and_ties(spark):
+    values = [1e12, -1e12] + [float(i % 7) for i in range(900)] + [float(i) ** 3 for i in range(300)]
+    d = spark.createDataFrame([(v,) for v in values], "v double").repartition(6)
+    probs = {"a": 0.01, "b": 0.5, "c": 0.999, "d": 1.0}
+    got = exact_quantiles(d, [], "v", probs, accuracy=100).first()
+    s = pd.Series(values)
+    assert [round(got[n], 6) for n in probs] == [round(s.quantile(q), 6) for q in probs.values()]
+    one = exact_quantiles(d.limit(1).selectExpr("5.0D as v"), [], "v", {"m": 0.3}).first()["m"]
+    assert one == 5.0
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, i) for i in range(101, 140)]
