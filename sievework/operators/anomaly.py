@@ -40,19 +40,20 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], trees: int, depth: int,
     """Isolation score from random axis cuts: shorter expected path, higher score.
 
     The cut tables are small and seeded; leaf masses (trees * 2^depth counts)
-    come back as one scalar map, so the data is scanned twice and never moved."""
-    span = df.agg(F.struct(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in cols])).scalar()
+    come back as one scalar array, so the data is scanned twice and never moved."""
+    span = df.agg(F.struct(F.count(F.lit(1)).alias("_n"), *[F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in cols])).scalar()
     norm = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_span.{c}.a"), F.col(f"_span.{c}.b") - F.col(f"_span.{c}.a")), F.lit(0.0))
-    src = df.withColumn("_span", span).select(*df.columns, *[norm(c).alias(f"_x{i}") for i, c in enumerate(cols)])
+    src = df.withColumn("_span", span).select(*df.columns, F.col("_span._n").cast("double").alias("_total"), *[norm(c).alias(f"_x{i}") for i, c in enumerate(cols)])
     x = [F.col(f"_x{i}") for i in range(len(cols))]
-    src = src.select(*df.columns, F.array(*[_leaf(x, seed, t, 1, depth, t * 2 ** (depth + 1)) for t in range(trees)]).alias("_leaf"))
+    src = src.select(*df.columns, "_total", F.array(*[_leaf(x, seed, t, 1, depth, t * 2 ** (depth + 1)) for t in range(trees)]).alias("_leaf"))
     mass = src.select(F.explode("_leaf").alias("_l")).groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
-    total = src.agg(F.count(F.lit(1))).scalar()
     c = lambda n: F.when(n > 2, 2 * (F.ln(n - 1) + 0.5772156649) - 2 * (n - 1) / n).when(n == 2, 1.0).otherwise(0.0)
     length = mass.select("_l", (depth + c(F.col("_n").cast("double"))).alias("_d"))
-    table = length.agg(F.map_from_entries(F.collect_list(F.struct("_l", "_d")))).scalar()
-    path = sum((F.element_at("_mass", F.col("_leaf")[t]) for t in range(1, trees)), F.element_at("_mass", F.col("_leaf")[0])) / trees
-    out = src.withColumn("_mass", table).withColumn("_total", total.cast("double"))
+    # Leaf ids are dense, so the lengths are an array looked up by place.
+    places = F.sequence(F.lit(0), F.lit(trees * 2 ** (depth + 1) - 1))
+    table = length.agg(F.map_from_entries(F.collect_list(F.struct("_l", "_d"))).alias("m")).select(F.transform(places, lambda i: F.element_at("m", i))).scalar()
+    path = sum((F.get("_mass", F.col("_leaf")[t]) for t in range(1, trees)), F.get("_mass", F.col("_leaf")[0])) / trees
+    out = src.withColumn("_mass", table)
     return out.withColumn("score", F.round(F.pow(F.lit(2.0), -path / c(F.col("_total"))), 6)).drop("_leaf", "_mass", "_total")
 
 

@@ -407,14 +407,18 @@ def floating(version: Column) -> Column:
 def pinned_version_audit(components: DataFrame, required: Sequence[str] = ()) -> DataFrame:
     """Rows (name, error) for unpinned or untraceable components.
 
-    components(name, kind, version, source_url, digest, reference)."""
+    components(name, kind, version, source_url, repository, tag, digest,
+    reference, os, architecture); the last six are an image's."""
+    image = F.col("kind") == "image"
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     rules = [
         ("version_missing", F.col("version").isNull() | (F.trim("version") == "")),
         ("version_floating", (F.trim("version") != "") & floating(F.col("version"))),
         ("source_not_https", ~F.coalesce(F.col("source_url"), F.lit("")).startswith("https://")),
-        ("digest_missing", (F.col("kind") == "image") & F.col("digest").isNull()),
-        ("digest_malformed", (F.col("kind") == "image") & ~F.col("digest").rlike(DIGEST)),
-        ("reference_without_digest", (F.col("kind") == "image") & ~F.col("reference").contains(F.col("digest"))),
+        *[(f"{c}_missing", image & blank(c)) for c in ("repository", "tag", "digest", "reference", "os", "architecture")],
+        ("tag_floating", image & ~blank("tag") & floating(F.col("tag"))),
+        ("digest_malformed", image & ~blank("digest") & ~F.col("digest").rlike(DIGEST)),
+        ("reference_without_digest", image & ~blank("digest") & ~blank("reference") & ~F.col("reference").contains(F.col("digest"))),
     ]
     out = components.select("name", F.explode(reasons(rules)).alias("error"))
     if required:

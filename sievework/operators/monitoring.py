@@ -48,19 +48,21 @@ def burn_rate(requests: DataFrame, objective: float, short_s: int, long_s: int,
     return out.withColumn("alert", (F.col("burn_short") > limit) & (F.col("burn_long") > limit))
 
 
-def sustained_alerts(series: DataFrame, subject: str, at: str, value: str, count: str, limit: float, n: int, min_n: int) -> DataFrame:
+def sustained_alerts(series: DataFrame, subject: str, at: str, value: str, count: str, limit: float, n: int, min_n: int, labels: DataFrame | None = None) -> DataFrame:
     """Alerts that open at the n-th breach in a row and close at the next clear
     reading; windows with few samples neither fire nor clear.
 
-    The series is one row per subject and window, so its windows are small."""
+    The series is one row per subject and window, so its windows are small.
+    ``labels(subject, ...)`` adds versions, owner, dashboard and runbook."""
     s = series.where(F.col(count) >= min_n).withColumn("_b", F.col(value) > limit)
     w = Window.partitionBy(subject).orderBy(at)
     s = s.withColumn("_g", F.sum(F.when(F.col("_b"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     s = s.withColumn("_k", F.sum(F.col("_b").cast("int")).over(Window.partitionBy(subject, "_g").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)))
     s = s.withColumn("_close", F.min(F.when(~F.col("_b"), F.col(at))).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    return s.where(F.col("_b")).groupBy(subject, "_g").agg(
+    out = s.where(F.col("_b")).groupBy(subject, "_g").agg(
         F.min(F.when(F.col("_k") == n, F.col(at))).alias("opened"), F.max("_close").alias("closed"), F.max("_k").alias("length"), F.round(F.max(value), 6).alias("worst")
     ).where("opened is not null").drop("_g")
+    return out if labels is None else out.join(labels, subject, "left")
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str], bins: int, by: Sequence[str] = ()) -> DataFrame:

@@ -53,9 +53,17 @@ def hash_embed(df: DataFrame, key: str, text: str, dim: int, max_tokens: int, re
     )
 
 
-def dense_topk(queries: DataFrame, index: DataFrame, k: int, query_bound: int = 4096, tile_rows: int = 50_000, skip_self: bool = False) -> DataFrame:
-    """Exact cosine top-k. queries(query_id, vector), index(item_id, vector)."""
-    return tiled_topk(queries, index, k, cosine_scorer, query_bound, tile_rows, skip_self)
+def dense_topk(
+    queries: DataFrame, index: DataFrame, k: int, query_bound: int = 4096, tile_rows: int = 50_000, skip_self: bool = False,
+    where: Column | None = None, citation: str | None = None,
+) -> DataFrame:
+    """Exact cosine top-k. queries(query_id, vector), index(item_id, vector).
+
+    ``where`` filters the index before the search; ``citation`` names an index
+    column that each result carries."""
+    kept = index if where is None else index.where(where)
+    found = tiled_topk(queries, kept.select("item_id", "vector"), k, cosine_scorer, query_bound, tile_rows, skip_self)
+    return found if citation is None else found.join(index.select("item_id", F.col(citation).alias("citation")), "item_id")
 
 
 def _planes(dim: int, planes: int, seed: int) -> np.ndarray:

@@ -299,13 +299,28 @@ def verifier_report(verified: DataFrame, by: str, reward: str, length: Column, l
     return g.withColumn("suspect", F.coalesce(F.abs("reward_length_corr") > limit, F.lit(False)))
 
 
+def near_reference(records: DataFrame, key: str, text: str, reference: DataFrame, ref_text: str, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Keys of records whose shingles have a Jaccard similarity of ``threshold`` or
+    more with some reference text; candidates share a rare shingle."""
+    mine = records.select(F.concat(F.lit("r|"), F.col(key).cast("string")).alias("id"), F.col(key), shingle_hashes(F.col(text), n).alias("payload"))
+    refs = reference.select(shingle_hashes(F.col(ref_text), n).alias("payload")).distinct().withColumn("id", F.concat(F.lit("q|"), F.md5(F.array_join("payload", ","))))
+    items = cut(mine.select("id", "payload").unionByName(refs.select("id", "payload")).where(F.size("payload") > 0))
+    blocks = cut(rare_blocks(items, threshold))
+    side = lambda tag, name: blocks.where(F.col("id").startswith(tag)).select("block", F.col("id").alias(name))
+    pairs = side("r|", "a").join(side("q|", "b"), "block").select("a", "b").distinct()
+    both = pairs.join(items.select(F.col("id").alias("a"), F.col("payload").alias("_a")), "a").join(items.select(F.col("id").alias("b"), F.col("payload").alias("_b")), "b")
+    hits = both.where(jaccard(F.col("_a"), F.col("_b")) >= threshold).select(F.col("a").alias("id")).distinct()
+    return mine.join(hits, "id", "left_semi").select(key)
+
+
 def filter_generated(records: DataFrame, key: str, raw: str, text: str, reference: DataFrame, ref_text: str, violations: DataFrame) -> DataFrame:
-    """Each generated record with its verdict: malformed, copied (from the
-    reference), duplicate (kept once) or kept."""
+    """Each generated record with its verdict: malformed, copied (equal to a
+    reference text or a near copy of one), duplicate (kept once) or kept."""
     bad = violations.select(key).distinct().withColumn("_bad", F.lit(True))
     r = records.withColumn("_h", F.md5(squeeze(F.col(text)))).join(bad, key, "left")
     ref = reference.select(F.md5(squeeze(F.col(ref_text))).alias("_h")).distinct().withColumn("_copy", F.lit(True))
-    r = r.join(ref, "_h", "left")
+    near = near_reference(records, key, text, reference, ref_text).withColumn("_near", F.lit(True))
+    r = r.join(ref, "_h", "left").join(near, key, "left").withColumn("_copy", F.coalesce("_copy", "_near")).drop("_near")
     good = r.where("_bad is null and _copy is null").groupBy("_h").agg(F.min(key).alias("_first"))
     verdict = F.when(F.col("_bad"), "malformed").when(F.col("_copy"), "copied").when(F.col(key) != F.col("_first"), "duplicate").otherwise("kept")
     return r.join(good, "_h", "left").withColumn("verdict", verdict).drop("_h", "_bad", "_copy", "_first")

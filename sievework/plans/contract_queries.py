@@ -236,8 +236,12 @@ def k8(spark, sf):
  CASE p_partkey%8 WHEN 0 THEN 'latest' WHEN 1 THEN '1.2.x' WHEN 2 THEN '>=1.2' WHEN 3 THEN '~1.0' WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN p_size||'.1.0' ELSE 'v'||p_size||'.4' END AS version,
  CASE WHEN p_partkey%5=0 THEN 'http://x' ELSE 'https://x' END AS source_url,
  CASE WHEN p_partkey%3=0 THEN NULL WHEN p_partkey%7=0 THEN 'sha256:'||md5(p_name) ELSE 'sha256:'||md5(p_name)||md5(p_brand) END AS digest FROM part),
- f AS (SELECT *, 'repo@'||CASE WHEN name%11=0 THEN 'none' ELSE digest END AS reference FROM c)
- SELECT name, 'version_missing' AS error FROM f WHERE version IS NULL OR trim(version)=''
+ f AS (SELECT * REPLACE (name::VARCHAR AS name), 'repo@'||CASE WHEN name%11=0 THEN 'none' ELSE digest END AS reference, CASE WHEN name%9<>0 THEN 'repo' END AS repository,
+  CASE WHEN name%10=0 THEN 'latest' WHEN name%14=0 THEN ' ' ELSE '1.0.0' END AS tag, CASE WHEN name%17<>0 THEN 'linux' END AS os, CASE WHEN name%19<>0 THEN 'amd64' END AS architecture FROM c)
+ SELECT 'absent' AS name, 'component_missing' AS error UNION ALL SELECT name, 'repository_missing' FROM f WHERE kind='image' AND repository IS NULL UNION ALL SELECT name, 'tag_missing' FROM f WHERE kind='image' AND trim(tag)=''
+ UNION ALL SELECT name, 'tag_floating' FROM f WHERE kind='image' AND tag='latest' UNION ALL SELECT name, 'os_missing' FROM f WHERE kind='image' AND os IS NULL UNION ALL SELECT name, 'architecture_missing' FROM f WHERE kind='image' AND architecture IS NULL
+ UNION ALL SELECT name, 'reference_missing' FROM f WHERE kind='image' AND reference IS NULL
+ UNION ALL SELECT name, 'version_missing' AS error FROM f WHERE version IS NULL OR trim(version)=''
  UNION ALL SELECT name,'version_floating' FROM f WHERE trim(version)<>'' AND NOT regexp_matches(version,'^v?[0-9]+\\.[0-9]+(\\.[0-9]+)?$')
  UNION ALL SELECT name,'source_not_https' FROM f WHERE source_url NOT LIKE 'https://%'
  UNION ALL SELECT name,'digest_missing' FROM f WHERE kind='image' AND digest IS NULL
@@ -255,8 +259,10 @@ def k9(spark, sf):
     c = p.select(
         k.alias("name"), F.when(k % 2 == 0, "image").otherwise("package").alias("kind"), version.alias("version"),
         F.when(k % 5 == 0, "http://x").otherwise("https://x").alias("source_url"), digest.alias("digest"),
-    ).withColumn("reference", F.concat(F.lit("repo@"), F.when(F.col("name") % 11 == 0, "none").otherwise(F.col("digest"))))
-    return K.pinned_version_audit(c)
+        F.concat(F.lit("repo@"), F.when(k % 11 == 0, "none").otherwise(digest)).alias("reference"), F.when(k % 9 != 0, "repo").alias("repository"),
+        F.when(k % 10 == 0, "latest").when(k % 14 == 0, " ").otherwise("1.0.0").alias("tag"), F.when(k % 17 != 0, "linux").alias("os"), F.when(k % 19 != 0, "amd64").alias("architecture"),
+    ).withColumn("name", F.col("name").cast("string"))
+    return K.pinned_version_audit(c, ["2", "absent"])
 
 
 @query(

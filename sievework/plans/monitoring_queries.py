@@ -42,11 +42,17 @@ def o2(spark, sf):
     """WITH s AS (SELECT user_id%25 AS subject, strftime(ts,'%Y-%m-%d') AS day, count(*) AS n, avg(value) AS v FROM events GROUP BY 1,2), k AS (SELECT *, v>20 AS b FROM s WHERE n>=8),
  g AS (SELECT *, sum((NOT b)::INT) OVER (PARTITION BY subject ORDER BY day) AS g, min(CASE WHEN NOT b THEN day END) OVER (PARTITION BY subject ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS cl FROM k),
  r AS (SELECT *, row_number() OVER (PARTITION BY subject, g ORDER BY day) AS rk FROM g WHERE b)
- SELECT subject, min(day) FILTER (rk=3) AS opened, max(cl) AS closed, max(rk) AS length, round(max(v),6) AS worst FROM r GROUP BY subject, g HAVING count(*)>=3""",
+ SELECT subject, min(day) FILTER (rk=3) AS opened, max(cl) AS closed, max(rk) AS length, round(max(v),6) AS worst, any_value(n_name) AS owner, 'v'||any_value(n_regionkey) AS model_version, 'd'||any_value(n_regionkey) AS data_version,
+ 'dashboards/'||subject AS dashboard, 'runbooks/'||subject AS runbook FROM r JOIN nation ON n_nationkey=subject GROUP BY subject, g HAVING count(*)>=3""",
 )
 def o3(spark, sf):
     e = table(spark, sf, "events").groupBy((F.col("user_id") % 25).alias("subject"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
-    return O.sustained_alerts(e, "subject", "day", "v", "n", 20.0, 3, 8)
+    key = F.col("n_nationkey").cast("string")
+    labels = table(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("subject"), F.col("n_name").alias("owner"), F.concat(F.lit("v"), F.col("n_regionkey").cast("string")).alias("model_version"),
+        F.concat(F.lit("d"), F.col("n_regionkey").cast("string")).alias("data_version"), F.concat(F.lit("dashboards/"), key).alias("dashboard"), F.concat(F.lit("runbooks/"), key).alias("runbook"),
+    )
+    return O.sustained_alerts(e, "subject", "day", "v", "n", 20.0, 3, 8, labels)
 
 
 _PC = ["l_quantity", "l_extendedprice", "l_tax"]

@@ -70,9 +70,16 @@ DENSE_SQL = f"""ex AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round({
  exact AS (SELECT query_id, item_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id))::INT AS rank FROM ex QUALIFY rank<=10)"""
 
 
-@query("R2_dense_topk", f"WITH {DENSE_SQL} SELECT * FROM exact")
+@query(
+    "R2_dense_topk",
+    f"""SELECT q.vec_id AS query_id, i.vec_id AS item_id, round({_COS},6) AS score, (row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS},6) DESC, i.vec_id))::INT AS rank, 'vec/'||i.vec_id AS citation
+ FROM embeddings q JOIN embeddings i ON q.vec_id%25=0 AND i.vec_id%25<>0 AND i.label<>3 QUALIFY rank<=10""",
+)
 def r2(spark, sf):
-    return R.dense_topk(*vectors(spark, sf), 10)
+    q, _ = vectors(spark, sf)
+    e = table(spark, sf, "embeddings").where("vec_id % 25 <> 0")
+    index = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label", F.concat(F.lit("vec/"), F.col("vec_id").cast("string")).alias("source"))
+    return R.dense_topk(q, index, 10, where=F.col("label") != 3, citation="source")
 
 
 def _bucket(v: str) -> str:

@@ -265,7 +265,10 @@ GEN_SCHEMA = {"type": "object", "required": ["id", "lang"], "properties": {"id":
 @query(
     "T17_filter_generated",
     f"""WITH r AS (SELECT doc_id, md5({SQ('text')}) AS h, doc_id%13=0 OR lang NOT IN ('en','fr','de') AS bad FROM documents WHERE doc_id%5<>0), ref AS (SELECT DISTINCT md5({SQ('text')}) AS h FROM documents WHERE doc_id%5=0),
- c AS (SELECT *, h IN (SELECT h FROM ref) AS cp FROM r), f AS (SELECT h, min(doc_id) AS m FROM c WHERE NOT bad AND NOT cp GROUP BY 1)
+ w AS (SELECT doc_id, doc_id%5=0 AS ref, {WORDS('text')} AS w FROM documents), sh AS (SELECT DISTINCT doc_id, ref, array_to_string(w[i:i+4],' ') AS g FROM (SELECT doc_id, ref, w, unnest(generate_series(1,greatest(1,len(w)-4))) AS i FROM w WHERE len(w)>0)),
+ sn AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), ov AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g=b.g AND NOT a.ref AND b.ref GROUP BY 1,2),
+ nc AS (SELECT DISTINCT a FROM ov JOIN sn x ON x.doc_id=a JOIN sn y ON y.doc_id=b WHERE c/(x.n+y.n-c)::DOUBLE >= 0.8),
+ c AS (SELECT *, h IN (SELECT h FROM ref) OR doc_id IN (SELECT a FROM nc) AS cp FROM r), f AS (SELECT h, min(doc_id) AS m FROM c WHERE NOT bad AND NOT cp GROUP BY 1)
  SELECT doc_id, CASE WHEN bad THEN 'malformed' WHEN cp THEN 'copied' WHEN doc_id<>m THEN 'duplicate' ELSE 'kept' END AS verdict, 'p1' AS prompt_version FROM c LEFT JOIN f USING (h)""",
 )
 def t17(spark, sf):
