@@ -70,10 +70,16 @@ def _planes(dim: int, planes: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((planes, dim))
 
 
-def ann_topk(queries: DataFrame, index: DataFrame, k: int, dim: int, planes: int, seed: int, tile_rows: int = 50_000) -> DataFrame:
+def plane_bucket(v: str, dim: int, planes: int, seed: int) -> str:
+    """A vector's bucket as DuckDB text, with the planes as literals."""
+    return "+".join(f"(list_inner_product({v}, {[float(x) for x in p]}::DOUBLE[])>0)::INT*{1 << j}" for j, p in enumerate(_planes(dim, planes, seed)))
+
+
+def ann_topk(queries: DataFrame, index: DataFrame, k: int, dim: int, planes: int, seed: int, tile_rows: int = 50_000, skip: str | None = None) -> DataFrame:
     """Random-hyperplane buckets; a query also probes every bucket one bit away;
     exact rerank inside. A full bucket is cut into tiles, each meeting its
-    queries on its own, so no bucket is one task and no pair is emitted."""
+    queries on its own, so no bucket is one task and no pair is emitted. ``skip``
+    names an array column of the queries with item ids that are no candidates."""
     p = _planes(dim, planes, seed)
     weights = 1 << np.arange(planes)
 
@@ -94,7 +100,11 @@ def ann_topk(queries: DataFrame, index: DataFrame, k: int, dim: int, planes: int
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return best_rows(np.array([], "int64"), np.array([], "int64"), np.zeros((0, 0)), k)
-        return best_rows(a["query_id"].to_numpy(), b["item_id"].to_numpy(), cosine_scorer(a, b), k)
+        score, ids = cosine_scorer(a, b), b["item_id"].to_numpy()
+        if skip:
+            for row, known in zip(score, a[skip]):
+                row[np.isin(ids, known)] = -np.inf
+        return best_rows(a["query_id"].to_numpy(), ids, score, k)
 
     local = q.groupBy("_b", "_t").cogroup(i.groupBy("_b", "_t")).applyInPandas(meet, "query_id bigint, item_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions.columns import h32, h32_sql as H, uniform
 from sievework.operators import anomaly as A, evaluation as E, forecasts as B, quality as Q, recommend as R, splits as S
 from sievework.plans import derive as D
+from sievework.operators.retrieval import plane_bucket
 from sievework.plans.registry import query
 from sievework.session import cut, table
 
@@ -333,12 +334,12 @@ def m21(spark, sf):
 @query(
     "M22_candidate_recs",
     D.with_(D.INTERACTIONS, INTER_TRAIN)
-    + """, fi AS (SELECT user_id, item_id, min("at") AS "at" FROM inter GROUP BY 1,2), seq AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY "at", item_id) AS pos FROM fi),
- pr AS (SELECT a.item_id AS a, b.item_id AS b FROM seq a JOIN seq b ON a.user_id=b.user_id AND b.pos-a.pos BETWEEN 1 AND 2), bo AS (SELECT a,b,count(*) AS n FROM (SELECT a,b FROM pr UNION ALL SELECT b,a FROM pr) GROUP BY 1,2),
- pc AS (SELECT item_id, count(*) AS c FROM seq GROUP BY 1), sc AS (SELECT a, b, round(n/sqrt(x.c::DOUBLE*y.c),9) AS sim FROM bo JOIN pc x ON x.item_id=a JOIN pc y ON y.item_id=b),
- nb AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 20),
- vo AS (SELECT user_id, b AS item_id, round(sum(sim),6) AS score FROM seq JOIN nb ON item_id=a GROUP BY 1,2)
- SELECT user_id, item_id, score, pos::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS pos FROM vo WHERE (user_id,item_id) NOT IN (SELECT (user_id,item_id) FROM seq)) WHERE pos<=5""",
+    + f""", seen AS (SELECT DISTINCT user_id, item_id FROM inter), raw AS (SELECT item_id, [{', '.join(f"sum(CASE WHEN substr(md5(user_id::VARCHAR),{j + 1},1)>='8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)" for j in range(16))}] AS v FROM seen GROUP BY 1),
+ it AS (SELECT item_id, list_transform(v, lambda x: CASE WHEN list_inner_product(v,v)>0 THEN x/sqrt(list_inner_product(v,v)) ELSE 0.0::DOUBLE END) AS v FROM raw),
+ us AS (SELECT user_id, [{', '.join(f'sum(v[{j + 1}])' for j in range(16))}] AS v FROM seen JOIN it USING (item_id) GROUP BY 1),
+ ib AS (SELECT *, {plane_bucket('v', 16, 3, 11)} AS k FROM it), ub AS (SELECT *, {plane_bucket('v', 16, 3, 11)} AS k FROM us),
+ sc AS (SELECT u.user_id, i.item_id, round(CASE WHEN list_inner_product(i.v,i.v)>0 AND list_inner_product(u.v,u.v)>0 THEN list_cosine_similarity(u.v,i.v) ELSE 0 END,6) AS score FROM ub u JOIN ib i ON bit_count(xor(u.k,i.k))<=1 ANTI JOIN seen s ON s.user_id=u.user_id AND s.item_id=i.item_id)
+ SELECT user_id, item_id, score, (row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id))::INT AS pos FROM sc QUALIFY pos<=5""",
 )
 def m22(spark, sf):
     return R.candidate_recs(train_inter(spark, sf), 5)

@@ -82,15 +82,9 @@ def r2(spark, sf):
     return R.dense_topk(q, index, 10, where=F.col("label") != 3, citation="source")
 
 
-def _bucket(v: str) -> str:
-    """The plane bucket of a vector as DuckDB text; planes as literals."""
-    bits = [f"(list_inner_product({v}, {[float(x) for x in plane]}::DOUBLE[])>0)::INT*{1 << j}" for j, plane in enumerate(R._planes(64, 3, 11))]
-    return "+".join(bits)
-
-
 @query(
     "R3_ann_topk",
-    f"""WITH {DENSE_SQL}, b AS (SELECT vec_id, embedding, {_bucket('embedding::DOUBLE[]')} AS k FROM embeddings),
+    f"""WITH {DENSE_SQL}, b AS (SELECT vec_id, embedding, {R.plane_bucket('embedding::DOUBLE[]', 64, 3, 11)} AS k FROM embeddings),
  near AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id FROM b q JOIN b i ON q.vec_id%25=0 AND i.vec_id%25<>0 AND bit_count(xor(q.k,i.k))<=1
   QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS},6) DESC, i.vec_id)<=10)
  SELECT query_id, round(count(n.item_id)/count(*)::DOUBLE,6) AS recall FROM exact LEFT JOIN near n USING (query_id, item_id) GROUP BY 1""",
