@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sievework.llm.common import arrow_rows, pick, slices
+from sievework.llm.common import pick, slices
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _KEEP = [b for b in range(256) if b > 0x7F or chr(b).isalnum()]
