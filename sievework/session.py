@@ -19,6 +19,7 @@ def build_session(cores: str = "8", app: str = "sievework") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sievework.spreadScans", cores if cores.isdigit() else "8")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.icu.caseMappings.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -60,5 +61,14 @@ def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as its files are; how many tasks read it is a matter of row
-    groups and ``spark.sql.files.maxPartitionBytes``."""
-    return raw_table(spark, sf_dir, name)
+    groups and ``spark.sql.files.maxPartitionBytes``.
+
+    Where ``spark.sievework.spreadScans`` is set (the local session sets it, as its
+    files have one row group each and would be one task), the wide tables are dealt
+    to that many tasks, whatever their size. Without the setting nothing is dealt."""
+    df = raw_table(spark, sf_dir, name)
+    tasks = spark.conf.get("spark.sievework.spreadScans", None)
+    return df.repartition(int(tasks)) if tasks and name in WIDE_TABLES else df
+
+
+WIDE_TABLES = ("documents", "pages", "conversations", "lineitem", "events")
