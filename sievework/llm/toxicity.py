@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
+from uuid import uuid4
 from zlib import crc32
 
 import numpy as np
@@ -179,9 +180,10 @@ class ToxicityModel:
     weights: np.ndarray  # log odds of places, float32
     beta: np.ndarray  # of row_features; zeros where no labels were given
     base: float  # score where there is no model
+    key: str = field(default_factory=lambda: uuid4().hex)  # names the trigram model in worker processes
 
 
-_READERS: dict[int, Reader] = {}
+_READERS: dict[str, Reader] = {}
 
 
 def _reader(held) -> Reader:
@@ -209,7 +211,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     share = min(1.0, label_rows / max(1, total))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     rows = src.join(F.broadcast(known), "doc_id").withColumn("fold", fold.cast("int"))
-    held = spark.sparkContext.broadcast((id(counts), counts))
+    model = ToxicityModel(counts, np.zeros(BUCKETS, np.float32), np.zeros(6), 0.0)
+    held = spark.sparkContext.broadcast((model.key, counts))
     out = "place int, toxic bigint, clean bigint"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,13 +233,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     table = got.where((F.col("toxic") >= 3) | (F.col("place") == BUCKETS)).toPandas()
     t, c = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     t[table["place"]], c[table["place"]] = table["toxic"], table["clean"]
-    weights = np.zeros(BUCKETS, np.float32)
     if t[-1] and c[-1]:
         odds = np.log(((t[:-1] + 0.1) / (t[-1] + 1.0)) / ((c[:-1] + 1.0) / (c[-1] + 1.0)))
-        # Two standard deviations below the estimate, so that rare chance words weigh nothing.
-        odds -= 2.0 * np.sqrt(1.0 / (t[:-1] + 0.1) + 1.0 / (c[:-1] + 1.0)) * 0.5
-        weights = np.where(t[:-1] >= 3, np.maximum(odds, 0.0), 0.0).astype(np.float32)
-    model = ToxicityModel(counts, weights, np.zeros(6), 0.0)
+        # One standard deviation below the estimate, so that rare chance words weigh little.
+        odds -= np.sqrt(1.0 / (t[:-1] + 0.1) + 1.0 / (c[:-1] + 1.0))
+        model.weights = np.where(t[:-1] >= 3, np.maximum(odds, 0.0), 0.0).astype(np.float32)
     sample = _features(rows.where("fold = 4"), model).toPandas()
     x, y = np.array(sample["x"].tolist(), np.float64).reshape(-1, 6), sample["toxic"].to_numpy(np.float64)
     if len(set(y)) == 2:
@@ -262,7 +263,7 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 
 def _features(rows: DataFrame, model: ToxicityModel) -> DataFrame:
-    held = rows.sparkSession.sparkContext.broadcast((id(model.counts), model.counts, model.weights))
+    held = rows.sparkSession.sparkContext.broadcast((model.key, model.counts, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, weights = _reader(held), held.value[2]
@@ -282,7 +283,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     A column called ``name`` is replaced; all others stay."""
     df = docs.drop(name)
     at = df.columns.index(text_col)
-    held = df.sparkSession.sparkContext.broadcast((id(model.counts), model.counts, model.weights, model.beta, model.base))
+    held = df.sparkSession.sparkContext.broadcast((model.key, model.counts, model.weights, model.beta, model.base))
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
