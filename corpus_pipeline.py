@@ -17,10 +17,18 @@ from sievework.session import raw_table
 VOCABULARY = "word_bpe_49k.json"
 
 
+def _aside(docs: DataFrame, work) -> DataFrame:
+    """``work`` on the documents with all columns but id and text under neutral
+    names, so that no column made on the way clashes with one of theirs."""
+    names = {c: f"_column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = work(docs.withColumnsRenamed(names))
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
     model = toxicity.fit_toxicity(docs, raw_table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, name="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    return _aside(docs, lambda d: toxicity.score_toxicity(d, model).where("score < 0.5"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +38,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a ten-word window of a benchmark item go."""
-    marked = decontaminate.decontaminate(docs, raw_table(spark, sf_dir, "benchmark"))
-    return marked.where("n_hit = 0").select(*docs.columns)
+    items = raw_table(spark, sf_dir, "benchmark")
+    return _aside(docs, lambda d: decontaminate.decontaminate(d, items).where("n_hit = 0"))
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become the names of their kinds; n_chars follows the text."""
-    out = pii.redact(pii.find_pii(docs)).select(*docs.columns)
+    out = _aside(docs, lambda d: pii.redact(pii.find_pii(d)))
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

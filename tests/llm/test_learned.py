@@ -143,8 +143,8 @@ def test_pipeline_stages(spark, tmp_path):
     clean = " ".join(rng.choice(SYLLABLES) + rng.choice(SYLLABLES) for _ in range(60))
     item = " ".join(f"bench{i}" for i in range(20))
     extra = [(9000, clean), (9001, clean + " end"), (9002, clean), (9003, "see " + item + " there"), (9004, "write a1@b2.org or 10.0.0.1 fine"), (9005, None), (9006, "")]
-    docs = [(i, t, "en", "s", len(t)) for i, t, _ in rows] + [(i, t, None, "s", len(t or "")) for i, t in extra]
-    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(i, t, "en", "s", len(t), i) for i, t, _ in rows] + [(i, t, None, "s", len(t or ""), i) for i, t in extra]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, n_hit bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     df = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -160,6 +160,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(seen["ngram_jaccard"]) & {9000, 9001, 9002} == {9000} and {9005, 9006} <= set(seen["ngram_jaccard"])
     assert set(seen["decontamination"]) == set(seen["ngram_jaccard"]) - {9003}
     r = seen["pii"][9004]
+    assert r["n_hit"] == 9004
     assert r["text"] == "write [EMAIL] or [IP] fine" and r["n_chars"] == len(r["text"]) and seen["pii"][9005]["text"] is None
     assert set(seen["packing"]) == set(seen["pii"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
