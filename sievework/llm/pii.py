@@ -254,12 +254,17 @@ def calibrate(margin: np.ndarray, y: np.ndarray, precision: float) -> float:
     return float(margin[order][good[-1]]) if good.size else float("inf")
 
 
-def fit_pii(df: DataFrame, text_col: str = "text", sample_rows: int = 20_000, precision: float = 0.9) -> Trees:
-    """Trees and thresholds from at most ``sample_rows`` candidates, taken by hash.
+def fit_pii(df: DataFrame, text_col: str = "text", sample_docs: int = 50_000, sample_rows: int = 20_000, precision: float = 0.9) -> Trees:
+    """Trees and thresholds from at most ``sample_rows`` candidates, taken by hash
+    from a seeded sample of about ``sample_docs`` rows (all, if there are fewer),
+    so that what the driver gets does not grow with the table.
 
     Three quarters of the sample fit the trees, the rest calibrates a threshold
     for each kind. Without candidates, or with one class only, no span is added."""
-    c = with_candidates(df.select(text_col), text_col).select(F.explode("_candidates").alias("c"), F.xxhash64(text_col).alias("h"))
+    src = df.select(text_col)
+    share = min(1.0, sample_docs / max(1, df.count()))
+    src = src if share == 1.0 else src.sample(share, seed=7)
+    c = with_candidates(src, text_col).select(F.explode("_candidates").alias("c"), F.xxhash64(text_col).alias("h"))
     c = c.select("c.f.*", F.col("c.base").cast("int").alias("y"), F.xxhash64("h", "c.start", "c.k", "c.end").alias("h"))
     rows = c.orderBy("h").limit(sample_rows).collect()
     if not rows or len({r["y"] for r in rows}) < 2:
