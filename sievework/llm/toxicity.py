@@ -110,7 +110,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIDE**3, np.int64)
-        for b in slices(batches, 1024):
+        for b in slices(batches, 256):
             joined = "  ".join(x for x in b.column(0).to_pylist() if x)
             code = _LATIN[np.frombuffer(f"  {joined}  ".encode("latin-1", "replace"), np.uint8)]
             total += np.bincount(code[:-2] * SIDE * SIDE + code[1:-1] * SIDE + code[2:], minlength=SIDE**3)
@@ -125,11 +125,11 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _places(word: str) -> tuple[int, ...]:
-    """Hash places of a word and of its beginnings."""
+def _places(word: str) -> bytes:
+    """Hash places of a word and of its beginnings, as packed 32-bit integers."""
     found = [crc32(b"=" + word.encode("utf-8", "replace"))]
     found += [crc32(b"^" + word[:n].encode("utf-8", "replace")) for n in PREFIXES if len(word) >= n]
-    return tuple(f % BUCKETS for f in found) + (-1,) * (1 + len(PREFIXES) - len(found))
+    return np.array([f % BUCKETS for f in found] + [-1] * (1 + len(PREFIXES) - len(found)), np.int32).tobytes()
 
 
 class Reader:
@@ -138,14 +138,14 @@ class Reader:
     def __init__(self, counts: np.ndarray):
         model = CharModel(counts)
         self.model = model
-        self.places = lru_cache(200_000)(lambda token: _places(model.restore(token)))
+        self.places = lru_cache(60_000)(lambda token: _places(model.restore(token)))
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, place) pairs without repeats, and the tokens of every row."""
         low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
         lists = pc.utf8_split_whitespace(low)
         coded = lists.flatten().dictionary_encode()
-        table = np.array([self.places(t) for t in coded.dictionary.to_pylist()], np.int64).reshape(-1, 1 + len(PREFIXES))
+        table = np.frombuffer(b"".join([self.places(t) for t in coded.dictionary.to_pylist()]), np.int32).reshape(-1, 1 + len(PREFIXES))
         n = np.diff(lists.offsets.to_numpy())
         row = np.repeat(np.arange(len(texts), dtype=np.int64), n)
         pairs = np.unique(row * (len(coded.dictionary) + 1) + coded.indices.to_numpy())
@@ -154,7 +154,7 @@ class Reader:
         spaced = pc.match_substring_regex(low, r"(^|\s)\S([ ._-]\S){3}")
         for i in np.flatnonzero(spaced.to_numpy(zero_copy_only=False)).tolist():
             for m in SPACED.finditer(low[i].as_py()):
-                own = np.array(_places(self.model.decode(m.group())), np.int64)
+                own = np.frombuffer(_places(self.model.decode(m.group())), np.int32).astype(np.int64)
                 keys.append(i * BUCKETS + own[own >= 0])
         pairs = np.unique(np.concatenate(keys))
         return pairs // BUCKETS, pairs % BUCKETS, n
@@ -218,7 +218,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(held)
         sums = np.zeros((2, BUCKETS + 1), np.int64)
-        for b in slices(batches, 1024):
+        for b in slices(batches, 256):
             y = b.column("toxic").to_numpy()
             row, place, _ = reader.read(b.column("text"))
             for label in (0, 1):
@@ -267,7 +267,7 @@ def _features(rows: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, weights = _reader(held), held.value[2]
-        for b in slices(batches, 1024):
+        for b in slices(batches, 256):
             row, place, n = reader.read(b.column("text"))
             x = row_features(row, weights[place].astype(np.float64), b.num_rows, n)
             yield arrow_rows("toxic int, x array<double>", [b.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))])
@@ -289,7 +289,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(held)
         weights, beta, base = held.value[2:]
-        for b in slices(batches, 1024):
+        for b in slices(batches, 256):
             if beta.any():
                 row, place, n = reader.read(b.column(at))
                 x = row_features(row, weights[place].astype(np.float64), b.num_rows, n)
