@@ -5,11 +5,13 @@ spans follow exact rules (a pattern and a check) and always stay. All other
 candidates are scored by gradient-boosted trees on features of their format and
 context, and those above their kind's calibrated threshold are added.
 
-There are no hand labels: the base rules teach. A candidate that is a base span
-is positive, every other one negative, so a further candidate is added only where
-format and context look like the rules' own finds. Trees are fitted on a bounded
-sample of candidates and become Column expressions; scoring, like everything
-else here, runs in Spark's own functions inside each row, without a shuffle.
+There are no hand labels: the base rules teach. Base spans, and base spans
+rewritten into the relaxed forms where they stand, are positive; other candidates
+that overlap no base span, and base spans changed so that their check fails, are
+negative. Trees are fitted on a bounded sample and become Column expressions;
+scoring, like everything else here, runs in Spark's own functions inside each
+row, without a shuffle. Thresholds come from counts over the half of the table's
+texts that no tree has seen, base spans left aside, since they need none.
 """
 
 from __future__ import annotations
@@ -41,13 +43,13 @@ WIDE = {
 # What a text must hold for a pattern to be tried at all.
 GATE = {
     "email": lambda t: t.contains("@") | t.rlike(r"[(\[{](?:at|AT)[)\]}]"),
-    "ip": lambda t: t.rlike(r"[0-9][\])]?\.|[0-9A-Fa-f]:[0-9A-Fa-f]"),
+    "ip": lambda t: t.rlike(r"[0-9][\[(]?\.|[0-9A-Fa-f]:[0-9A-Fa-f]"),
     "card": lambda t: t.rlike(r"[0-9](?:[ ./ -]?[0-9]){11}"),
     "phone": lambda t: t.contains("+") | t.rlike(r"[0-9]\)?[ ./-]"),
 }
 CONTEXT = r"(?i)mail|contact|write|tel\b|phone|call|fax|mobil|ip\b|host|server|addr|card|visa|pay|credit"
 FEATURES = (
-    "kind", "digits", "letters", "spaces", "dots", "dashes", "others", "plus", "at", "luhn", "over255", "parts", "longest", "before", "after", "context", "wide",
+    "kind", "digits", "letters", "spaces", "dots", "dashes", "others", "plus", "at", "luhn", "over255", "parts", "longest", "before", "after", "context",
 )
 BLOCK = 256
 
@@ -123,7 +125,7 @@ def _neighbour(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"\p{L}"), 3).otherwise(4)
 
 
-def _features(kind: str, wide: int, text: Column, x: Column) -> Column:
+def _features(kind: str, text: Column, x: Column) -> Column:
     t = x["text"]
     head = F.greatest(x["start"] - 24, F.lit(0))
     before = F.substring(text, (head + 1).cast("int"), (x["start"] - head).cast("int"))
@@ -137,14 +139,13 @@ def _features(kind: str, wide: int, text: Column, x: Column) -> Column:
         "others": _count(t, "[A-Za-z0-9 .@+-]"),
         "plus": _count(t, "[^+]"),
         "at": _count(t, "[^@]"),
-        "luhn": _luhn(_digits(t)).cast("int"),
-        "over255": F.least(_over255(t), F.lit(9)),
+        "luhn": _luhn(_digits(t)).cast("int") if kind == "card" else F.lit(1),
+        "over255": F.least(_over255(t), F.lit(9)) if kind == "ip" else F.lit(0),
         "parts": F.least(F.size(F.split(t, "[^0-9A-Za-z]+")), F.lit(20)),
         "longest": F.least(F.array_max(F.transform(F.split(t, "[^0-9A-Za-z]+"), F.length)), F.lit(40)),
         "before": _neighbour(F.when(x["start"] > 0, F.substring(text, x["start"].cast("int"), F.lit(1)))),
         "after": _neighbour(F.substring(text, (x["end"] + 1).cast("int"), F.lit(1))),
         "context": before.rlike(CONTEXT).cast("int"),
-        "wide": F.lit(wide),
     }
     return F.struct(*[values[f].cast("int").alias(f) for f in FEATURES])
 
@@ -152,7 +153,7 @@ def _features(kind: str, wide: int, text: Column, x: Column) -> Column:
 def _row(k: int, wide: int, text: Column):
     def row(x: Column) -> Column:
         base = F.lit(False) if wide else _is_base(KINDS[k], x["text"])
-        return F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), base.alias("base"), _features(KINDS[k], wide, text, x).alias("f"))
+        return F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), base.alias("base"), _features(KINDS[k], text, x).alias("f"))
 
     return row
 
@@ -168,6 +169,9 @@ def with_candidates(df: DataFrame, text_col: str = "text", name: str = "_candida
             spans = _found(text, pattern)
             if kind in ("card", "phone"):
                 spans = F.filter(spans, lambda x: F.length(_digits(x["text"])) >= 7)
+            if wide and kind in ("email", "card"):
+                # What the base pattern takes too is its candidate already.
+                spans = F.filter(spans, lambda x: ~x["text"].rlike(f"^(?:{BASE[kind]})$"))
             found.append(F.when(GATE[kind](text), F.transform(spans, _row(k, wide, text))).otherwise(none))
     return df.withColumn(name, F.concat(*found))
 
@@ -243,40 +247,117 @@ def margins(model: Trees, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def calibrate(margin: np.ndarray, y: np.ndarray, precision: float) -> float:
+def calibrate(margin: np.ndarray, y: np.ndarray, precision: float, count: np.ndarray | None = None) -> float:
     """Least margin from which the share of positives, less its chance error, is
-    at least ``precision``; infinity where there is none."""
+    at least ``precision``, halfway to the next lower one seen; infinity where
+    there is none. ``count``: how often
+    each pair of margin and label occurs (once, if not given)."""
     order = np.argsort(-margin, kind="stable")
-    hits, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    count = np.ones(len(y)) if count is None else count
+    hits, n = np.cumsum((y * count)[order]), np.cumsum(count[order])
     ok = (hits / (n + 4.0)) >= precision
     ends = np.r_[margin[order][1:] != margin[order][:-1], True] if len(y) else np.zeros(0, bool)
     good = np.flatnonzero(ok & ends)
-    return float(margin[order][good[-1]]) if good.size else float("inf")
+    if not good.size:
+        return float("inf")
+    least = float(margin[order][good[-1]])
+    # Where all that was seen is good, what is likelier than not is good too.
+    return min(least, 0.0) if good[-1] == len(y) - 1 else (least + float(margin[order][good[-1] + 1])) / 2
+
+
+def _rewritten(kind: str, t: Column, n: Column) -> Column:
+    """A base span's text in a relaxed form of its kind; ``n`` >= 0 chooses it."""
+    pick = lambda *c: F.element_at(F.array(*c), (n % len(c) + 1).cast("int"))
+    if kind == "email":
+        marks = [("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" @ ", " . "), ("{AT}", "{DOT}"), ("(@)", "(.)")]
+        domain = F.substring_index(t, "@", -1)
+        return pick(*[F.concat(F.substring_index(t, "@", 1), F.lit(at), F.replace(domain, F.lit("."), F.lit(dot))) for at, dot in marks])
+    if kind == "ip":
+        return pick(*[F.replace(t, F.lit("."), F.lit(dot)) for dot in ("[.]", "(.)")])
+    if kind == "card":
+        return pick(*[F.regexp_replace(_digits(t), "([0-9]{4})(?=[0-9])", f"$1{mark}") for mark in "./"])
+    return F.regexp_extract(F.substring(t, 2, 1 << 30), WIDE["phone"], 0)
+
+
+def _broken(kind: str, t: Column) -> Column | None:
+    """A base span's text changed so that its kind's check fails."""
+    if kind == "ip":
+        return F.regexp_replace(t, "[0-9]+$", "999")
+    if kind == "card":
+        return F.concat(F.substring(t, F.lit(1), F.length(t) - 1), F.translate(F.right(t, F.lit(1)), "0123456789", "1234567890"))
+    return None
+
+
+def with_lessons(df: DataFrame, text_col: str = "text", name: str = "_lessons") -> DataFrame:
+    """Adds what the base rules teach about every text: label, whether it counts
+    for thresholds (all but base spans do), features."""
+    df = with_candidates(df, text_col).withColumn("_base", F.filter("_candidates", lambda c: c["base"]))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    lesson = lambda y, counts, f: F.struct(y.alias("y"), F.lit(counts).alias("counts"), f.alias("f"))
+    others = F.filter("_candidates", lambda c: ~c["base"] & ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    parts = [F.transform("_base", lambda c: lesson(F.lit(1), False, c["f"])), F.transform(others, lambda c: lesson(F.lit(0), True, c["f"]))]
+
+    def place(c: Column) -> Column:
+        """A span's text with what features read around it."""
+        head = F.greatest(c["start"] - 24, F.lit(0))
+        cut = lambda at, n: F.substring(text, (at + 1).cast("int"), n.cast("int"))
+        t = cut(c["start"], c["end"] - c["start"])
+        return F.struct(cut(head, c["start"] - head).alias("before"), t.alias("t"), cut(c["end"], F.lit(1)).alias("after"))
+
+    def of_kind(k: int, kind: str) -> Column:
+        """Lessons for ``kind`` from other texts in the places of base spans of kind
+        number ``k``. Each step is a transform of its own, so that no text is made
+        more than once."""
+
+        def forms(v: Column) -> Column:
+            form = lambda y, wide, w: F.struct(F.lit(y).alias("y"), F.lit(wide).alias("wide"), v["before"].alias("before"), w.alias("w"), v["after"].alias("after"))
+            n, broken = F.pmod(F.xxhash64(v), F.lit(420)), _broken(kind, v["t"])
+            if kind != KINDS[k]:  # a piece of a number with marks is no phone
+                piece = F.regexp_extract(_rewritten(KINDS[k], v["t"], n), WIDE[kind], 0)
+                return F.array(form(0, True, piece))
+            out = [form(1, True, _rewritten(kind, v["t"], n))]
+            if broken is not None:
+                out += [form(0, True, _rewritten(kind, broken, n)), form(0, False, broken)]
+            return F.array(*out)
+
+        def whole(x: Column) -> Column:
+            at = F.length(x["before"]).cast("bigint")
+            text = F.concat(x["before"], x["w"], x["after"]).alias("whole")
+            return F.struct(x["y"].alias("y"), text, at.alias("start"), (at + F.length(x["w"])).alias("end"), x["w"].alias("text"))
+
+        places = F.transform(F.filter("_base", lambda c: c["k"] == k), place)
+        made = F.filter(F.flatten(F.transform(places, forms)), lambda x: ~x["wide"] | x["w"].rlike(f"^(?:{WIDE[kind]})$"))
+        return F.transform(F.transform(made, whole), lambda x: lesson(x["y"], True, _features(kind, x["whole"], x)))
+
+    return df.withColumn(name, F.concat(*parts, *[of_kind(k, kind) for k, kind in [*enumerate(KINDS), (2, "phone")]])).drop("_candidates", "_base")
+
+
+# Margins are counted in steps of 1 / STEPS.
+STEPS = 64
 
 
 def fit_pii(df: DataFrame, text_col: str = "text", sample_docs: int = 50_000, sample_rows: int = 20_000, precision: float = 0.9) -> Trees:
-    """Trees and thresholds from at most ``sample_rows`` candidates, taken by hash
-    from a seeded sample of about ``sample_docs`` rows (all, if there are fewer),
-    so that what the driver gets does not grow with the table.
+    """Trees from at most ``sample_rows`` lessons, taken by hash from a seeded
+    sample of about ``sample_docs`` rows (all, if there are fewer), so that what
+    the driver gets does not grow with the table.
 
-    Three quarters of the sample fit the trees, the rest calibrates a threshold
-    for each kind. Without candidates, or with one class only, no span is added."""
+    Half of the texts, by hash, teach the trees. All texts of the other half give
+    each kind's threshold, from counts per margin of what is no base span. Without
+    lessons, or with one class only, no span is added."""
     src = df.select(text_col)
     share = min(1.0, sample_docs / max(1, df.count()))
-    src = src if share == 1.0 else src.sample(share, seed=7)
-    c = with_candidates(src, text_col).select(F.explode("_candidates").alias("c"), F.xxhash64(text_col).alias("h"))
-    c = c.select("c.f.*", F.col("c.base").cast("int").alias("y"), F.xxhash64("h", "c.start", "c.k", "c.end").alias("h"))
-    rows = c.orderBy("h").limit(sample_rows).collect()
+    half = F.pmod(F.xxhash64(F.col(text_col)), F.lit(2))
+    some = (src if share == 1.0 else src.sample(share, seed=7)).where(half == 0)
+    c = with_lessons(some, text_col).select(F.posexplode("_lessons").alias("i", "c"), F.xxhash64(text_col).alias("h"))
+    rows = c.select("c.f.*", "c.y", F.xxhash64("h", "i").alias("h")).orderBy("h").limit(sample_rows).collect()
     if not rows or len({r["y"] for r in rows}) < 2:
         return Trees(limits={k: float("inf") for k in range(len(KINDS))})
-    x = np.array([r[: len(FEATURES)] for r in rows], np.int64)
-    y = np.array([r["y"] for r in rows], np.float64)
-    held = np.array([r["h"] % 4 == 0 for r in rows])
-    model = boost(x[~held], y[~held])
-    m = margins(model, x)
+    model = boost(np.array([r[: len(FEATURES)] for r in rows], np.int64), np.array([r["y"] for r in rows], np.float64))
+    held = with_lessons(src.where(half == 1), text_col).select(F.explode(F.filter("_lessons", lambda c: c["counts"])).alias("c"))
+    steps = held.select(F.col("c.f.kind").alias("k"), "c.y", F.floor(model.margin(F.col("c.f")) * STEPS).alias("m")).groupBy("k", "y", "m").count().collect()
     for k in range(len(KINDS)):
-        mine = held & (x[:, 0] == k)
-        model.limits[k] = calibrate(m[mine], y[mine], precision)
+        mine = np.array([(r["m"] / STEPS, r["y"], r["count"]) for r in steps if r["k"] == k], np.float64).reshape(-1, 3)
+        model.limits[k] = calibrate(mine[:, 0], mine[:, 1], precision, mine[:, 2])
     return model
 
 

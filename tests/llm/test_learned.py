@@ -136,6 +136,19 @@ def test_trees_add_lookalikes_and_redact(spark):
     assert out == {1: "ring [PHONE] or [EMAIL].", 2: "[EMAIL] and [PHONE]", 3: None}
 
 
+def test_fitted_trees_add_relaxed_forms(spark):
+    """Base rules alone teach masked marks, missing signs and failing checks."""
+    docs = spark.createDataFrame(pii_rows(), "doc_id bigint, text string, x string")
+    model = pii.fit_pii(docs)
+    new = [
+        (1, "mail bob[at]site[dot]org now"), (2, "call (555) 123-4567 now"), (3, "from 10[.]1[.]2[.]3 here"), (4, "pay 4111.1111.1111.1111 now"),
+        (5, "from 256.1.2.3 here"), (6, "from 256[.]1[.]2[.]3 here"), (7, "pay 4111.1111.1111.1112 now"), (8, "pay 4111111111111112 now"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(pii.find_pii(spark.createDataFrame(new, "doc_id bigint, text string"), model)).collect()}
+    added = {1: "mail [EMAIL] now", 2: "call [PHONE] now", 3: "from [IP] here", 4: "pay [CARD] now"}
+    assert got == {**dict(new), **added}
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage against a plain form, on its own input."""
     rows, labels = corpus(500, 8)
