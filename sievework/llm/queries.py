@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, grades, jaccard, licenses, packing, pii, sharding, token_store, topk, toxicity
+from sievework.llm import alignment, decontaminate, grades, jaccard, licenses, packing, pii, runs, sharding, token_store, topk, toxicity, warc
 from sievework.llm.common import documents
 from sievework.plans.registry import query
 from sievework.session import raw_table
@@ -134,4 +134,53 @@ def op10(spark, sf_dir):
     return topk.exact_topk(rows.where(F.col("vec_id") % 20 == 0), rows)
 
 
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN head IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN head IS DISTINCT FROM page_id THEN head END AS refers_to
+FROM f
+"""
+
+
+@query("op11_warc_chains", OP11_SQL)
+def op11(spark, sf_dir):
+    return warc.warc_digest(raw_table(spark, sf_dir, "pages"))
+
+
+# crc32 from its own table; equal words of a text p words apart, whose stretches
+# of neighbours are the runs.
+OP12_SQL = r"""
+WITH RECURSIVE bits(b, c, k) AS (SELECT b, b::BIGINT, 0 FROM range(256) t(b) UNION ALL SELECT b, xor(c >> 1, (c & 1) * 3988292384), k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+h AS (SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+             lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h,
+             list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents, tab),
+g AS (SELECT doc_id, w, len(w) AS n, h, (h // 10) AS g FROM h),
+a AS (SELECT doc_id, w, n, g, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM g),
+d AS (SELECT doc_id, n, list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) AS w FROM a),
+tok AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS w FROM d),
+eq AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM tok x JOIN tok y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i WHERE 4 * (y.i - x.i) <= x.n),
+isl AS (SELECT doc_id, p, min(i) AS s, count(*) + p AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM eq) GROUP BY doc_id, p, k),
+run AS MATERIALIZED (SELECT doc_id, s, l, min(p) AS p FROM isl WHERE l >= greatest(6, 4 * p) GROUP BY doc_id, s, l),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / p DESC, s, p) = 1),
+lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS t FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + l)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM tok ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, p::BIGINT AS period, (1000 * l // p)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op12_periodic_runs", OP12_SQL)
+def op12(spark, sf_dir):
+    return runs.run_digest(runs.with_planted_runs(documents(spark, sf_dir)))
+
+
+@query("op13_token_alignment")
+def op13(spark, sf_dir):
+    return alignment.alignment_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
