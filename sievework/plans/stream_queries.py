@@ -18,6 +18,33 @@ def as_stream(spark, df, max_files=3, files=6):
     return E.replay_stream(spark, path, df.schema, max_files)
 
 
+BLOCKS, BLOCK_DAYS = 6, 5
+
+
+def as_arrivals(spark, df, at="arrival"):
+    """The frame as a stream of one file a batch, in blocks of days of arrival."""
+    path = scratch_path(spark, "arrivals")
+    first = df.agg(F.date_trunc("DAY", F.min(at))).scalar()
+    days = F.floor((F.unix_seconds(F.col(at)) - F.unix_seconds(first)) / (BLOCK_DAYS * 86400))
+    E.write_arrivals(df, path, F.least(days, F.lit(BLOCKS - 1)), BLOCKS)
+    return E.replay_stream(spark, path, df.schema, 1)
+
+
+def late_changes(spark, sf):
+    """Changes of which every eighth number arrives up to twelve days later."""
+    n = h32("seq", F.lit("L"))
+    slow = F.when(n % 8 == 0, (n % 13) * 86400).otherwise(0)
+    return D.changes(spark, sf).withColumn("arrival", F.timestamp_seconds(F.unix_seconds("arrival") + slow))
+
+
+# A row of batch b is late if the watermark of the batches up to b - 2 has reached it.
+LATE_CHANGES = f"""slow AS (SELECT * REPLACE (make_timestamp(epoch_us(arrival) + (CASE WHEN {H("seq::VARCHAR||'L'")}%8=0 THEN {H("seq::VARCHAR||'L'")}%13 ELSE 0 END)*86400000000) AS arrival) FROM changes),
+ blocks AS (SELECT *, least((epoch(arrival)::BIGINT - epoch(date_trunc('day',(SELECT min(arrival) FROM slow)))::BIGINT)//({BLOCK_DAYS}*86400),{BLOCKS - 1}) AS b FROM slow),
+ marks AS (SELECT b, max(max(epoch_us(ts))) OVER (ORDER BY b) AS m FROM blocks GROUP BY b),
+ timely AS (SELECT * FROM blocks WHERE epoch_us(ts) > coalesce((SELECT max(m) FROM marks WHERE marks.b<=blocks.b-2)//1000*1000-1800000000,0)),
+ done AS (SELECT max(epoch_us(ts))//1000*1000-1800000000 AS wm FROM blocks)"""
+
+
 def events(spark, sf):
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -49,10 +76,11 @@ def e2(spark, sf):
     return E.dedup_events(D.changes(spark, sf), ["key", "seq"], "ts", "3 hours", ["arrival", "copy"]).select("key", "seq", "op")
 
 
-@query("E2_dedup_events_stream", D.with_(D.CHANGES) + " SELECT DISTINCT key, seq, op FROM changes")
+@query("E2_dedup_events_stream", D.with_(D.CHANGES, LATE_CHANGES) + " SELECT DISTINCT key, seq, op FROM timely")
 def e2s(spark, sf):
+    """Keys live in state for 30 minutes of event time; rows behind it are dropped."""
     out = scratch_path(spark, "deduped")
-    E.run_to_files(E.dedup_events(as_stream(spark, D.changes(spark, sf)), ["key", "seq"], "ts", "40 days"), out, scratch_path(spark, "cp"))
+    E.run_to_files(E.dedup_events(as_arrivals(spark, late_changes(spark, sf)), ["key", "seq"], "ts", "30 minutes"), out, scratch_path(spark, "cp"))
     return spark.read.parquet(out).select("key", "seq", "op")
 
 
@@ -84,6 +112,20 @@ def e4s(spark, sf):
     return shown(E.newest_batch(spark, out, ["window_start", "event_type"]))
 
 
+@query(
+    "E4_late_rows_stream",
+    D.with_(D.CHANGES, LATE_CHANGES)
+    + """ SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts),'%Y-%m-%d %H:%M:%S') AS window_start, op AS event_type, count(*) AS n, round(sum(value),6) AS total,
+ (SELECT count(*) FROM blocks)-(SELECT count(*) FROM timely) AS dropped FROM timely, done GROUP BY time_bucket(INTERVAL 6 HOUR, ts), op, wm HAVING epoch_us(time_bucket(INTERVAL 6 HOUR, ts))+21600000000 <= wm""",
+)
+def e4d(spark, sf):
+    """Windows that the watermark has closed, and the rows dropped behind it."""
+    out = scratch_path(spark, "closed")
+    q = E.run_to_files(E.closed_windows(as_arrivals(spark, late_changes(spark, sf)), "ts", "op", "value", 6 * 3600, "30 minutes"), out, scratch_path(spark, "cp"))
+    dropped = sum(f["dropped"] for f in E.state_figures(q))
+    return shown(E.window_totals(spark.read.parquet(out))).drop("mean").withColumn("dropped", F.lit(dropped).cast("bigint"))
+
+
 @query(
     "E4_sliding_windows",
     """SELECT strftime(ws,'%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value),6) AS total, round(avg(value),6) AS mean FROM (SELECT *, unnest([time_bucket(INTERVAL 2 HOUR, ts), time_bucket(INTERVAL 2 HOUR, ts)-INTERVAL 2 HOUR]) AS ws FROM events) GROUP BY 1,2""",
@@ -160,12 +202,27 @@ def e7b(spark, sf):
     return c.select("project", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "predictions", "labelled", "duplicates", "late", "missing")
 
 
-@query("E8_stream_join_labels", f"WITH {PL} SELECT project, id, label FROM j WHERE g<=5400000000")
-def e8(spark, sf):
+def joined_stream(spark, sf):
+    """Predictions and labels, both in order of time, joined with half an hour of delay."""
     p, la = preds_labels(spark, sf)
     out = scratch_path(spark, "joined")
-    E.run_to_files(E.stream_join_labels(as_stream(spark, p), as_stream(spark, la), "5400 seconds", "40 days"), out, scratch_path(spark, "cp"))
-    return spark.read.parquet(out).where("label is not null").select("project", "id", "label")
+    E.run_to_files(E.stream_join_labels(as_arrivals(spark, p, "ts"), as_arrivals(spark, la, "ts"), "5400 seconds", "30 minutes"), out, scratch_path(spark, "cp"))
+    return spark.read.parquet(out)
+
+
+@query("E8_stream_join_labels", f"WITH {PL} SELECT project, id, label FROM j WHERE g<=5400000000")
+def e8(spark, sf):
+    return joined_stream(spark, sf).where("label is not null").select("project", "id", "label")
+
+
+@query(
+    "E8_unmatched",
+    f"""WITH {PL}, done AS (SELECT least((SELECT max(epoch_us(ts)) FROM p), (SELECT max(epoch_us(ts)) FROM la))//1000*1000-1800000000 AS wm)
+ SELECT project, id, strftime(pts,'%Y-%m-%d %H:%M:%S') AS at FROM j, done GROUP BY project, id, pts, wm HAVING count(*) FILTER (g<=5400000000)=0 AND epoch_us(pts)+5400000000 < wm""",
+)
+def e8b(spark, sf):
+    """Predictions whose horizon the watermark has passed without a label."""
+    return joined_stream(spark, sf).where("label is null").select("project", "id", ts_text(F.col("pred_ts")).alias("at"))
 
 
 @query("E9_dead_letter", "SELECT event_id, CASE WHEN event_type='error' AND value<2 THEN 'type,value' WHEN event_type='error' THEN 'type' ELSE 'value' END AS reason, event_type<>'error' AS retryable, 1::INT AS attempt FROM events WHERE event_type='error' OR value<2")
@@ -223,7 +280,7 @@ def e12(spark, sf):
 
 @query(
     "E12_drift_detector_stream",
-    """WITH RECURSIVE e AS (SELECT user_id%5 AS key, event_id, value, row_number() OVER (PARTITION BY user_id%5 ORDER BY ts, event_id) AS i FROM events),
+    """WITH RECURSIVE e AS (SELECT user_id%5 AS key, event_id, value, row_number() OVER (PARTITION BY user_id%5 ORDER BY ts, event_id) AS i FROM events WHERE (epoch_ms(ts)//3600000+1)*3600000 <= (SELECT max(epoch_ms(ts)) FROM events)-10800000),
  r AS (SELECT key, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0::BIGINT AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS m, 0.0::DOUBLE AS low, NULL::DOUBLE AS ph FROM e GROUP BY key
   UNION ALL SELECT key, i, event_id, CASE WHEN hit THEN 0 ELSE n END, CASE WHEN hit THEN 0 ELSE mean END, CASE WHEN hit THEN 0 ELSE m END, CASE WHEN hit THEN 0 ELSE low END, CASE WHEN hit THEN m-low END
   FROM (SELECT *, m-low > 100.0::DOUBLE AS hit FROM (SELECT key, i, event_id, n, mean, m, CASE WHEN n>1 THEN least(low,m) ELSE m END AS low
@@ -232,8 +289,9 @@ def e12(spark, sf):
 )
 def e12s(spark, sf):
     out = scratch_path(spark, "alarms")
-    src = events(spark, sf).select((F.col("user_id") % 5).alias("key"), "event_id", "ts", "value")
-    E.run_to_files(E.drift_detector(as_stream(spark, src, files=1), 0.5, 100.0, "m1"), out, scratch_path(spark, "cp"))
+    e = events(spark, sf).withColumn("arrival", F.timestamp_seconds(F.unix_seconds("ts") + h32("event_id", F.lit("a")) % 7200))
+    src = as_arrivals(spark, e.select((F.col("user_id") % 5).alias("key"), "event_id", "ts", "value", "arrival"))
+    E.run_to_files(E.drift_detector(src, 0.5, 100.0, "m1", "3 hours"), out, scratch_path(spark, "cp"))
     return spark.read.parquet(out).select("key", "event_id", F.round("ph", 6).alias("ph"), "model_version")
 
 

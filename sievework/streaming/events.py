@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sievework.functions.columns import let, seconds
 from sievework.functions.scan import running
@@ -27,14 +28,54 @@ def replay_stream(spark: SparkSession, path: str, schema: T.StructType, max_file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt).load(path)
 
 
-def run_to_files(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def write_arrivals(df: DataFrame, path: str, block: Column, blocks: int) -> None:
+    """Writes blocks 0 to ``blocks`` - 1 of the rows one after another, one file
+    each, so that a file stream with one file a trigger reads them in that order."""
+    marked = df.withColumn("_block", block)
+    for b in range(blocks):
+        marked.where(F.col("_block") == b).drop("_block").coalesce(1).write.mode("append").parquet(path)
+
+
+def _drained(spark: SparkSession, writer) -> StreamingQuery:
+    """Runs a writer over what is there, with state in RocksDB (event-time timers
+    need it); the session's own setting comes back afterwards."""
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, ROCKSDB)
+    try:
+        q = writer.trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before)
+    return q
+
+
+def run_to_files(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Drains what is there into parquet files. Update mode keeps every batch
     apart, so a repeated batch overwrites itself."""
     if mode == "append":
         q = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     else:
         q = stream.writeStream.outputMode(mode).foreachBatch(batch_writer(out)).option("checkpointLocation", checkpoint)
-    q.trigger(availableNow=True).start().awaitTermination()
+    return _drained(stream.sparkSession, q)
+
+
+def state_figures(q: StreamingQuery) -> list[dict]:
+    """For every batch of a finished run: rows read, rows that its stateful
+    operators dropped as late, and rows they hold afterwards.
+
+    A query keeps the figures of its last batches only
+    (``spark.sql.streaming.numRecentProgressUpdates``); a longer run is an error."""
+    seen = q.recentProgress
+    if seen and seen[0]["batchId"] > 0:
+        raise ValueError("the first batches' figures are gone: raise spark.sql.streaming.numRecentProgressUpdates")
+    return [
+        {"batch": p["batchId"], "read": p["numInputRows"], "dropped": sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]), "held": sum(o["numRowsTotal"] for o in p["stateOperators"])}
+        for p in seen
+    ]
 
 
 def batch_writer(out: str, shape: Callable[[DataFrame], DataFrame] = lambda d: d):
@@ -48,7 +89,7 @@ def batch_writer(out: str, shape: Callable[[DataFrame], DataFrame] = lambda d: d
 
 
 def drain(stream: DataFrame, writer: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    stream.writeStream.outputMode(mode).foreachBatch(writer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    _drained(stream.sparkSession, stream.writeStream.outputMode(mode).foreachBatch(writer).option("checkpointLocation", checkpoint))
 
 
 # --- conform, dedup, lateness, windows --------------------------------------
@@ -94,6 +135,50 @@ def window_counts(df: DataFrame, ts: str, kind: str, value: str, size: str, slid
     return g.select(F.col("_w.start").alias("window_start"), kind, "n", "total", "mean")
 
 
+class _ClosingWindow(StatefulProcessor):
+    """Sums of one window and part of a type; a timer at the window's end emits
+    them and ends the state."""
+
+    def __init__(self, size_ms: int) -> None:
+        self.size = size_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "n bigint, total double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, total = self.sums.get() if self.sums.exists() else (0, 0.0)
+        if not n:
+            self.handle.registerTimer(int(key[0]) + self.size)
+        for b in rows:
+            n, total = n + len(b), total + float(b["value"].sum())
+        self.sums.update((int(n), float(total)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, total = self.sums.get()
+        self.sums.clear()
+        yield pd.DataFrame({"window_ms": [int(key[0])], "type": [key[1]], "n": [int(n)], "total": [float(total)]})
+
+
+def closed_windows(stream: DataFrame, ts: str, kind: str, value: str, size_s: int, delay: str, parts: int = 8) -> DataFrame:
+    """(window_ms, type, n, total) of tumbling windows once the watermark passes
+    their end, in append mode: nothing is emitted twice and a closed window keeps
+    no state. Rows behind the watermark are dropped and counted by Spark
+    (``state_figures``). A type is dealt to ``parts`` states, so a hot one is not one
+    task; a window has one row for each part, which ``window_totals`` sums."""
+    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    src = stream.withWatermark(ts, delay).select(
+        (F.floor(ms / (size_s * 1000)) * size_s * 1000).cast("bigint").alias("window_ms"), F.col(kind).alias("type"), F.pmod(F.xxhash64(ts, value), F.lit(parts)).alias("part"), F.col(value).cast("double").alias("value"), ts
+    )
+    return src.groupBy("window_ms", "type", "part").transformWithStateInPandas(_ClosingWindow(size_s * 1000), "window_ms bigint, type string, n bigint, total double", "Append", "EventTime")
+
+
+def window_totals(parts: DataFrame) -> DataFrame:
+    g = parts.groupBy(F.timestamp_millis("window_ms").alias("window_start"), F.col("type").alias("event_type"))
+    return g.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), (F.sum("total") / F.sum("n")).alias("mean"))
+
+
 def late_counts(classified: DataFrame, ts: str, size: str) -> DataFrame:
     """Rows a watermark would drop, per window."""
     return classified.where("lateness = 'late'").groupBy(F.window(ts, size).alias("_w")).agg(F.count(F.lit(1)).alias("dropped")).select(F.col("_w.start").alias("window_start"), "dropped")
@@ -226,30 +311,77 @@ def page_hinkley(df: DataFrame, key: str, order: Sequence[str], value: str, delt
 
 
 _ALARM = "key bigint, event_id bigint, ts timestamp, ph double, model_version string"
-_PH_STATE = "n bigint, mean double, m double, low double"
-
 
-def drift_detector(stream: DataFrame, delta: float, limit: float, model_version: str) -> DataFrame:
-    """Page-Hinkley per key with reset after each alarm. The state is four
-    numbers per key; rows of a batch are taken in event order.
-    stream(key, event_id, ts, value)."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, mean, m, low = state.get if state.exists else (0, 0.0, 0.0, 0.0)
-        rows = sorted((t, i, v) for b in batches for t, i, v in zip(b["ts"], b["event_id"], b["value"]))
+class _PageHinkley(StatefulProcessor):
+    """Rows wait in state until the watermark passes the end of their time slice; a
+    timer then takes them in event order. The detector is four numbers."""
+
+    def __init__(self, delta: float, limit: float, version: str, slice_ms: int) -> None:
+        self.delta, self.limit, self.version, self.slice = delta, limit, version, slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.figures = handle.getValueState("figures", "n bigint, mean double, m double, low double")
+        self.waiting = handle.getListState("waiting", "us bigint, event_id bigint, value double")
+
+    def _end(self, us: int) -> int:
+        """The end of a row's time slice in milliseconds."""
+        return (us // 1000 // self.slice + 1) * self.slice
+
+    def _wake(self, us: int, passed: int) -> None:
+        """One timer ahead is enough: the one of the earliest slice that waits."""
+        end = self._end(us)
+        if not any(passed < t <= end for t in self.handle.listTimers()):
+            self.handle.registerTimer(end)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for b in rows:
+            us = b["us"].tolist()
+            self.waiting.appendList(list(zip(us, b["event_id"].tolist(), b["value"].tolist())))
+            first = min(us) if first is None else min(first, *us)
+        if first is not None:
+            self._wake(first, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        due, later = [], []
+        for row in self.waiting.get():
+            (due if self._end(row[0]) <= passed else later).append(tuple(row))
+        if not due:
+            return
+        if later:
+            self.waiting.put(later)
+            self._wake(min(later)[0], passed)
+        else:
+            self.waiting.clear()
+        n, mean, m, low = self.figures.get() if self.figures.exists() else (0, 0.0, 0.0, 0.0)
         out = []
-        for t, i, v in rows:
+        for us, event_id, v in sorted(due):
             n += 1
             mean += (v - mean) / n
-            m += v - mean - delta
+            m += v - mean - self.delta
             low = min(low, m) if n > 1 else m
-            if m - low > limit:
-                out.append((key[0], i, t, m - low, model_version))
+            if m - low > self.limit:
+                out.append((int(key[0]), event_id, pd.Timestamp(us, unit="us"), m - low, self.version))
                 n, mean, m, low = 0, 0.0, 0.0, 0.0
-        state.update((int(n), float(mean), float(m), float(low)))
-        yield pd.DataFrame(out, columns=["key", "event_id", "ts", "ph", "model_version"])
+        self.figures.update((int(n), float(mean), float(m), float(low)))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "event_id", "ts", "ph", "model_version"])
+
+
+def drift_detector(stream: DataFrame, delta: float, limit: float, model_version: str, delay: str, slice_s: int = 3600) -> DataFrame:
+    """Page-Hinkley per key with reset after each alarm, in event order whatever
+    the arrival order within ``delay``. stream(key, event_id, ts, value).
 
-    return stream.groupBy("key").applyInPandasWithState(step, _ALARM, _PH_STATE, "append", GroupStateTimeout.NoTimeout)
+    Rows behind the watermark are dropped and counted (``state_figures``). A key's
+    state holds four numbers and the rows of the time slices that are still open,
+    so it does not grow with the stream; one slice of one key is ordered in memory.
+    Rows of slices that the last watermark has not passed wait in the checkpoint."""
+    src = stream.withWatermark("ts", delay).select("key", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
+    return src.groupBy("key").transformWithStateInPandas(_PageHinkley(delta, limit, model_version, slice_s * 1000), _ALARM, "Append", "EventTime")
 
 
 def prequential(df: DataFrame, key: str, order: Sequence[str], correct: Column, block_rows: str, window: int) -> DataFrame:

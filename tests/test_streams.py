@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sievework.plans import derive as D
-from sievework.plans.stream_queries import as_stream, events
+from sievework.plans.stream_queries import as_arrivals, as_stream, events, late_changes
 from sievework.session import scratch_path
 from sievework.streaming import events as E
 
@@ -32,6 +32,51 @@ def test_drift_detector_fires_on_shift(spark):
     rows = [(1, i, float(i), 0.0 if i < 200 else 30.0) for i in range(260)] + [(2, 1000 + i, float(i), 1.0) for i in range(260)]
     d = spark.createDataFrame(rows, "key long, event_id long, s double, value double").select("key", "event_id", F.timestamp_seconds("s").alias("ts"), "value")
     out = scratch_path(spark, "alarms")
-    E.run_to_files(E.drift_detector(as_stream(spark, d, files=1), 0.5, 100.0, "m"), out, scratch_path(spark, "cp"))
+    E.run_to_files(E.drift_detector(as_stream(spark, d, files=1), 0.5, 100.0, "m", "0 seconds", 10), out, scratch_path(spark, "cp"))
     got = spark.read.parquet(out).collect()
     assert got and {r.key for r in got} == {1} and min(r.event_id for r in got) in range(200, 210)
+
+
+def test_windows_close_and_leave_no_state(spark, sf):
+    d = late_changes(spark, sf)
+    out = scratch_path(spark, "closed")
+    q = E.run_to_files(E.closed_windows(as_arrivals(spark, d), "ts", "op", "value", 3600, "30 minutes"), out, scratch_path(spark, "cp"))
+    figures = E.state_figures(q)
+    closed = spark.read.parquet(out)
+    dropped = sum(f["dropped"] for f in figures)
+    assert dropped > 0 and closed.agg(F.sum("n")).first()[0] + dropped <= d.count()
+    # What a batch leaves behind is what the watermark has not passed, not all it read.
+    assert figures[-1]["held"] < 10 and max(f["held"] for f in figures) < closed.count() / 3
+
+
+def test_dedup_forgets_old_keys(spark, sf):
+    d = late_changes(spark, sf)
+    out = scratch_path(spark, "deduped")
+    q = E.run_to_files(E.dedup_events(as_arrivals(spark, d), ["key", "seq"], "ts", "30 minutes"), out, scratch_path(spark, "cp"))
+    figures = E.state_figures(q)
+    written = spark.read.parquet(out)
+    assert written.count() == written.select("key", "seq").distinct().count()
+    assert figures[-1]["held"] < 10 and sum(f["dropped"] for f in figures) > 0
+
+
+def test_detector_takes_events_in_order_of_time(spark):
+    """Batches in any arrival order give the alarms of the ordered events."""
+    rows = [(1, i, float(60 * i + 3600), float((i * 7919) % 50) + (60.0 if 150 <= i < 180 else 0.0)) for i in range(300)]
+    want, n, mean, m, low = [], 0, 0.0, 0.0, 0.0
+    for _, i, s, v in rows:
+        if s // 600 * 600 + 600 > 299 * 60 + 3600 - 7200:
+            break
+        n += 1
+        mean += (v - mean) / n
+        m += v - mean - 0.5
+        low = min(low, m) if n > 1 else m
+        if m - low > 100:
+            want.append((i, round(m - low, 6)))
+            n, mean, m, low = 0, 0.0, 0.0, 0.0
+    d = spark.createDataFrame(rows, "key long, event_id long, s double, value double").select("key", "event_id", F.timestamp_seconds("s").alias("ts"), "value")
+    path, out = scratch_path(spark, "arr"), scratch_path(spark, "alarms")
+    # Each of four batches holds every fourth of the rows up to two hours around it.
+    block = F.least(F.floor((F.unix_seconds("ts") + (F.col("event_id") * 37 % 100) * 60) / 4500), F.lit(4))
+    E.write_arrivals(d, path, block, 5)
+    E.run_to_files(E.drift_detector(E.replay_stream(spark, path, d.schema, 1), 0.5, 100.0, "m", "2 hours", 600), out, scratch_path(spark, "cp"))
+    assert sorted((r.event_id, round(r.ph, 6)) for r in spark.read.parquet(out).collect()) == want and want
