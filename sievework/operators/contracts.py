@@ -386,22 +386,30 @@ def inherited_licenses(adapters: DataFrame, models: DataFrame, datasets: DataFra
     )
 
 
-# fixed values: digest shape; numbers, then an optional qualifier; qualifiers that move
+# fixed values: shape of a digest; ends of versions that move
 DIGEST = r"^sha256:[0-9a-f]{64}$"
-VERSION = r"^v?([0-9]+[.][0-9]+(?:[.][0-9]+)?)([+-][0-9A-Za-z][0-9A-Za-z.-]*)?$"
 MOVING_ENDS = (".x", "-snapshot")
+_DIGITS = "0123456789"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def floating(version: Column) -> Column:
-    """A version is pinned when it parses into numbers and a qualifier and the
-    qualifier does not end in a moving token; anything else floats."""
-
-    def judge(parsed: Column) -> Column:
-        ends = [F.lower(parsed["tail"]).endswith(e) for e in MOVING_ENDS]
-        return (parsed["numbers"] == "") | ends[0] | ends[1]
-
-    text = F.trim(version)
-    return let(F.struct(F.regexp_extract(text, VERSION, 1).alias("numbers"), F.regexp_extract(text, VERSION, 2).alias("tail")), judge)
+    """A version is pinned when two or three numbers joined by dots stand before
+    the first dash or plus, what follows it is made of letters, digits, dots and
+    dashes and begins with a letter or digit, and the whole does not end in a
+    moving token. A leading v is left out; anything else floats."""
+    only = lambda c, allowed: F.translate(F.lower(c), allowed, "") == ""
+
+    def judge(text: Column) -> Column:
+        parts = F.split(F.when(text.startswith("v"), F.substr(text, F.lit(2))).otherwise(text), "[-+]", 2)
+        numbers, label = F.split(parts[0], "[.]"), F.get(parts, F.lit(1))
+        numbered = F.size(numbers).between(2, 3) & F.forall(numbers, lambda n: (n != "") & only(n, _DIGITS))
+        start = F.substring(label, 1, 1)
+        labelled = label.isNull() | ((start != "") & only(start, _DIGITS + _LETTERS) & only(label, _DIGITS + _LETTERS + ".-"))
+        moving = F.lower(text).endswith(MOVING_ENDS[0]) | F.lower(text).endswith(MOVING_ENDS[1])
+        return ~(numbered & labelled) | moving
+
+    return let(F.trim(version), judge)
 
 
 def pinned_version_audit(components: DataFrame, required: Sequence[str] = ()) -> DataFrame:

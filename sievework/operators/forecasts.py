@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sievework.functions.scan import exact_quantiles
@@ -34,25 +34,42 @@ def seasonal_naive(series: DataFrame, day: str, y: str, season: int, horizon: in
     )
 
 
-def lag_regression_forecast(series: DataFrame, day: str, y: str, last: Column, k: int, horizon: int, lags: tuple[int, ...] = (7, 14, 28)) -> DataFrame:
-    """Linear model on lag and calendar features, fitted per fold. Every lag is
-    at least the horizon, so no test feature looks past the origin."""
+def lag_regression_forecast(series: DataFrame, day: str, y: str, last: Column, k: int, horizon: int, lags: tuple[int, ...] = (7, 14, 28), ridge: float = 0.01) -> DataFrame:
+    """Linear model on lag and calendar features, fitted per fold: least squares
+    plus ``ridge`` times the squared slopes. Every lag is at least the horizon, so
+    no test feature looks past the origin.
+
+    All folds are fitted by one aggregation of the products of their features (the
+    normal equations); only those sums, one small row a fold, meet the solver."""
     if min(lags) < horizon:
         raise ValueError("a lag shorter than the horizon would look ahead")
     feats = series
     for n in lags:
         past = series.select(F.date_add(day, n).alias(day), F.col(y).alias(f"lag_{n}"))
         feats = feats.join(past, day)
-    feats = feats.withColumn("dow", F.dayofweek(day).cast("double")).withColumn("month", F.month(day).cast("double"))
-    feats = VectorAssembler(inputCols=[*[f"lag_{n}" for n in lags], "dow", "month"], outputCol="features").transform(feats)
-    folds = backtest_folds(feats, day, last, k, horizon)
-    out = []
-    for f in range(1, k + 1):
-        one = folds.where(F.col("fold") == f)
-        model = LinearRegression(labelCol=y, regParam=0.01).fit(one.where("role = 'train'"))
-        pred = model.transform(one.where("role = 'test'"))
-        out.append(pred.select("fold", day, (F.datediff(day, "origin") + 1).alias("horizon"), F.col("prediction").alias("forecast"), F.col(y).alias("actual")))
-    return reduce(DataFrame.unionByName, out)
+    x = [F.lit(1.0), *[F.col(f"lag_{n}").cast("double") for n in lags], F.dayofweek(day).cast("double"), F.month(day).cast("double")]
+    size = len(x)
+    folds = backtest_folds(feats.select(day, F.col(y).cast("double").alias(y), F.array(*x).alias("x")), day, last, k, horizon)
+    at = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = [F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in at] + [F.sum(F.col("x")[i] * F.col(y)) for i in range(size)]
+    fitted = folds.where("role = 'train'").groupBy("fold").agg(F.array(*sums).alias("s"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for s in b["s"]:
+                m = np.diag([0.0] + [ridge] * (size - 1))
+                for (i, j), v in zip(at, s):
+                    m[i, j] += v
+                    m[j, i] += v if i != j else 0.0
+                # A fold whose features depend on each other gets the shortest solution.
+                out.append(np.linalg.lstsq(m, np.array(s[len(at) :]), rcond=None)[0])
+            yield pd.DataFrame({"fold": b["fold"], "w": out})
+
+    weights = fitted.mapInPandas(solve, "fold int, w array<double>")
+    dot = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    test = folds.where("role = 'test'").join(weights, "fold")
+    return test.select("fold", day, (F.datediff(day, "origin") + 1).alias("horizon"), dot.alias("forecast"), F.col(y).alias("actual"))
 
 
 def horizon_metrics(forecasts: DataFrame) -> DataFrame:

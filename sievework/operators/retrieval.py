@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,15 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from sievework.functions.columns import h32, let, ratio, words
-from sievework.functions.topk import best_rows, cosine_scorer, tiled_topk
+from sievework.functions.postings import Postings, build_postings, bm25_search
+from sievework.functions.topk import cosine_scorer, tiled_topk
 from sievework.operators.evaluation import bootstrap_ci
 from sievework.operators.text import squeeze
-
-K1, B = 1.2, 0.75
-
+from sievework.session import scratch_path
 
 def tokens(c: Column) -> Column:
     return words(squeeze(c))
@@ -66,92 +64,22 @@ def dense_topk(
     return found if citation is None else found.join(index.select("item_id", F.col(citation).alias("citation")), "item_id")
 
 
-def _planes(dim: int, planes: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((planes, dim))
-
-
-def plane_bucket(v: str, dim: int, planes: int, seed: int) -> str:
-    """A vector's bucket as DuckDB text, with the planes as literals."""
-    return "+".join(f"(list_inner_product({v}, {[float(x) for x in p]}::DOUBLE[])>0)::INT*{1 << j}" for j, p in enumerate(_planes(dim, planes, seed)))
-
-
-def ann_topk(queries: DataFrame, index: DataFrame, k: int, dim: int, planes: int, seed: int, tile_rows: int = 50_000, skip: str | None = None) -> DataFrame:
-    """Random-hyperplane buckets; a query also probes every bucket one bit away;
-    exact rerank inside. A full bucket is cut into tiles, each meeting its
-    queries on its own, so no bucket is one task and no pair is emitted. ``skip``
-    names an array column of the queries with item ids that are no candidates."""
-    p = _planes(dim, planes, seed)
-    weights = 1 << np.arange(planes)
-
-    @pandas_udf(LongType())
-    def bucket(s: pd.Series) -> pd.Series:
-        if not len(s):
-            return pd.Series([], dtype="int64")
-        return pd.Series(((np.stack(s.to_numpy()) @ p.T > 0) * weights).sum(axis=1).astype("int64"), index=s.index)
-
-    bucket = bucket.asNondeterministic()
-    i = index.withColumn("_b", bucket("vector"))
-    sizes = i.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_tiles"))
-    i = i.join(sizes, "_b").withColumn("_t", F.pmod(F.xxhash64("item_id"), F.col("_tiles"))).drop("_tiles")
-    probes = F.array(F.col("_b"), *[F.col("_b").bitwiseXOR(F.lit(1 << j)) for j in range(planes)])
-    q = queries.withColumn("_b", bucket("vector")).withColumn("_b", F.explode(probes)).join(sizes, "_b")
-    q = q.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1).cast("array<bigint>"))).drop("_tiles")
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return best_rows(np.array([], "int64"), np.array([], "int64"), np.zeros((0, 0)), k)
-        score, ids = cosine_scorer(a, b), b["item_id"].to_numpy()
-        if skip:
-            for row, known in zip(score, a[skip]):
-                row[np.isin(ids, known)] = -np.inf
-        return best_rows(a["query_id"].to_numpy(), ids, score, k)
-
-    local = q.groupBy("_b", "_t").cogroup(i.groupBy("_b", "_t")).applyInPandas(meet, "query_id bigint, item_id bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def recall_against(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of each query's exact results that a search found."""
     hit = exact.join(found.select("query_id", "item_id").withColumn("_h", F.lit(True)), ["query_id", "item_id"], "left")
     return hit.groupBy("query_id").agg(F.round(F.count_if("_h") / F.count(F.lit(1)), 6).alias("recall"))
 
 
-def _term_scorer(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
-    vocab = {t: n for n, t in enumerate(sorted({t for ts in q["terms"] for t in ts}))}
-    qm = np.zeros((len(q), max(1, len(vocab))))
-    for r, ts in enumerate(q["terms"]):
-        qm[r, [vocab[t] for t in ts]] = 1.0
-    out = np.empty((len(q), len(i)))
-    for at in range(0, len(i), 1024):
-        part = i.iloc[at : at + 1024]
-        im = np.zeros((qm.shape[1], len(part)))
-        for c, (ts, ws) in enumerate(zip(part["terms"], part["weights"])):
-            for t, w in zip(ts, ws):
-                if t in vocab:
-                    im[vocab[t], c] = w
-        out[:, at : at + 1024] = qm @ im
-    out[out <= 0] = -np.inf
-    return out
-
-
-def bm25_topk(queries: DataFrame, items: DataFrame, k: int, query_bound: int = 4096) -> DataFrame:
-    """BM25 top-k. queries(query_id, text), items(item_id, text).
-
-    Postings are cut to query terms before they are shuffled; a document's term
-    weights then meet all queries inside one task, so no (query, document) sum
-    is shuffled."""
-    q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
-    want = q.select(F.explode("terms").alias("term")).distinct()
-    d = items.select("item_id", tokens(F.col("text")).alias("_w")).withColumn("dl", F.size("_w"))
-    stats = d.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))).scalar()
-    tf = d.select("item_id", "dl", F.explode("_w").alias("term")).join(want, "term", "left_semi").groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    s = tf.join(df, "term").withColumn("_s", stats)
-    idf = F.ln(1 + (F.col("_s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_s.avgdl")))
-    index = s.groupBy("item_id").agg(F.collect_list(F.struct("term", weight.alias("w"))).alias("_p"))
-    index = index.select("item_id", F.col("_p.term").alias("terms"), F.col("_p.w").alias("weights"))
-    return tiled_topk(q, index, k, _term_scorer, query_bound)
+def bm25_index(items: DataFrame) -> Postings:
+    """Posting index of items(item_id, text) in the shared folder."""
+    return build_postings(items, tokens(F.col("text")), scratch_path(items.sparkSession, "postings"))
+
+
+def bm25_topk(queries: DataFrame, items: DataFrame | Postings, k: int) -> DataFrame:
+    """BM25 top-k. queries(query_id, text), items(item_id, text) or their stored
+    posting index, which later searches need not build again."""
+    index = items if isinstance(items, Postings) else bm25_index(items)
+    return bm25_search(queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms")), index, k)
 
 
 def fuse_rrf(lists: Sequence[DataFrame], k0: int, k: int) -> DataFrame:
@@ -236,28 +164,41 @@ def overlap_features(cands: DataFrame, queries: DataFrame, items: DataFrame) ->
     )
 
 
-def _token_vector(t: str, dim: int) -> np.ndarray:
-    v = np.frombuffer(hashlib.md5(t.encode()).digest()[:dim], dtype=np.uint8).astype("float64") - 127.5
-    return v / np.sqrt((v * v).sum())
+def _signs(c: Column, dim: int) -> Column:
+    """Vectors of words, ``dim`` bytes each, one after another."""
+    return F.to_binary(F.array_join(F.transform(c, lambda t: F.substring(F.md5(t), 1, 2 * dim)), ""), F.lit("hex"))
+
+
+def token_index(items: DataFrame, path: str, dim: int = 16) -> DataFrame:
+    """Writes (item_id, item_vectors, vectors): every distinct word of an item as a
+    vector of ``dim`` bytes, made once. Returns the stored table."""
+    words_ = items.select("item_id", F.array_distinct(tokens(F.col("text"))).alias("_w"))
+    words_.select("item_id", F.size("_w").alias("item_vectors"), _signs(F.col("_w"), dim).alias("vectors")).write.parquet(path)
+    return items.sparkSession.read.parquet(path)
+
+
+def index_size(index: DataFrame) -> DataFrame:
+    """Items, vectors and bytes of a token index."""
+    return index.agg(F.count(F.lit(1)).alias("items"), F.sum("item_vectors").alias("vectors"), F.sum(F.length("vectors")).alias("bytes"))
 
 
 def late_interaction(cands: DataFrame, queries: DataFrame, items: DataFrame, dim: int = 16) -> DataFrame:
-    """MaxSim: for each query token its best item token, summed; plus the index
-    size in vectors. Token vectors are derived from token hashes."""
+    """MaxSim: for each query token its best item token, summed; plus the item's
+    vectors. ``items`` is a stored token index, or (item_id, text) that one is made
+    of. Token vectors are derived from token hashes, once for each item; a pair
+    costs one small matrix product."""
+    index = items if "vectors" in items.columns else token_index(items.join(cands.select("item_id").distinct(), "item_id", "left_semi"), scratch_path(cands.sparkSession, "token-index"), dim)
 
     @pandas_udf(DoubleType())
     def maxsim(q: pd.Series, d: pd.Series) -> pd.Series:
-        def one(a, b):
-            if not len(a) or not len(b):
-                return 0.0
-            x = np.stack([_token_vector(t, dim) for t in a])
-            y = np.stack([_token_vector(t, dim) for t in b])
-            return float((x @ y.T).max(axis=1).sum())
+        def unit(raw) -> np.ndarray:
+            v = np.frombuffer(raw, np.uint8).reshape(-1, dim).astype(np.float64) - 127.5
+            return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
-        return pd.Series([one(a, b) for a, b in zip(q, d)], index=q.index)
+        return pd.Series([float((unit(a) @ unit(b).T).max(axis=1).sum()) if len(a) and len(b) else 0.0 for a, b in zip(q, d)], index=q.index, dtype=float)
 
-    j = cands.join(queries.select("query_id", tokens(F.col("text")).alias("_q")), "query_id").join(items.select("item_id", F.array_distinct(tokens(F.col("text"))).alias("_d")), "item_id")
-    s = j.select("query_id", "item_id", F.round(maxsim("_q", "_d"), 6).alias("score"), F.size("_d").alias("item_vectors"))
+    j = cands.join(queries.select("query_id", _signs(tokens(F.col("text")), dim).alias("_q")), "query_id").join(index, "item_id")
+    s = j.select("query_id", "item_id", F.round(maxsim("_q", "vectors"), 6).alias("score"), "item_vectors")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return s.withColumn("rank", F.row_number().over(w))
 

@@ -59,6 +59,7 @@ def _lookup(c: str, pairs: Sequence[tuple[str, float]]) -> Column:
 def generate_listings(ids: DataFrame, key: str, seed: str) -> DataFrame:
     """Synthetic listings, one per given id. Every cell is a function of (seed,
     id, column), so partitioning never changes a value."""
+    # fixed values: bounds, weights and coefficients of the listing law, down to the score
     u = lambda c: uniform(F.lit(f"{seed}|{c}|"), F.col(key))
     g = lambda c: normal(F.lit(f"{seed}|{c}|"), F.col(key))
     d = ids.select(key)

@@ -189,24 +189,32 @@ def restore_check(backup: DataFrame, restored: DataFrame, key: Sequence[str], ev
 # --- manifests and lineage --------------------------------------------------
 
 
-def build_manifests(runs: DataFrame, artifacts: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One record per run, of one shape whatever the run's size: artifacts and
-    metrics stay in their tables and the record refers to them by count, least
-    output and an order-free digest of the run's rows there.
+def build_manifests(runs: DataFrame, artifacts: DataFrame, params: DataFrame, metrics: DataFrame, part_rows: int = 10_000) -> DataFrame:
+    """Nested run records: run_id, part, parts, name, started_at, decision,
+    inputs and outputs (arrays of uri and checksum, sorted), params and metrics
+    (arrays of name and value, sorted).
 
     runs(run_id, name, decision, started_at), artifacts(run_id, role, uri,
-    checksum), metrics(run_id, metric, value)."""
-    kind = lambda role, c: F.when(F.col("role") == role, F.col(c))
-    arts = artifacts.groupBy("run_id").agg(
-        F.count(kind("input", "role")).alias("n_inputs"), F.count(kind("output", "role")).alias("n_outputs"),
-        F.min(kind("output", "uri")).alias("first_output"), F.bit_xor(F.xxhash64("role", "uri", "checksum")).alias("artifacts_digest"),
-    )
-    mets = metrics.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_metrics"), F.bit_xor(F.xxhash64("metric", "value")).alias("metrics_digest"))
-    zero = F.lit(0).cast("bigint")
-    counts = [F.coalesce(c, zero).alias(c) for c in ("n_inputs", "n_outputs", "n_metrics")]
-    return (
-        runs.join(arts, "run_id", "left").join(mets, "run_id", "left")
-        .select("run_id", "name", "started_at", "decision", *counts, "first_output", "artifacts_digest", "metrics_digest")
+    checksum), params(run_id, name, value), metrics(run_id, metric, value). A run
+    with more than ``part_rows`` entries becomes several numbered parts of about
+    that many, each a record with the run's own fields, so no record grows with the
+    run; a run without entries is one part with empty arrays."""
+    entry = lambda d, kind, a, b: d.select("run_id", kind.alias("_k"), F.col(a).alias("_a"), F.col(b).cast("string").alias("_b"))
+    rows = entry(artifacts, F.col("role"), "uri", "checksum").unionByName(entry(params, F.lit("param"), "name", "value")).unionByName(entry(metrics, F.lit("metric"), "metric", "value"))
+    parts = rows.groupBy("run_id").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
+    dealt = rows.join(parts, "run_id").withColumn("part", F.pmod(F.hash("_k", "_a", "_b"), F.col("parts")))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("_k") == kind, F.struct("_a", "_b"))))
+    kinds = {"inputs": "input", "outputs": "output", "params": "param", "metrics": "metric"}
+    made = dealt.groupBy("run_id", "part").agg(*[of(k).alias(n) for n, k in kinds.items()])
+    # A run has all of its numbered parts, also one that no entry was dealt to.
+    numbered = runs.join(parts, "run_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    numbered = numbered.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    out = numbered.join(made, ["run_id", "part"], "left")
+    none = F.array().cast("array<struct<_a:string,_b:string>>")
+    pair = lambda c, a, b, kind: F.transform(F.coalesce(c, none), lambda x: F.struct(x["_a"].alias(a), x["_b"].cast(kind).alias(b))).alias(c)
+    return out.select(
+        "run_id", "part", "parts", "name", "started_at", "decision", pair("inputs", "uri", "checksum", "string"), pair("outputs", "uri", "checksum", "string"),
+        pair("params", "name", "value", "string"), pair("metrics", "name", "value", "double"),
     )
 
 
@@ -257,12 +265,10 @@ def orphan_outputs(artifacts: DataFrame, runs: DataFrame, sources: DataFrame) ->
     return no_run.unionByName(no_producer)
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes on a dependency cycle, or on a way from one cycle to another: what is
-    left after taking away, from both sides at once, nodes that need nothing open
-    and nodes that nothing open needs. edges(id, needs)."""
-    left = cut(edges.where("id <> needs").select("id", "needs").distinct())
-    count = left.count()
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges left after taking away, from both sides at once, nodes that need
+    nothing open and nodes that nothing open needs."""
+    left, count = edges, edges.count()
     while count:
         needed, needing = left.select(F.col("needs").alias("id")), left.select(F.col("id").alias("needs"))
         left = cut(left.join(needing.distinct(), "needs", "left_semi").join(needed.distinct(), "id", "left_semi").select("id", "needs"))
@@ -270,7 +276,45 @@ def on_cycles(edges: DataFrame) -> DataFrame:
         if now == count:
             break
         count = now
-    return left.select("id").distinct()
+    return left
+
+
+def _spread(marks: DataFrame, along: DataFrame, name: str) -> DataFrame:
+    """marks(node, name) pushed along along(src, dst) until nothing grows: each
+    node ends with the greatest mark that reaches it."""
+    while True:
+        pushed = marks.join(along, marks["node"] == along["src"]).select(F.col("dst").alias("node"), F.col(name).alias("_n"))
+        best = pushed.groupBy("node").agg(F.max("_n").alias("_n"))
+        new = cut(marks.join(best, "node", "left").select("node", F.greatest(name, "_n").alias(name), (F.coalesce(F.col("_n") > F.col(name), F.lit(False))).alias("_up")))
+        marks = new.drop("_up")
+        if new.where("_up").isEmpty():
+            return marks
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(id): nodes in a strongly connected set of two or more. edges(id, needs).
+
+    Trimming leaves cycles and ways between them. Then the greatest id that
+    reaches a node is its colour; the nodes of a colour from which its own root can
+    be reached are one strongly connected set. Sets found are taken away and the
+    rest is trimmed and coloured again."""
+    left = _trimmed(cut(edges.where("id <> needs").select("id", "needs").distinct()))
+    found = left.select("id").limit(0)
+    while not left.isEmpty():
+        nodes = left.select(F.col("id").alias("node")).union(left.select("needs")).distinct()
+        forward = left.select(F.col("id").alias("src"), F.col("needs").alias("dst"))
+        colour = cut(_spread(cut(nodes.withColumn("colour", F.col("node"))), forward, "colour"))
+        # Back from each root along edges inside its colour.
+        a, b = colour.withColumnsRenamed({"node": "src", "colour": "_a"}), colour.withColumnsRenamed({"node": "dst", "colour": "_b"})
+        inside = cut(forward.join(a, "src").join(b, "dst").where("_a = _b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        root = cut(colour.select("node", (F.col("node") == F.col("colour")).cast("int").alias("home")))
+        sets = cut(_spread(root, inside, "home").where("home = 1").join(colour, "node"))
+        big = sets.groupBy("colour").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("colour")
+        found = cut(found.union(sets.join(big, "colour", "left_semi").select("node")))
+        done = sets.select("node")
+        rest = left.join(done.withColumnRenamed("node", "id"), "id", "left_anti").join(done.withColumnRenamed("node", "needs"), "needs", "left_anti")
+        left = _trimmed(cut(rest.select("id", "needs")))
+    return found.distinct()
 
 
 def dependency_audit(nodes: DataFrame, edges: DataFrame, id_pattern: str) -> DataFrame:

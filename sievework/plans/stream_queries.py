@@ -336,6 +336,16 @@ def policies(spark, sf):
 
 @query("E15_materialize_features", "SELECT user_id, arg_max(value,event_id) AS value, arg_max(event_type,event_id) AS event_type FROM events GROUP BY 1")
 def e15(spark, sf):
-    out = scratch_path(spark, "features")
-    E.drain(as_stream(spark, events(spark, sf)), E.materialize_features(out, "user_id", "ts", "event_id", ["value", "event_type"]), scratch_path(spark, "cp"))
-    return E.online_features(spark, out, "user_id", "ts", "event_id", ["value", "event_type"]).select("user_id", "value", "event_type")
+    e = events(spark, sf)
+    features = E.feature_table(scratch_path(spark, "features"), e, "user_id", "ts", "event_id", ["value", "event_type"])
+    E.drain(as_stream(spark, e), E.materialize_features(features), scratch_path(spark, "cp"))
+    return E.online_features(spark, features).select("user_id", "value", "event_type")
+
+
+@query("E15_lookup_features", "SELECT user_id, arg_max(value,event_id) AS value FROM events WHERE user_id%7=3 GROUP BY 1")
+def e15b(spark, sf):
+    """Some keys, from their buckets and the open deltas."""
+    e = events(spark, sf)
+    features = E.feature_table(scratch_path(spark, "features"), e, "user_id", "ts", "event_id", ["value"])
+    E.drain(as_stream(spark, e, max_files=1), E.materialize_features(features), scratch_path(spark, "cp"))
+    return E.online_features(spark, features, e.where("user_id % 7 = 3").select("user_id")).select("user_id", "value")

@@ -100,9 +100,10 @@ def v6(spark, sf):
 
 @query(
     "V7_build_manifests",
-    """WITH a AS (SELECT l_orderkey AS run_id, CASE WHEN l_linenumber=1 THEN 'input' ELSE 'output' END AS role, 'p/'||l_partkey||'/'||l_linenumber||'/'||l_suppkey AS uri FROM lineitem)
- SELECT o_orderkey AS run_id, CASE WHEN o_totalprice>=100000 THEN 'allow' ELSE 'deny' END AS decision, count(*) FILTER (role='input') AS n_inputs, count(*) FILTER (role='output') AS n_outputs,
- min(uri) FILTER (role='output') AS first_output, any_value(o_totalprice) AS total FROM orders LEFT JOIN a ON o_orderkey=run_id GROUP BY 1,2""",
+    """WITH a AS (SELECT l_orderkey AS run_id, CASE WHEN l_linenumber=1 THEN 'input' ELSE 'output' END AS role, 'p/'||l_partkey||'/'||l_linenumber||'/'||l_suppkey AS uri, md5(l_partkey::VARCHAR) AS checksum FROM lineitem),
+ g AS (SELECT run_id, string_agg(uri||'#'||checksum, ',' ORDER BY uri, checksum) FILTER (role='input') AS i, string_agg(uri||'#'||checksum, ',' ORDER BY uri, checksum) FILTER (role='output') AS o FROM a GROUP BY 1)
+ SELECT o_orderkey AS run_id, 0::INT AS part, 1::INT AS parts, o_orderpriority AS name, CASE WHEN o_totalprice>=100000 THEN 'allow' ELSE 'deny' END AS decision, coalesce(i,'') AS inputs, coalesce(o,'') AS outputs,
+  'customer='||o_custkey||',status='||o_orderstatus AS params, o_totalprice AS total FROM orders LEFT JOIN g ON o_orderkey=run_id""",
 )
 def v7(spark, sf):
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
@@ -114,9 +115,12 @@ def v7(spark, sf):
         F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linenumber") == 1, "input").otherwise("output").alias("role"),
         F.concat_ws("/", F.lit("p"), "l_partkey", "l_linenumber", "l_suppkey").alias("uri"), F.md5(F.col("l_partkey").cast("string")).alias("checksum"),
     )
+    pars = o.select(F.col("o_orderkey").alias("run_id"), F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for n, c in (("customer", "o_custkey"), ("status", "o_orderstatus"))])))
     mets = o.select(F.col("o_orderkey").alias("run_id"), F.lit("total").alias("metric"), F.col("o_totalprice").alias("value"))
-    m = V.build_manifests(runs, arts, mets).join(mets.select("run_id", F.col("value").alias("total")), "run_id", "left")
-    return m.select("run_id", "decision", "n_inputs", "n_outputs", "first_output", "total")
+    shown = lambda c, a, b, mark: F.array_join(F.transform(c, lambda x: F.concat(x[a], F.lit(mark), x[b])), ",").alias(c)
+    return V.build_manifests(runs, arts, pars, mets).select(
+        "run_id", "part", "parts", "name", "decision", shown("inputs", "uri", "checksum", "#"), shown("outputs", "uri", "checksum", "#"), shown("params", "name", "value", "="), F.col("metrics")[0]["value"].alias("total")
+    )
 
 
 @query(

@@ -13,6 +13,7 @@ from sievework.functions.columns import let, seconds
 from sievework.functions.scan import running
 from sievework.operators.quality import tag_broken
 from sievework.operators.versions import dataset_checksum, diff_rows
+from sievework.streaming.state_table import StateTable
 
 
 def hour_block(ts: str) -> Column:
@@ -210,24 +211,29 @@ def fold_state_stream(stream: DataFrame, key: str = "key") -> DataFrame:
     return fold_state(stream, key)
 
 
-def apply_changes(log: str, sources: DataFrame, key: str = "key"):
-    """foreachBatch function: changes of known keys are folded and written as
-    one delta per batch; unknown keys go to ``refused``. Writing a batch again
-    replaces its own delta, so a replay changes nothing."""
+def change_table(log: str, key_type: str = "bigint", value_type: str = "double", key: str = "key", share: float = 0.5) -> StateTable:
+    """State table of change events: the greatest sequence wins, delete wins a
+    tie; deletes stay as rows, so that an older change cannot bring a key back."""
+    schema = T.StructType.fromDDL(f"{key} {key_type}, seq bigint, op string, value {value_type}")
+    return StateTable(log, key, [F.col("seq"), (F.col("op") == "delete").cast("int"), F.col("op"), F.col("value")], schema, share=share)
+
+
+def apply_changes(log: str, sources: DataFrame, key: str = "key", table: StateTable | None = None):
+    """foreachBatch function: changes of known keys go to the state table; unknown
+    keys go to ``refused``. Running a batch again changes nothing."""
+    state = table or change_table(f"{log}/state", key=key)
 
     def write(df: DataFrame, batch_id: int) -> None:
-        known = df.join(sources.select(key).distinct(), key, "left_semi")
-        bad = df.join(sources.select(key).distinct(), key, "left_anti")
-        fold_state(known, key).write.mode("overwrite").parquet(f"{log}/deltas/batch_id={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{log}/refused/batch_id={batch_id}")
+        known = sources.select(key).distinct()
+        df.join(known, key, "left_anti").write.mode("overwrite").parquet(f"{log}/refused/batch_id={batch_id}")
+        state.write(df.join(known, key, "left_semi"), batch_id)
 
     return write
 
 
-def current_state(spark: SparkSession, log: str, key: str = "key") -> DataFrame:
-    """State read from the deltas: one more fold."""
-    d = spark.read.parquet(f"{log}/deltas")
-    return fold_state(d.select(key, "seq", "op", "value"), key)
+def current_state(spark: SparkSession, log: str, key: str = "key", table: StateTable | None = None) -> DataFrame:
+    """(key, seq, op, value, alive) of the state table: its base and open deltas."""
+    return fold_state((table or change_table(f"{log}/state", key=key)).read(spark), key)
 
 
 def replay_check(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -444,19 +450,19 @@ def update_policies(daily: DataFrame, key: str, delay: int, window: int, delta:
     return long.groupBy(key, "policy").agg(F.count("err").alias("days"), F.round(F.avg("err"), 6).alias("mae"))
 
 
-def materialize_features(out: str, key: str, ts: str, tie: str, values: Sequence[str]):
-    """foreachBatch function: newest feature values per key of the batch, one
-    delta per batch; read them with :func:`online_features`."""
+def feature_table(out: str, source: DataFrame, key: str, ts: str, tie: str, values: Sequence[str], share: float = 0.5) -> StateTable:
+    """State table of the newest feature values per key."""
+    schema = T.StructType([source.schema[c] for c in (key, ts, tie, *values)])
+    return StateTable(out, key, [F.col(ts), F.col(tie)], schema, share=share)
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        new = df.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(ts, tie)).alias("_v"), F.max(F.struct(ts, tie)).alias("_at"))
-        new.select(key, F.col(f"_at.{ts}").alias(ts), F.col(f"_at.{tie}").alias(tie), "_v.*").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    return write
-
-
-def online_features(spark: SparkSession, out: str, key: str, ts: str, tie: str, values: Sequence[str]) -> DataFrame:
-    d = spark.read.parquet(out)
-    return d.groupBy(key).agg(F.max_by(F.struct(ts, *values), F.struct(ts, tie)).alias("_v")).select(key, "_v.*")
+def materialize_features(table: StateTable):
+    """foreachBatch function: newest feature values per key, one delta per batch,
+    folded into the base when deltas grow; read them with :func:`online_features`."""
+    return table.write
 
 
+def online_features(spark: SparkSession, table: StateTable, keys: DataFrame | None = None) -> DataFrame:
+    """Newest features of all keys, or of some, which read their buckets only."""
+    rows = table.read(spark) if keys is None else table.lookup(spark, keys)
+    return rows

@@ -50,9 +50,29 @@ def test_floating(spark, version, moving):
     assert spark.createDataFrame([(version,)], "v string").select(K.floating(F.col("v"))).first()[0] is moving
 
 
-def test_manifests_have_one_shape(spark):
+def test_manifests_hold_their_entries(spark):
     runs = spark.createDataFrame([(1, "r", "allow", "t"), (2, "s", "deny", "t")], "run_id int, name string, decision string, started_at string")
-    arts = spark.createDataFrame([(1, "output", f"u{i:05d}", "c") for i in range(12_000)], "run_id int, role string, uri string, checksum string")
-    mets = spark.createDataFrame([(1, "m", 1.0)], "run_id int, metric string, value double")
-    out = {r.run_id: r for r in V.build_manifests(runs, arts, mets).collect()}
-    assert len(out) == 2 and out[1].n_outputs == 12_000 and out[1].first_output == "u00000" and out[2].n_outputs == 0
+    arts = spark.createDataFrame([(1, "output", f"u{i:05d}", "c") for i in range(12_000)] + [(1, "input", "a", None)], "run_id int, role string, uri string, checksum string")
+    pars = spark.createDataFrame([(1, "depth", "3")], "run_id int, name string, value string")
+    mets = spark.createDataFrame([(1, "m", 1.5)], "run_id int, metric string, value double")
+    out = V.build_manifests(runs, arts, pars, mets, part_rows=5000).collect()
+    one = [r for r in out if r.run_id == 1]
+    # A long run is numbered parts of a bounded size that hold every entry once.
+    assert sorted((r.part, r.parts) for r in one) == [(0, 3), (1, 3), (2, 3)] and all(3500 < len(r.outputs) < 4500 for r in one)
+    assert sorted(x.uri for r in one for x in r.outputs) == [f"u{i:05d}" for i in range(12_000)]
+    assert [tuple(x) for r in one for x in r.inputs] == [("a", None)]
+    assert [tuple(x) for r in one for x in r.params] == [("depth", "3")] and [tuple(x) for r in one for x in r.metrics] == [("m", 1.5)]
+    assert [(r.part, r.parts, r.inputs, r.outputs, r.metrics, r.decision) for r in out if r.run_id == 2] == [(0, 1, [], [], [], "deny")]
+
+
+def test_only_strongly_connected_nodes_are_on_cycles(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("x", "y"), ("y", "p"), ("p", "q"), ("q", "p"), ("q", "z"), ("s", "s"), ("m", "a"), ("b", "a")]
+    got = {r.id for r in V.on_cycles(spark.createDataFrame(edges, "id string, needs string")).collect()}
+    # x and y lie on a way from one cycle to another, but on none.
+    assert got == {"a", "b", "c", "p", "q"}
+    assert V.on_cycles(spark.createDataFrame([("a", "b")], "id string, needs string")).collect() == []
+
+
+@pytest.mark.parametrize("version, moving", [("v1.2.3+build.5", False), ("1.2-", True), ("1.2.", True), ("1", True), ("1.2.3.4", True), ("1.2-é", True), (" 1.2 ", False), ("vv1.2", True), ("1..2", True), ("1.2+x.X", True)])
+def test_floating_shapes(spark, version, moving):
+    assert spark.createDataFrame([(version,)], "v string").select(K.floating(F.col("v"))).first()[0] is moving

@@ -21,11 +21,46 @@ def test_changes_replayed_twice_change_nothing(spark, sf):
 
 
 def test_features_equal_offline(spark, sf):
-    out = scratch_path(spark, "features")
     e = events(spark, sf)
-    E.drain(as_stream(spark, e, files=4), E.materialize_features(out, "user_id", "ts", "event_id", ["value"]), scratch_path(spark, "cp"))
+    features = E.feature_table(scratch_path(spark, "features"), e, "user_id", "ts", "event_id", ["value"])
+    E.drain(as_stream(spark, e, files=4), E.materialize_features(features), scratch_path(spark, "cp"))
     offline = e.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
-    assert same(E.online_features(spark, out, "user_id", "ts", "event_id", ["value"]).select("user_id", "value"), offline)
+    assert same(E.online_features(spark, features).select("user_id", "value"), offline)
+
+
+def test_state_table_folds_and_reads_open_deltas_only(spark):
+    table = E.change_table(scratch_path(spark, "state"), share=0.6)
+    batches = [[(k, 10 * b + 1, "update", float(b)) for k in ks] for b, ks in enumerate([range(100), range(5), range(50, 60), range(90, 140), [1], [2]])]
+    frames = [spark.createDataFrame(rows, table.schema) for rows in batches]
+    want = {}
+    for b, f in enumerate(frames):
+        table.write(f, b)
+        want.update({r[0]: (r[1], r[3]) for r in batches[b]})
+        assert {r.key: (r.seq, r.value) for r in table.read(spark).collect()} == want
+    # The first batch and the one that made deltas large were folded; the last two are open.
+    version, last, rows = table.manifest(spark)
+    assert (version, last, rows) == (2, 3, 140)
+    assert {r.batch_id for r in table.deltas(spark, last).select("batch_id").distinct().collect()} == {4, 5}
+    # Folded deltas are left out by their folders' names, before any file is opened.
+    plan = table.read(spark)._jdf.queryExecution().executedPlan().toString()
+    pruned = [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
+    assert any("batch_id" in p and "> 3" in p for p in pruned)
+    # Batches come again, folded ones and open ones, also with other rows in between.
+    for b in (0, 3, 4, 5):
+        table.write(frames[b], b)
+    assert table.manifest(spark) == (2, 3, 140) and {r.key: (r.seq, r.value) for r in table.read(spark).collect()} == want
+    some = spark.createDataFrame([(1,), (95,), (999,)], "key bigint")
+    assert {r.key: r.value for r in table.lookup(spark, some).collect()} == {1: 4.0, 95: 3.0}
+
+
+def test_deleted_keys_stay_deleted_after_folding(spark):
+    table = E.change_table(scratch_path(spark, "state"), share=0.0)
+    for b, rows in enumerate([[(1, 5, "delete", 0.0)], [(1, 4, "update", 9.0)], [(2, 1, "create", 1.0)]]):
+        table.write(spark.createDataFrame(rows, table.schema), b)
+    got = {r.key: r.alive for r in E.fold_state(table.read(spark)).collect()}
+    assert got == {1: False, 2: True} and table.manifest(spark)[0] == 3
+    empty = E.change_table(scratch_path(spark, "state"))
+    assert empty.read(spark).collect() == [] and empty.compact(spark) == 0
 
 
 def test_drift_detector_fires_on_shift(spark):
