@@ -7,7 +7,9 @@ pair once or twice. Overlapping pairs that end together are links, and their end
 cut both sequences into groups.
 
 A: byte-level BPE of the tokenizers library over a space and the text. B: a
-sentencepiece model, which adds the space itself. Counts of linked id pairs over
+sentencepiece model, which adds the space itself. Both work on words with the
+space before them, so a batch's distinct words are encoded once where white space
+stands alone; other texts are encoded whole. Counts of linked id pairs over
 the corpus come from the distinct pairs of each batch, so that hot pairs are
 summed before they meet, and go back to the batches by a join on the pair.
 """
@@ -18,31 +20,41 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from sievework.llm.common import arrow_rows, byte_slices, pick, saved
 from sievework.llm.tokens import _byte_letters
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 PAIR_BITS = 32
 
 
+# White space of any of the two tokenizers. Where two such characters touch, a
+# token can reach over a space; elsewhere words with the space before them are
+# encoded on their own.
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The piece model's own mark for a space is no word character either.
+TOUCHING = f"^{SPACE}|{SPACE}{SPACE}|{SPACE}$|^$|\\x{{2581}}"
+
+
 class Side:
-    """Ids of texts and the bytes of each id."""
+    """A tokenizer and the bytes of each id."""
 
     def __init__(self, blobs: list[bytes]):
         self.blobs = blobs
         self.sizes = np.array([len(b) for b in blobs], np.int64)
         self.names = np.array([str(i) for i in range(len(blobs))], object)
+        self.opens = np.array([b.startswith(b" ") for b in blobs])
 
-    def covers(self, ids: list[int], raw: bytes) -> bool:
-        return b"".join(map(self.blobs.__getitem__, ids)) == raw
+    def spells(self, ids: list[int], text: str) -> bool:
+        """Whether the ids give back a space and the text, byte by byte."""
+        return b"".join(map(self.blobs.__getitem__, ids)) == (" " + text).encode()
 
 
 class ByteSide(Side):
@@ -69,25 +81,93 @@ class PieceSide(Side):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [(i, self.model.id_to_piece(i)) for i in range(self.model.get_piece_size())]
         super().__init__([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces])
+        # No piece goes on over a space, so words do not change each other.
+        self.by_word = not any("▁" in p.lstrip("▁") for _, p in pieces)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
 
+def _gather(pool: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The pool's runs number ``code``, one after another."""
+    at = np.cumsum(sizes) - sizes
+    n = sizes[code]
+    ends = np.cumsum(n)
+    return pool[np.arange(int(n.sum())) + np.repeat(at[code] - ends + n, n)]
+
+
+class Pair:
+    """Both tokenizers."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = ByteSide(path_a), PieceSide(path_b)
+
+    def texts(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both sides for whole texts; None where a side does not spell it."""
+        out = []
+        for t, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts)):
+            good = self.a.spells(a, t) and self.b.spells(b, t)
+            out.append((np.array(a, np.int64), np.array(b, np.int64)) if good else None)
+        return out
+
+    def words(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """(all ids, ids of each word) of both sides, from texts of many words: a
+        token that begins with a space begins the next word. None where a side
+        does not spell them."""
+        # Short texts: merging in the piece model costs more than in proportion.
+        joined = [" ".join(words[i : i + 128]) for i in range(0, len(words), 128)]
+        out = []
+        for side in (self.a, self.b):
+            ids = side.encode(joined)
+            if not all(map(side.spells, ids, joined)):
+                return None
+            flat = np.array([i for x in ids for i in x], np.int64)
+            out.append((flat, np.bincount(np.cumsum(side.opens[flat]) - 1, minlength=len(words))))
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(all ids, ids of each text) of both sides; texts that are null or empty
+        or that a side does not spell have none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        hard = pc.match_substring_regex(texts, TOUCHING).to_numpy(zero_copy_only=False) | (not self.b.by_word)
+        easy = texts.filter(pa.array(~hard))
+        lists = pc.split_pattern(easy, " ")
+        coded = lists.flatten().dictionary_encode()
+        found = self.words(coded.dictionary.to_pylist()) if len(coded) else None
+        if found is None:
+            # No word, or one of them is not spelt: all texts are taken whole.
+            hard[:] = True
+        whole = self.texts(texts.filter(pa.array(hard)).to_pylist())
+        counts = [np.zeros(hard.size, np.int64) for _ in range(2)]
+        out = []
+        for side in (0, 1):
+            counts[side][hard] = [len(x[side]) if x else 0 for x in whole]
+            flat = np.zeros(0, np.int64)
+            if found is not None:
+                pool, sizes = found[side]
+                code, offsets = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                counts[side][~hard] = np.diff(np.concatenate([[0], np.cumsum(sizes[code])])[offsets])
+                flat = _gather(pool, sizes, code)
+            own = np.repeat(hard, counts[side])
+            ids = np.empty(own.size, np.int64)
+            ids[~own], ids[own] = flat, np.concatenate([x[side] for x in whole if x] or [flat[:0]])
+            out.append((ids, counts[side]))
+        return out[0], out[1]
+
+
 @lru_cache(maxsize=2)
-def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
+def sides(path_a: str, path_b: str) -> Pair:
     """Both tokenizers, once for each worker process."""
-    return ByteSide(path_a), PieceSide(path_b)
+    return Pair(path_a, path_b)
 
 
 class Tokens:
     """All tokens of a batch on one side: text, id, start and end; places count on
     from text to text, so that they ascend over the whole batch."""
 
-    def __init__(self, ids: list[list[int]], side: Side, base: np.ndarray):
-        self.counts = np.array([len(x) for x in ids], np.int64)
-        self.doc = np.repeat(np.arange(len(ids)), self.counts)
-        self.id = np.fromiter(chain.from_iterable(ids), np.int64, int(self.counts.sum()))
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, side: Side, base: np.ndarray):
+        self.id, self.counts = ids, counts
+        self.doc = np.repeat(np.arange(counts.size), counts)
         size = side.sizes[self.id]
         ends = np.cumsum(size)
         heads = np.concatenate([[0], ends])[np.cumsum(self.counts) - self.counts]
@@ -112,15 +192,11 @@ def overlaps(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
 class Aligned:
     """Tokens, overlaps, links and groups of a batch of texts."""
 
-    def __init__(self, texts: list[str | None], side_a: Side, side_b: Side):
-        raws = [(" " + t).encode() if t else b"" for t in texts]
-        held = [t or "" for t in texts]
-        ids_a, ids_b = side_a.encode(held), side_b.encode(held)
-        good = [bool(r) and side_a.covers(x, r) and side_b.covers(y, r) for r, x, y in zip(raws, ids_a, ids_b)]
-        sizes = np.array([len(r) for r in raws], np.int64)
-        base = np.cumsum(sizes) - sizes
-        self.a = Tokens([x if g else [] for x, g in zip(ids_a, good)], side_a, base)
-        self.b = Tokens([y if g else [] for y, g in zip(ids_b, good)], side_b, base)
+    def __init__(self, texts: pa.Array, pair: Pair):
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        self.base = np.cumsum(sizes) - sizes
+        of_a, of_b = pair.encode(texts)
+        self.a, self.b = Tokens(*of_a, pair.a, self.base), Tokens(*of_b, pair.b, self.base)
         self.over_a, self.over_b = overlaps(self.a, self.b)
         together = self.a.end[self.over_a] == self.b.end[self.over_b]
         self.link_a, self.link_b = self.over_a[together], self.over_b[together]
@@ -130,7 +206,7 @@ class Aligned:
         self.ends = ends[cut]
         self.n_groups = np.bincount(self.link_doc[cut], minlength=len(texts))
         self.n_links = np.bincount(self.link_doc, minlength=len(texts))
-        self.names = side_a.names, side_b.names
+        self.names = pair.a.names, pair.b.names
 
     def group_texts(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each text."""
@@ -174,10 +250,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = sides(path_a, path_b)
         for batch in byte_slices(batches, "text", BATCH_BYTES):
-            texts = batch.column("text").to_pylist()
-            got, n = Aligned(texts, *pair), len(texts)
-            base = np.cumsum([len((" " + t).encode()) if t else 0 for t in texts])
-            base = np.concatenate([[0], base])[:-1]
+            got, n = Aligned(batch.column("text"), pair), batch.num_rows
             first = [np.cumsum(t.counts) - t.counts for t in (got.a, got.b)]
             over = got.a.doc[got.over_a]
             yield arrow_rows(
@@ -186,8 +259,8 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
                     batch.column("doc_id"),
                     _lists(got.a.doc, n, got.a.id, pa.int32()),
                     _lists(got.b.doc, n, got.b.id, pa.int32()),
-                    _lists(got.a.doc, n, got.a.end - base[got.a.doc], pa.int64()),
-                    _lists(got.b.doc, n, got.b.end - base[got.b.doc], pa.int64()),
+                    _lists(got.a.doc, n, got.a.end - got.base[got.a.doc], pa.int64()),
+                    _lists(got.b.doc, n, got.b.end - got.base[got.b.doc], pa.int64()),
                     _lists(over, n, got.over_a - first[0][over], pa.int32()),
                     _lists(over, n, got.over_b - first[1][over], pa.int32()),
                     got.group_texts(),
@@ -211,7 +284,7 @@ def _batches(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         pair = sides(path_a, path_b)
         batch_id = TaskContext.get().partitionId() << 32
         for batch in byte_slices(batches, "text", BATCH_BYTES):
-            got = Aligned(batch.column("text").to_pylist(), *pair)
+            got = Aligned(batch.column("text"), pair)
             linked = got.b.id[got.link_b] << PAIR_BITS | got.a.id[got.link_a]
             pairs, links, times = np.unique(linked, return_inverse=True, return_counts=True)
             digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in got.group_texts()]

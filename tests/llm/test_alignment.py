@@ -1,7 +1,9 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -82,3 +84,27 @@ def test_overlaps_are_all_pairs_that_share_a_byte(spark):
                 want += [(i, j) for j, (x, y) in enumerate(zip(starts[1], r.b_ends)) if x < e and s < y]
             assert list(zip(r.over_a, r.over_b)) == want
         assert bool(r.groups) == bool(r.a_ids)
+
+
+def test_words_give_the_ids_of_whole_texts():
+    rnd = random.Random(2)
+    parts = ["don't", "we'll", "x'S", "12345", "3rd", "(a)", "...", "naïve", "Ünder_score", "http://a.b/c?d=1", "\n", "\t", "\u00a0", "日本語", "😀👍🏽", "a\nb", "--", "'", "'s", "\u2028", "É", "#", "\x1c"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", " ", " ", "  "]) for _ in range(rnd.randrange(1, 30))) for _ in range(600)]
+    texts += [t.strip() for t in texts]
+    pair = alignment.Pair(A, B)
+    whole = pair.texts(texts)
+    got = pair.encode(pa.array(texts))
+    for side in (0, 1):
+        flat, counts = got[side]
+        ends = counts.cumsum()
+        for i, w in enumerate(whole):
+            want = w[side].tolist() if w and texts[i] else []
+            assert flat[ends[i] - counts[i] : ends[i]].tolist() == want, texts[i]
+
+
+def test_words_that_are_not_spelt_leave_the_others():
+    pair = alignment.Pair(A, B)
+    texts = ["plain words here", None, "", "odd ▁ mark", " lead", "more words"]
+    for side in (0, 1):
+        assert [c > 0 for c in pair.encode(pa.array(texts))[side][1]] == [True, False, False, False, True, True]
+    assert [c.tolist() for _, c in pair.encode(pa.array([None, ""], pa.string()))] == [[0, 0], [0, 0]]
