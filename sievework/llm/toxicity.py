@@ -2,8 +2,9 @@
 
 Noisy channel: a written token is a lattice of what each character may stand for
 (itself, a letter it imitates, or nothing, for separators, decoration and
-stretched letters). A Viterbi search under a character trigram model picks the
-likeliest intended word. The trigram model counts every character of the corpus;
+stretched letters; a separator may also be a word's edge). A Viterbi search under
+a character trigram model picks the likeliest intended words; the written form
+counts too. The trigram model counts every character of the corpus;
 its alphabet is fixed, so its size is too. Restored words and their beginnings
 are hashed to ``BUCKETS`` places; labelled documents give every place a weight
 (smoothed log odds of toxic against clean documents), and a logistic model over
@@ -33,6 +34,7 @@ SIDE = 64
 _LATIN = np.array([CODE.get(chr(b).lower(), 0) for b in range(256)], np.int64)
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
+WINDOW = range(4, 11)
 
 # fixed values: letters that digits and marks imitate in leetspeak
 LEET = {
@@ -40,11 +42,18 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "*": "aeiou", "#": "aeiou",
 }
 SEPARATORS = frozenset(" ._-~'`·,/\\")
-LOG_SAME, LOG_LEET, LOG_MASK, LOG_DROP, LOG_SEPARATOR, LOG_STRETCH = np.log([0.95, 0.5, 0.1, 0.01, 0.5, 0.2])
+LOG_SAME, LOG_LEET, LOG_MASK, LOG_DROP, LOG_SEPARATOR, LOG_STRETCH, LOG_EDGE = np.log([0.95, 0.5, 0.1, 0.01, 0.5, 0.2, 0.2]).tolist()
+# A character that imitates letters is seldom mere decoration.
+LOG_LOST = float(np.log(1e-8))
 SPACED = re.compile(r"(?<!\S)\S(?:[ ._-]\S){3,}(?!\S)")
 EDGE = re.compile(r"^[^\w@$€|+(<]+|[^\w@$]+$")
 WORDLIKE = re.compile(r"[^\W\d_]+")
-STRETCHED = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
+INNER = re.compile(r"\w[ ._~'`·,/\\-]+\w")
+# Tokens of Latin letters, as Arrow reads them; EDGE would cut the same marks.
+LATIN = "a-zß-öø-ÿ"
+PLAIN = rf"""^["'\[{{]*([{LATIN}]+)[.,;:!?)\]}}"']*$"""
+PLAIN_LETTERS = 32
 
 
 class CharModel:
@@ -53,6 +62,7 @@ class CharModel:
     def __init__(self, counts: np.ndarray):
         table = counts.reshape(SIDE, SIDE, SIDE) + 0.05
         self.log = np.log(table / table.sum(axis=2, keepdims=True))
+        self.flat = self.log.ravel().tolist()
 
     def options(self, text: str, i: int) -> list[tuple[int, float]]:
         """(code, log probability) of what text[i] may stand for; code 0 drops it."""
@@ -66,43 +76,61 @@ class CharModel:
         if i and c == text[i - 1] and c in CODE:
             out.append((0, LOG_STRETCH))
         elif c not in CODE:
-            out.append((0, LOG_SEPARATOR if c in SEPARATORS else LOG_DROP))
+            out.append((0, LOG_SEPARATOR if c in SEPARATORS else LOG_LOST if c in LEET else LOG_DROP))
         return out
 
-    def decode(self, text: str) -> str:
+    def decode(self, text: str, edges: bool = False) -> str:
         """Likeliest intended word of a written token (Viterbi, time in proportion
-        to the length)."""
+        to the length). With ``edges`` a separator may also end a word: the result
+        is then one or more words."""
+        flat = self.flat
         best = {(0, 0): 0.0}
         back: list[dict] = []
         for i in range(len(text)):
             options = self.options(text, i)
+            if edges and i and text[i] in SEPARATORS:
+                options.append((-1, LOG_EDGE))
             nxt: dict[tuple[int, int], float] = {}
             step: dict[tuple[int, int], tuple] = {}
             for state, score in best.items():
+                at = (state[0] * SIDE + state[1]) * SIDE
                 for code, cost in options:
-                    to = (state[1], code) if code else state
-                    s = score + cost + (self.log[state[0], state[1], code] if code else 0.0)
+                    if code:
+                        letter = max(code, 0)
+                        to, s = (state[1], letter), score + cost + flat[at + letter]
+                    else:
+                        to, s = state, score + cost
                     if to not in nxt or s > nxt[to]:
                         nxt[to] = s
                         step[to] = (state, code)
             best = nxt
             back.append(step)
-        state = max(best, key=lambda s: best[s] + self.log[s[0], s[1], 0])
+        state = max(best, key=lambda s: best[s] + flat[(s[0] * SIDE + s[1]) * SIDE])
         out = []
         for step in reversed(back):
             state, code = step[state]
             if code:
-                out.append(LETTERS[code - 1])
+                out.append(" " if code < 0 else LETTERS[code - 1])
         return "".join(reversed(out))
 
-    def restore(self, token: str) -> str:
-        """The word behind a lower-case token. Plain words stay as they are."""
+    def restore(self, token: str) -> list[str]:
+        """The words that a lower-case token may stand for, as written first."""
         core = EDGE.sub("", token)
-        if WORDLIKE.fullmatch(core) and not STRETCHED.search(core):
-            return core
-        if not any(c in CODE for c in token):
-            return core
-        return self.decode(core)
+        if not any(c in CODE for c in token) or (WORDLIKE.fullmatch(core) and not DOUBLED.search(core)):
+            return [core]
+        words = [core, self.decode(core)]
+        if INNER.search(core):
+            words += self.decode(core, edges=True).split()
+        return list(dict.fromkeys(words))
+
+    def spelled_out(self, run: str) -> list[str]:
+        """The words behind a run of single characters with marks between them: as
+        one word, cut where edges are likeliest, and the words of ``WINDOW`` letters
+        that start at any letter, since one-letter words before a word leave its
+        border open."""
+        whole = self.decode(run)
+        inside = [whole[i : i + n] for i in range(len(whole)) for n in WINDOW if i + n <= len(whole)]
+        return list(dict.fromkeys([whole, *self.decode(run, edges=True).split(), *inside]))
 
 
 def char_counts(docs: DataFrame) -> np.ndarray:
@@ -125,38 +153,131 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _places(word: str) -> bytes:
-    """Hash places of a word and of its beginnings, as packed 32-bit integers."""
-    found = [crc32(b"=" + word.encode("utf-8", "replace"))]
-    found += [crc32(b"^" + word[:n].encode("utf-8", "replace")) for n in PREFIXES if len(word) >= n]
-    return np.array([f % BUCKETS for f in found] + [-1] * (1 + len(PREFIXES) - len(found)), np.int32).tobytes()
+def _places(words: list[str]) -> bytes:
+    """Hash places of words and of their beginnings, as packed 32-bit integers."""
+    found: list[int] = []
+    for word in words:
+        found.append(crc32(b"=" + word.encode("utf-8", "replace")))
+        found += [crc32(b"^" + word[:n].encode("utf-8", "replace")) for n in PREFIXES if len(word) >= n]
+    return np.array([f % BUCKETS for f in found], np.int32).tobytes()
+
+
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+_CRC = _crc_table()
+
+
+def _step(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return _CRC[(state ^ byte) & 255] ^ (state >> 8)
+
+
+def _plain_places(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ``_places`` for Latin words, all at once: one row a word, -1
+    where it is too short. data: their letters in Latin-1, one after another."""
+    data = np.concatenate([data, np.zeros(PLAIN_LETTERS, np.uint8)])
+    at = np.cumsum(size) - size
+    hashes = [np.full(size.size, ~np.uint32(crc32(head)), np.uint32) for head in (b"=", b"^")]
+    out = np.full((size.size, 1 + len(PREFIXES)), -1, np.int64)
+    for j in range(int(size.max()) if size.size else 0):
+        byte = data[at + j]
+        wide = byte > 127
+        for k, state in enumerate(hashes):
+            if k and j >= PREFIXES[-1]:
+                continue
+            # A letter above 127 is two bytes of UTF-8.
+            new = _step(np.where(wide, _step(state, 0xC0 | byte >> 6), state), np.where(wide, 0x80 | byte & 0x3F, byte))
+            hashes[k] = np.where(j < size, new, state)
+        if j + 1 in PREFIXES:
+            out[:, 1 + PREFIXES.index(j + 1)] = np.where(size > j, (~hashes[1] % np.uint32(BUCKETS)).astype(np.int64), -1)
+    out[:, 0] = ~hashes[0] % np.uint32(BUCKETS)
+    return out
+
+
+def undouble(model: CharModel, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(changed words, their letters, their sizes) of Latin words without a letter
+    three times in a row, where dropping doubled letters is likelier. A doubled
+    letter is a lattice of two ways that meet again one letter later, so each one
+    is decided by its neighbours alone; the result is ``decode``'s."""
+    word = np.repeat(np.arange(size.size), size)
+    twin = np.flatnonzero((data[1:] == data[:-1]) & (word[1:] == word[:-1])) + 1
+    code = np.concatenate([[0, 0], _LATIN[data], [0]])
+    own = np.concatenate([[-1, -1], word, [-1]])
+    near = lambda i, w: np.where(own[i + 2] == w, code[i + 2], 0)
+    w, b = word[twin], code[twin + 2]
+    before, after = near(twin - 2, w), near(twin + 1, w)
+    keep = model.log[before, b, b] + model.log[b, b, after] + LOG_SAME
+    drop = model.log[before, b, after] + LOG_STRETCH
+    gone = twin[drop > keep]
+    changed = np.unique(word[gone])
+    left = np.isin(word, changed)
+    left[gone] = False
+    return changed, data[left], np.bincount(word[left], minlength=size.size)[changed]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if x.size else x
 
 
 class Reader:
-    """Distinct hash places of texts, with a bounded cache of tokens."""
+    """Distinct hash places of texts, with a bounded cache of disguised tokens."""
 
     def __init__(self, counts: np.ndarray):
         model = CharModel(counts)
         self.model = model
         self.places = lru_cache(60_000)(lambda token: _places(model.restore(token)))
 
+    def tokens(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number of places) token by token."""
+        core = pc.replace_substring_regex(tokens, PLAIN, r"\1")
+        plain = pc.match_substring_regex(core, f"^[{LATIN}]{{1,{PLAIN_LETTERS}}}$").to_numpy(zero_copy_only=False).copy()
+        words = core.filter(pa.array(plain))
+        size = pc.utf8_length(words).to_numpy().astype(np.int64)
+        data = np.frombuffer("".join(words.to_pylist()).encode("latin-1"), np.uint8)
+        word = np.repeat(np.arange(size.size), size)
+        three = (data[2:] == data[1:-1]) & (data[2:] == data[:-2]) & (word[2:] == word[:-2]) if data.size > 2 else np.zeros(0, bool)
+        hard = np.zeros(size.size, bool)
+        hard[word[2:][three]] = True
+        plain[np.flatnonzero(plain)[hard]] = False
+        data, size = data[~hard[word]], size[~hard]
+        own = _plain_places(data, size)
+        changed, letters, sizes = undouble(self.model, data, size)
+        more = np.full(own.shape, -1, np.int64)
+        more[changed] = _plain_places(letters, sizes)
+        both = np.concatenate([own, more], axis=1)
+        other = [self.places(t) for t in tokens.filter(pa.array(~plain)).to_pylist()]
+        counts = np.zeros(len(tokens), np.int64)
+        counts[plain], counts[~plain] = (both >= 0).sum(1), [len(x) // 4 for x in other]
+        mine = np.repeat(plain, counts)
+        out = np.empty(mine.size, np.int64)
+        out[mine], out[~mine] = both[both >= 0], np.frombuffer(b"".join(other), np.int32)
+        return out, counts
+
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, place) pairs without repeats, and the tokens of every row."""
         low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
         lists = pc.utf8_split_whitespace(low)
         coded = lists.flatten().dictionary_encode()
-        table = np.frombuffer(b"".join([self.places(t) for t in coded.dictionary.to_pylist()]), np.int32).reshape(-1, 1 + len(PREFIXES))
+        places, counts = self.tokens(coded.dictionary)
         n = np.diff(lists.offsets.to_numpy())
         row = np.repeat(np.arange(len(texts), dtype=np.int64), n)
-        pairs = np.unique(row * (len(coded.dictionary) + 1) + coded.indices.to_numpy())
+        pairs = _distinct(row * (len(coded.dictionary) + 1) + coded.indices.to_numpy())
         row, token = pairs // (len(coded.dictionary) + 1), pairs % (len(coded.dictionary) + 1)
-        keys = [(row[:, None] * BUCKETS + table[token])[table[token] >= 0]]
+        each = counts[token]
+        first = (np.cumsum(counts) - counts)[token]
+        ends = np.cumsum(each)
+        own = places[np.arange(int(each.sum())) + np.repeat(first - ends + each, each)]
+        keys = [np.repeat(row, each) * BUCKETS + own]
         spaced = pc.match_substring_regex(low, r"(^|\s)\S([ ._-]\S){3}")
         for i in np.flatnonzero(spaced.to_numpy(zero_copy_only=False)).tolist():
             for m in SPACED.finditer(low[i].as_py()):
-                own = np.frombuffer(_places(self.model.decode(m.group())), np.int32).astype(np.int64)
-                keys.append(i * BUCKETS + own[own >= 0])
-        pairs = np.unique(np.concatenate(keys))
+                keys.append(i * BUCKETS + np.frombuffer(_places(self.model.spelled_out(m.group())), np.int32).astype(np.int64))
+        pairs = _distinct(np.concatenate(keys))
         return pairs // BUCKETS, pairs % BUCKETS, n
 
 

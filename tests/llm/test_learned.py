@@ -71,6 +71,61 @@ def test_viterbi_is_the_best_path():
         assert model.decode(text) == best[1]
 
 
+@pytest.fixture(scope="module")
+def given_model(spark):
+    return toxicity.CharModel(toxicity.char_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+
+
+@pytest.mark.parametrize(
+    "written, word",
+    [("1d10t", "idiot"), ("5cumb4g", "scumbag"), ("idioot", "idiot"), ("iddiiot", "idiot"), ("idiooooot", "idiot"), ("i.d.i.o.t", "idiot"), ("scumbag", "scumbag"), ("$cumb@g", "scumbag"), ("you.idiot", "idiot"), ("hello", "hello")],
+)
+def test_disguised_tokens_on_the_given_corpus(given_model, written, word):
+    assert word in given_model.restore(written)
+
+
+@pytest.mark.parametrize("run, word", [("a r e i d i o t", "idiot"), ("a i d i o t", "idiot"), ("i d i o t", "idiot"), ("s c u m b a g", "scumbag"), ("y o u i d i o t", "idiot")])
+def test_spelled_out_words_on_the_given_corpus(given_model, run, word):
+    assert word in given_model.spelled_out(run)
+
+
+def test_edges_are_the_best_path():
+    rng = np.random.default_rng(1)
+    model = toxicity.CharModel(rng.integers(0, 50, toxicity.SIDE**3).astype(float))
+    for text in ("a b", "1.d", "x-y.z"):
+        paths = {(): 0.0}
+        for i in range(len(text)):
+            more = [(-1, toxicity.LOG_EDGE)] if i and text[i] in toxicity.SEPARATORS else []
+            paths = {(*p, c): s + cost for p, s in paths.items() for c, cost in model.options(text, i) + more}
+        best = None
+        for p, s in paths.items():
+            codes = [0, 0, *[max(c, 0) for c in p if c], 0]
+            total = s + sum(model.log[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+            word = "".join(" " if c < 0 else toxicity.LETTERS[c - 1] for c in p if c)
+            best = max(best or (total, word), (total, word))
+        assert model.decode(text, edges=True) == best[1]
+
+
+def test_plain_tokens_have_the_places_of_others():
+    import pyarrow as pa
+
+    reader = toxicity.Reader(np.random.default_rng(2).integers(0, 9, toxicity.SIDE**3).astype(float))
+    rng = random.Random(3)
+    tokens = ["".join(rng.choices("abcdeé1.'\"([)]!?", k=rng.randrange(1, 14))) for _ in range(3000)] + ["a" * 40, "abcdefghij" * 4, "x", "-", "(abc", "abc)", "über", "ßß", "aab", "abb", "aabbcc", "éé!", "aaa", "abbba", "日本語"]
+    places, counts = reader.tokens(pa.array(tokens, pa.large_string()))
+    ends = counts.cumsum()
+    for t, e, n in zip(tokens, ends.tolist(), counts.tolist()):
+        assert places[e - n : e].tolist() == np.frombuffer(toxicity._places(reader.model.restore(t)), np.int32).tolist(), t
+
+
+def test_repeated_ids_with_different_labels(spark, fitted):
+    docs, labels, plain = fitted
+    twice = labels.unionByName(labels.withColumn("toxic", F.lit(0))).unionByName(labels.withColumn("toxic", F.lit(None).cast("int")))
+    a, b = toxicity.fit_toxicity(docs, labels), toxicity.fit_toxicity(docs, twice)
+    # The greatest label of an id counts, and null is none.
+    assert np.array_equal(a.weights, b.weights) and np.allclose(a.beta, b.beta)
+
+
 def test_grades(spark, fitted):
     docs, labels, plain = fitted
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
