@@ -2,27 +2,23 @@
 
 Vectors are turned into integers. A block of candidate rows holds, for every
 dimension, its values as a sorted list. A query reads each list from its better
-end (descending where its weight is positive, ascending where it is negative),
-all lists to the same depth. For a row, the entries read so far and the last
-value read of every other list give an upper bound of its score; with the worst
-value of those lists they give a lower bound. Reading stops when no row outside
-the leaders can have an upper bound that reaches the k-th best lower bound, and
-the rows that still can are resolved to their final scores. The k-th score of
-earlier blocks starts the next one, so that most blocks end early where the data
-allow it; where they don't, the lists are read to the end, which is exact too.
-All queries of a block are handled together by matrix products.
+end (descending where its weight is positive, ascending where it is negative), all
+lists step by step to the same depth. For a row, the sum of the entries read so far
+is carried on; with the last value read of its other lists it gives an upper bound
+of the score, with their worst value a lower bound. Reading stops when no row
+outside the leaders can have an upper bound that reaches the k-th best lower bound,
+and the few rows that still can are resolved to their final scores. Where bounds do
+not stop it, the lists are read to their end, and the carried sums are the scores.
+The k-th score of earlier blocks starts the next one. All queries of a tile are
+handled together by matrix products over the entries of a step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sievework.llm.common import arrow_rows
-
 BEST = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -46,56 +42,68 @@ class SortedBlock:
         self.rank = np.empty_like(order)
         np.put_along_axis(self.rank, order, np.arange(len(x))[:, None], axis=0)
 
-    def bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Upper and lower bound of each entry's part, (rows, 2 * dims): for lists
-        read from the top, then from the bottom, ``depth`` entries deep."""
+    def step(self, start: int, depth: int) -> np.ndarray:
+        """Entries read between two depths, (rows, 2 * dims): of lists read from the
+        top, then from the bottom; 0 for the others."""
         n = len(self.x)
-        top, low = self.rank >= n - depth, self.rank < depth
+        top = (self.rank >= n - depth) & (self.rank < n - start)
+        low = (self.rank < depth) & (self.rank >= start)
+        return np.hstack([np.where(top, self.x, 0), np.where(low, self.x, 0)])
+
+    def unread(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What entries not yet read can be at most and at least."""
+        n = len(self.x)
+        top, low = self.rank < n - depth, self.rank >= depth
         last_top, last_low = self.sorted[n - depth], self.sorted[depth - 1]
-        upper = np.hstack([np.where(top, self.x, last_top), np.where(low, self.x, last_low)])
-        lower = np.hstack([np.where(top, self.x, self.sorted[0]), np.where(low, self.x, self.sorted[-1])])
+        upper = np.hstack([np.where(top, last_top, 0), np.where(low, last_low, 0)])
+        lower = np.hstack([np.where(top, self.sorted[0], 0), np.where(low, self.sorted[-1], 0)])
         return upper, lower
 
 
+def _none(kind: np.dtype):
+    """Less than any score."""
+    return -np.inf if kind.kind == "f" else np.iinfo(np.int64).min
+
+
 def kth_best(scores: np.ndarray, k: int) -> np.ndarray:
-    """k-th greatest of every row; -inf where a row has fewer."""
+    """k-th greatest of every row; less than any score where a row has fewer."""
     if scores.shape[1] < k:
-        return np.full(len(scores), -np.inf)
+        return np.full(len(scores), _none(scores.dtype))
     return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
 
 
-def nra_block(qids: np.ndarray, q: np.ndarray, block: SortedBlock, floor: np.ndarray, k: int, depths=(0.25, 0.5)) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query rows, block rows, scores) of all candidates that can reach the top k.
+STEPS = (0.25, 0.5, 0.75, 1.0)
+
 
-    ``floor`` is the k-th best score known for each query; it is raised."""
+def nra_block(qids: np.ndarray, q: np.ndarray, block: SortedBlock, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(query rows, block rows, scores, depth read) of all candidates that can reach
+    the top k. ``floor`` is the k-th best score known for each query; it is raised."""
     signed = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
-    n = len(block.ids)
+    n, none = len(block.ids), _none(q.dtype)
     own = qids[:, None] == block.ids[None, :]
-    for part in depths:
-        depth = int(n * part)
-        if depth < k:
+    read = np.zeros((len(q), n), q.dtype)
+    start = 0
+    for part in STEPS:
+        depth = max(start, int(n * part))
+        if depth == start and part < 1:
             continue
-        upper, lower = block.bounds(depth)
-        low = signed @ lower.T
-        low[own] = -np.inf
+        read = read + signed @ block.step(start, depth).T
+        start = depth
+        if depth == n:
+            break
+        upper, lower = block.unread(depth)
+        low = np.where(own, none, read + signed @ lower.T)
         floor[:] = np.maximum(floor, kth_best(low, k))
-        up = signed @ upper.T
-        up[own] = -np.inf
-        alive = up >= floor[:, None]
+        up = np.where(own, none, read + signed @ upper.T)
+        alive = (up >= floor[:, None]) & ~own
         # Outsiders cannot qualify any more: few rows are left to resolve.
         if alive.sum() <= 4 * k * len(q):
             a, b = np.nonzero(alive)
-            yield a, b, np.einsum("ij,ij->i", q[a], block.x[b])
-            return
-        # Bounds this loose will not stop the next depth either: read the lists to the end.
-        if alive.mean() > 0.5:
-            break
-    score = q @ block.x.T
-    score[own] = -np.inf
+            return a, b, (q[a] * block.x[b]).sum(1), depth / n
+    score = np.where(own, none, read)
     floor[:] = np.maximum(floor, kth_best(score, k))
-    a, b = np.nonzero(score >= floor[:, None])
-    keep = np.isfinite(score[a, b])
-    yield a[keep], b[keep], score[a[keep], b[keep]]
+    a, b = np.nonzero((score >= floor[:, None]) & ~own)
+    return a, b, score[a, b], 1.0
 
 
 def _best(qn: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
@@ -108,67 +116,66 @@ def _best(qn: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     return qn[keep], ids[keep], scores[keep]
 
 
-def query_blocks(queries: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries page by page in id order, at most ``rows`` vectors at a time."""
-    after = None
-    while True:
-        page = queries if after is None else queries.where(F.struct("vec_id", "v") > F.struct(F.lit(after[0]).cast("bigint"), F.lit(after[1]).cast("array<bigint>")))
-        got = page.orderBy("vec_id", "v").limit(rows).collect()
-        if not got:
-            return
-        yield np.array([r[0] for r in got], np.int64), [r[1] for r in got]
-        if len(got) < rows:
-            return
-        after = (got[-1][0], got[-1][1])
+def _exact_kind(queries: list[np.ndarray], rows: np.ndarray) -> type:
+    """Floating point adds integers exactly up to 2^53; beyond, long does it."""
+    most = max((int(np.abs(v).max()) for v in queries if v.size), default=0) * (int(np.abs(rows).max()) if rows.size else 0)
+    return np.float64 if most * max((v.size for v in queries), default=0) < 1 << 52 else np.int64
 
 
-def exact_topk(queries: DataFrame, rows: DataFrame, k: int = 20, page: int = 16_384, block_rows: int = 4096) -> DataFrame:
+def _search(qids: np.ndarray, vs: list[np.ndarray], ids: np.ndarray, rows: list[np.ndarray], k: int, block_rows: int):
+    """Best k (query number, id, score) of each query among the rows of a tile."""
+    of = np.array([v.size for v in rows])
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for n in np.unique([v.size for v in vs]).tolist():
+        group = np.flatnonzero([v.size == n for v in vs])
+        mine = np.flatnonzero(of == n)
+        if not mine.size:
+            continue
+        x = np.stack([rows[i] for i in mine])
+        kind = _exact_kind([vs[i] for i in group], x)
+        packed = np.stack([vs[i] for i in group]).astype(kind)
+        floor = np.full(group.size, _none(np.dtype(kind)), kind)
+        for j in range(0, mine.size, block_rows):
+            block = SortedBlock(ids[mine[j : j + block_rows]], x[j : j + block_rows].astype(kind))
+            parts = [best]
+            for i in range(0, group.size, 512):
+                low = floor[i : i + 512]
+                a, c, s, _ = nra_block(qids[group[i : i + 512]], packed[i : i + 512], block, low, k)
+                parts.append((group[i + a], block.ids[c], s.astype(np.int64)))
+            best = _best(*[np.concatenate(p) for p in zip(*parts)], k)
+    return best
+
+
+def exact_topk(queries: DataFrame, rows: DataFrame, k: int = 20, page: int = 4096, tile_rows: int = 65_536, block_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of every query.
 
     Both inputs are (vec_id, v) of :func:`integer_vectors`. A row whose id is the
     query's own is no candidate; ties go to the smaller id; a query with fewer
     candidates gets them all; vectors of another length than the query's are no
-    candidates. Queries are taken in pages of a fixed number of rows, which is
-    what travels to the tasks, and every page scans all rows in blocks. If two
-    different vectors share an id, each is a query and a candidate of its own,
-    and the best k (query_id, vec_id) scores are kept."""
-    out = None
-    for qids, vs in query_blocks(queries, page):
-        held = rows.sparkSession.sparkContext.broadcast((qids, vs))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            qids, vs = held.value
-            sizes = np.array([len(v) for v in vs])
-            groups = {n: np.flatnonzero(sizes == n) for n in np.unique(sizes).tolist()}
-            packed = {n: np.array([vs[i] for i in g], np.float64) for n, g in groups.items()}
-            floor = np.full(len(qids), -np.inf)
-            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for b in batches:
-                lists = b.column("v")
-                lens = np.diff(lists.offsets.to_numpy())
-                ids = b.column("vec_id").to_numpy()
-                flat = lists.flatten().to_numpy().astype(np.float64)
-                at = np.cumsum(lens) - lens
-                for n in np.intersect1d(np.unique(lens), list(groups)).tolist():
-                    mine = np.flatnonzero(lens == n)
-                    for j in range(0, mine.size, block_rows):
-                        sel = mine[j : j + block_rows]
-                        block = SortedBlock(ids[sel], flat[at[sel][:, None] + np.arange(n)])
-                        parts = [best]
-                        for i in range(0, groups[n].size, 512):
-                            g = groups[n][i : i + 512]
-                            low = floor[g]
-                            for a, c, s in nra_block(qids[g], packed[n][i : i + 512], block, low, k):
-                                parts.append((g[a], block.ids[c], s))
-                            floor[g] = low
-                        best = _best(*[np.concatenate(x) for x in zip(*parts)], k)
-            if best[0].size:
-                yield arrow_rows(BEST, [qids[best[0]], best[1], best[2].astype(np.int64)])
-
-        found = rows.mapInArrow(run, BEST)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    candidates. If two different vectors share an id, each is a query and a
+    candidate of its own, and the best k (query_id, vec_id) scores are kept. Sums
+    stay exact as long as a score fits a long.
+
+    Queries and rows are dealt to tiles of bounded size, and every tile of queries
+    meets every tile of rows in a task of its own, which reads the rows in sorted
+    blocks; only counts reach the driver and only k rows a query leave a tile."""
+    spark = rows.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_rows, n_queries = rows.count(), queries.count()
+    a_tiles = max(1, -(-n_queries // page))
+    # Small tables are dealt to all tasks, but no tile is smaller than a block.
+    b_tiles = max(1, -(-n_rows // tile_rows), min(least // a_tiles, n_rows // block_rows))
+    tile = lambda d, own, m, other, o: d.withColumn(own, F.pmod(F.xxhash64("vec_id", "v"), F.lit(m))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(o - 1).cast("bigint"))))
+    a = tile(queries.select("vec_id", "v"), "_q", a_tiles, "_r", b_tiles)
+    b = tile(rows.select("vec_id", "v"), "_r", b_tiles, "_q", a_tiles)
+
+    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        qids = q["vec_id"].to_numpy(np.int64)
+        vs, xs = ([np.asarray(v, np.int64) for v in d["v"]] for d in (q, r))
+        at, ids, scores = _search(qids, vs, r["vec_id"].to_numpy(np.int64), xs, k, block_rows) if len(q) and len(r) else (np.zeros(0, np.int64),) * 3
+        return pd.DataFrame({"query_id": qids[at], "vec_id": ids, "score": scores})
+
+    out = a.groupBy("_q", "_r").cogroup(b.groupBy("_q", "_r")).applyInPandas(meet, BEST)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -108,3 +108,31 @@ def test_licences(spark):
     assert [got[i]["licenses"] for i in (1, 2, 4, 5, None)] == ["MIT", "MIT", "", "", "CC-BY-NC-4.0,MIT"]
     name, s, e = got[1]["sentences"].split(":")
     assert name == "mit-ref" and re.fullmatch(r"RELEASED under the MIT License!+", rows[0][1][int(s) : int(e)].strip())
+
+
+def test_lists_are_read_until_bounds_stop_or_they_end():
+    """In clusters reading stops early; in noise the carried sums reach the end."""
+    rng = np.random.default_rng(8)
+    for kind, early in (("clusters", True), ("noise", False)):
+        x = rng.integers(-60, 60, (600, 32)).astype(float)
+        if kind == "clusters":
+            x[:30] = 500 + rng.integers(0, 5, (30, 32))
+        q = np.abs(rng.integers(1, 9, (4, 32))).astype(float) if early else x[:4].copy()
+        ids, floor = np.arange(600), np.full(4, -np.inf)
+        a, b, s, depth = topk.nra_block(np.full(4, -1), q, topk.SortedBlock(ids, x), floor, 20)
+        exact = q @ x.T
+        assert (s == exact[a, b]).all() and (depth < 1) == early
+        for i in range(4):
+            kth = np.sort(exact[i])[-20]
+            assert set(np.flatnonzero(exact[i] >= kth)) <= set(b[a == i])
+
+
+def test_large_values_stay_exact(spark):
+    rows = [(i, [float((1 << 24) + i), float(-(1 << 24) - 3 * i), 1.0]) for i in range(60)]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = {}
+    for r in topk.exact_topk(v.where("vec_id % 20 = 0"), v, 5, block_rows=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    ints = {i: [int(64 * x) for x in e] for i, e in rows}
+    want = {q: sorted(((i, sum(a * b for a, b in zip(ints[q], e))) for i, e in ints.items() if i != q), key=lambda t: (-t[1], t[0]))[:5] for q in (0, 20, 40)}
+    assert got == want and max(s for r in want.values() for _, s in r) > 1 << 53
