@@ -315,7 +315,10 @@ def with_lessons(df: DataFrame, text_col: str = "text", name: str = "_lessons")
             if kind != KINDS[k]:  # a piece of a number with marks is no phone
                 piece = F.regexp_extract(_rewritten(KINDS[k], v["t"], n), WIDE[kind], 0)
                 return F.array(form(0, True, piece))
+            # Several ways of hiding one span, of the kinds that have several.
             out = [form(1, True, _rewritten(kind, v["t"], n))]
+            if kind != "phone":
+                out.append(form(1, True, _rewritten(kind, v["t"], n + 1)))
             if broken is not None:
                 out += [form(0, True, _rewritten(kind, broken, n)), form(0, False, broken)]
             return F.array(*out)
@@ -342,7 +345,8 @@ def fit_pii(df: DataFrame, text_col: str = "text", sample_docs: int = 50_000, sa
     the driver gets does not grow with the table.
 
     Half of the texts, by hash, teach the trees. All texts of the other half give
-    each kind's threshold, from counts per margin of what is no base span. Without
+    each kind's threshold, from counts per margin of what is no base span; a kind
+    with few spans takes the threshold of all kinds (``kind_limits``). Without
     lessons, or with one class only, no span is added."""
     src = df.select(text_col)
     share = min(1.0, sample_docs / max(1, df.count()))
@@ -355,12 +359,27 @@ def fit_pii(df: DataFrame, text_col: str = "text", sample_docs: int = 50_000, sa
     model = boost(np.array([r[: len(FEATURES)] for r in rows], np.int64), np.array([r["y"] for r in rows], np.float64))
     held = with_lessons(src.where(half == 1), text_col).select(F.explode(F.filter("_lessons", lambda c: c["counts"])).alias("c"))
     steps = held.select(F.col("c.f.kind").alias("k"), "c.y", F.floor(model.margin(F.col("c.f")) * STEPS).alias("m")).groupBy("k", "y", "m").count().collect()
-    for k in range(len(KINDS)):
-        mine = np.array([(r["m"] / STEPS, r["y"], r["count"]) for r in steps if r["k"] == k], np.float64).reshape(-1, 3)
-        model.limits[k] = calibrate(mine[:, 0], mine[:, 1], precision, mine[:, 2])
+    counted = np.array([(r["k"], r["m"] / STEPS, r["y"], r["count"]) for r in steps], np.float64).reshape(-1, 4)
+    model.limits = kind_limits(counted, precision)
     return model
 
 
+def kind_limits(counted: np.ndarray, precision: float) -> dict[int, float]:
+    """Threshold of every kind from rows (kind, margin, label, count). A kind with
+    too few spans for a threshold of its own takes that of all kinds together, if
+    its own spans above that are good to the same share; else it gets none added."""
+    pooled = calibrate(counted[:, 1], counted[:, 2], precision, counted[:, 3])
+    out = {}
+    for k in range(len(KINDS)):
+        mine = counted[counted[:, 0] == k]
+        out[k] = calibrate(mine[:, 1], mine[:, 2], precision, mine[:, 3])
+        above = mine[mine[:, 1] >= pooled]
+        n, hits = above[:, 3].sum(), (above[:, 2] * above[:, 3]).sum()
+        if not np.isfinite(out[k]) and n and hits >= precision * n:
+            out[k] = pooled
+    return out
+
+
 def select_spans(df: DataFrame, model: Trees, name: str = "_candidates") -> DataFrame:
     """Adds base_spans and spans: [(start, k, end)] by start, then kind.
 

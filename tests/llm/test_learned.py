@@ -232,3 +232,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert r["text"] == "write [EMAIL] or [IP] fine" and r["n_chars"] == len(r["text"]) and seen["pii"][9005]["text"] is None
     assert set(seen["packing"]) == set(seen["pii"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_thresholds_are_finite_on_the_small_table(spark):
+    """82 base spans are enough; real hidden spans are then added."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.fit_pii(docs)
+    assert all(np.isfinite(model.limits[k]) for k in (0, 3))
+    new = [(1, "Please write to jane.doe[at]example[dot]org today."), (2, "plain text of 2020 and 12.5 percent"), (3, "call (030) 123-4567 now")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(new, "doc_id bigint, text string"), model).collect()}
+    assert [x["k"] for x in got[1]] == [0] and got[2] == []
+
+
+def test_kind_limits_fall_back_to_all_kinds():
+    rows = [(0, 3.0, 1, 200), (0, -3.0, 0, 200), (1, 3.0, 1, 5), (1, -3.0, 0, 5), (2, 3.0, 0, 5), (2, 3.5, 1, 1)]
+    limits = pii.kind_limits(np.array(rows, float), 0.9)
+    # Few spans of kind 1 agree with the others; those of kind 2 do not; kind 3 has none.
+    assert np.isfinite(limits[0]) and limits[1] <= 3.0 and limits[2] == limits[3] == float("inf")
+    assert pii.kind_limits(np.zeros((0, 4)), 0.9)[0] == float("inf")
