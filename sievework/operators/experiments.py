@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sievework.functions.columns import h32, ratio, uniform
+from sievework.functions.linear import least_squares, predicted
 from sievework.functions.scan import number_rows
 from sievework.operators.monitoring import drift
 
@@ -180,6 +181,24 @@ def synthetic_utility(real: DataFrame, syn: DataFrame, numeric: Sequence[str], g
     return out.unionByName(real.sparkSession.createDataFrame([("schema_match", "all", same)], "measure string, subject string, value double"))
 
 
+def train_on_synthetic(real: DataFrame, syn: DataFrame, features: Sequence[str], target: Column, held_out: Column, ridge: float = 0.0) -> DataFrame:
+    """(train, test, n, accuracy, gap): linear classifiers fitted on real and on
+    generated rows, both tested on the real rows of ``held_out`` and on all
+    generated rows; ``gap`` is what a test loses against training on the other's
+    own kind. All fits are one aggregation of products (least squares for the
+    target as 0 or 1, positive from one half on)."""
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features])
+    shaped = lambda d, name, held: d.select(F.lit(name).alias("set"), x.alias("x"), target.cast("double").alias("y"), held.alias("held"))
+    rows = shaped(real, "real", held_out).unionByName(shaped(syn, "synthetic", F.lit(False)))
+    w = least_squares(rows.where("not held"), ["set"], "x", "y", len(features) + 1, ridge).select(F.col("set").alias("train"), "w")
+    # Two small rows of weights meet every test row.
+    tests = rows.where("held or set = 'synthetic'").withColumn("train", F.explode(F.array(F.lit("real"), F.lit("synthetic")))).join(w, "train")
+    hit = ((predicted("x", "w") >= 0.5).cast("double") == F.col("y")).cast("double")
+    out = tests.groupBy("train", F.col("set").alias("test")).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"))
+    own = out.where("train = test").select("test", F.col("accuracy").alias("_own"))
+    return out.join(own, "test").select("train", "test", "n", F.round("accuracy", 6).alias("accuracy"), F.round(F.col("_own") - F.col("accuracy"), 6).alias("gap"))
+
+
 def bounded_contributions(df: DataFrame, user: str, order: str, value: Column, bound: int, low: float, high: float, seed: str) -> DataFrame:
     """At most ``bound`` seeded rows per user, values clipped. The row limit is
     applied before the shuffle, so a heavy user is cut down at the source."""

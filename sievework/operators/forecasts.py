@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sievework.functions.linear import least_squares, predicted
 from sievework.functions.scan import exact_quantiles
 
 
@@ -50,24 +47,8 @@ def lag_regression_forecast(series: DataFrame, day: str, y: str, last: Column, k
     x = [F.lit(1.0), *[F.col(f"lag_{n}").cast("double") for n in lags], F.dayofweek(day).cast("double"), F.month(day).cast("double")]
     size = len(x)
     folds = backtest_folds(feats.select(day, F.col(y).cast("double").alias(y), F.array(*x).alias("x")), day, last, k, horizon)
-    at = [(i, j) for i in range(size) for j in range(i, size)]
-    sums = [F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in at] + [F.sum(F.col("x")[i] * F.col(y)) for i in range(size)]
-    fitted = folds.where("role = 'train'").groupBy("fold").agg(F.array(*sums).alias("s"))
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for s in b["s"]:
-                m = np.diag([0.0] + [ridge] * (size - 1))
-                for (i, j), v in zip(at, s):
-                    m[i, j] += v
-                    m[j, i] += v if i != j else 0.0
-                # A fold whose features depend on each other gets the shortest solution.
-                out.append(np.linalg.lstsq(m, np.array(s[len(at) :]), rcond=None)[0])
-            yield pd.DataFrame({"fold": b["fold"], "w": out})
-
-    weights = fitted.mapInPandas(solve, "fold int, w array<double>")
-    dot = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    weights = least_squares(folds.where("role = 'train'"), ["fold"], "x", y, size, ridge)
+    dot = predicted("x", "w")
     test = folds.where("role = 'test'").join(weights, "fold")
     return test.select("fold", day, (F.datediff(day, "origin") + 1).alias("horizon"), dot.alias("forecast"), F.col(y).alias("actual"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sievework.functions.columns import h32, normal, ratio
 from sievework.functions.graphs import components
@@ -12,6 +12,7 @@ from sievework.functions.links import complete_links, edit_keys
 from sievework.functions.scan import number_rows, running
 from sievework.operators.versions import diff_rows
 from sievework.session import cut
+from sievework.streaming.state_table import StateTable
 
 
 # --- index life cycle -------------------------------------------------------
@@ -59,6 +60,34 @@ def incremental_index(prev: DataFrame, changes: DataFrame, rebuilt: DataFrame) -
     return index, changes.agg(F.max("sequence").alias("cursor"))
 
 
+def index_table(path: str, columns: str, share: float = 0.25) -> StateTable:
+    """Stored index rows by document: the greatest sequence wins. ``columns`` are
+    what a document's row holds besides doc_id, sequence and deleted."""
+    schema = T.StructType.fromDDL(f"doc_id bigint, sequence bigint, deleted boolean, {columns}")
+    return StateTable(path, "doc_id", [F.col("sequence"), F.col("deleted").cast("int")], schema, share=share)
+
+
+def update_index(table: StateTable, changes: DataFrame, rebuilt: DataFrame, batch_id: int) -> None:
+    """Writes a batch of changes(doc_id, kind, sequence) as one delta: rebuilt rows
+    of changed documents, marks for deleted ones. The rest of the index is neither
+    read nor written, until deltas are large enough to be folded."""
+    last = changes.groupBy("doc_id").agg(F.max(F.struct("sequence", "kind")).alias("_c"))
+    gone = F.col("_c.kind") == "delete"
+    rows = last.join(rebuilt, "doc_id", "left").where(gone | F.col(rebuilt.columns[-1]).isNotNull())
+    values = [c for c in table.schema.names if c not in ("doc_id", "sequence", "deleted")]
+    table.write(rows.select("doc_id", F.col("_c.sequence").alias("sequence"), gone.alias("deleted"), *[F.when(~gone, F.col(c)).alias(c) for c in values]), batch_id)
+
+
+def read_index(spark: SparkSession, table: StateTable) -> DataFrame:
+    """Live rows of the stored index."""
+    return table.read(spark).where("not deleted").drop("deleted", "sequence")
+
+
+def index_cursor(spark: SparkSession, table: StateTable) -> int | None:
+    """The greatest sequence of the open deltas and the base."""
+    return table.read(spark).agg(F.max("sequence")).first()[0]
+
+
 def apply_tombstones(index: DataFrame, tombs: DataFrame, deletes: DataFrame, retention_days: int) -> tuple[DataFrame, DataFrame]:
     """(readable index, tombstones). deletes(doc_id, deleted_at); a repeated
     delete keeps the first time, so applying twice changes nothing."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sievework.functions.columns import ratio, words
 from sievework.operators.text import squeeze
@@ -19,28 +20,75 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(words(squeeze(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def train_bpe(df: DataFrame, text: str, merges: int, every: int = 8) -> list[tuple[str, str, int]]:
+def _pairs(words_: DataFrame, s: str, sign: int) -> DataFrame:
+    """(a, b, c): adjacent symbols of spelled words with their words' counts."""
+    p = F.filter(F.split(s, _SEP), lambda x: x != "")
+    z = words_.select(p.alias("_p"), (F.lit(sign) * F.col("n")).alias("c")).where(F.size("_p") > 1)
+    z = z.select(F.explode(F.arrays_zip(F.slice("_p", 1, F.size("_p") - 1).alias("a"), F.slice("_p", 2, F.size("_p")).alias("b"))).alias("z"), "c")
+    return z.select("z.a", "z.b", "c")
+
+
+def independent(top: Sequence[tuple[str, str, int]], whole: bool) -> list[tuple[str, str, int]]:
+    """The first pairs of a sorted list that are the next merges for certain.
+
+    A merge changes the counts only of pairs that share a symbol with it, and the
+    new pairs it makes occur no more often than those. So the next pair is certain
+    while no pair that touches an earlier choice occurs as often. A pair of equal
+    symbols can make pairs as frequent as itself and ends the choice, and so does
+    the count at which a list that is not ``whole`` was cut."""
+    out: list[tuple[str, str, int]] = []
+    used: set[str] = set()
+    end = None if whole else top[-1][2]
+    for a, b, c in top:
+        touching = any(x in used or y in used for x, y, n in top if n >= c and (x, y) not in {o[:2] for o in out})
+        if c < 2 or touching or (out and c == end):
+            break
+        out.append((a, b, c))
+        used |= {a, b}
+        if a == b:
+            break
+    return out
+
+
+def _merged(s: Column, word: Column, a: str, b: str) -> Column:
+    """Symbols with one pair merged; words without its letters are left alone."""
+    seek = f"(?<={_SEP}){re.escape(a)}{_SEP}{re.escape(b)}(?={_SEP})"
+    return F.when(F.contains(word, F.lit(a + b)), F.regexp_replace(s, seek, (a + b).replace("\\", "\\\\").replace("$", "\\$"))).otherwise(s)
+
+
+def train_bpe(df: DataFrame, text: str, merges: int, every: int = 8, listed: int = 256) -> list[tuple[str, str, int]]:
     """Merge table [(left, right, count)]: the most frequent adjacent pair, ties
     to the smaller pair, until ``merges`` or no pair occurs twice.
 
-    The corpus is read once into word counts; each step is an aggregation over
-    that vocabulary and only the winning pair comes to the driver."""
+    The corpus is read once into word counts and pair counts. A round takes the
+    ``listed`` most frequent pairs to the driver and merges all of them that cannot
+    influence each other; only words that hold the letters of a merged pair are
+    spelled anew, and the differences of their pairs are added to the counts."""
     spelled = F.concat(F.regexp_replace("word", "(?s)(.)", f"{_SEP}$1"), F.lit(_SEP))
-    v = cut(word_counts(df, text).select(spelled.alias("s"), "n"))
+    v = cut(word_counts(df, text).where(F.length("word") > 1).select("word", spelled.alias("s"), "n"))
+    total = lambda d: d.groupBy("a", "b").agg(F.sum("c").alias("c"))
+    counts, extra = cut(total(_pairs(v, "s", 1))), []
     out: list[tuple[str, str, int]] = []
-    for step in range(merges):
-        parts = F.filter(F.split("s", _SEP), lambda x: x != "")
-        v2 = v.withColumn("_p", parts).where(F.size("_p") > 1)
-        pairs = v2.select(F.explode(F.arrays_zip(F.slice("_p", 1, F.size("_p") - 1).alias("a"), F.slice("_p", 2, F.size("_p")).alias("b"))).alias("z"), "n")
-        top = pairs.groupBy("z.a", "z.b").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "a", "b").limit(1).collect()
-        if not top or top[0]["c"] < 2:
+    rounds = 0
+    while len(out) < merges:
+        now = total(reduce(DataFrame.unionByName, [counts, *extra])) if extra else counts
+        top = [(r["a"], r["b"], r["c"]) for r in now.where("c > 1").orderBy(F.desc("c"), "a", "b").limit(listed).collect()]
+        batch = independent(top, len(top) < listed)[: merges - len(out)] if top else []
+        if not batch:
             break
-        a, b, c = top[0]["a"], top[0]["b"], top[0]["c"]
-        out.append((a, b, c))
-        seek = f"(?<={_SEP}){re.escape(a)}{_SEP}{re.escape(b)}(?={_SEP})"
-        v = v.withColumn("s", F.regexp_replace("s", seek, (a + b).replace("\\", "\\\\").replace("$", "\\$")))
-        if (step + 1) % every == 0:
-            v = cut(v)
+        out += batch
+        if len(out) >= merges:
+            break
+        s, touched = F.col("s"), F.lit(False)
+        for a, b, _ in batch:
+            s = _merged(s, F.col("word"), a, b)
+            touched = touched | F.contains("word", F.lit(a + b))
+        new = v.withColumn("_s", s)
+        changed = new.where(touched).where("s <> _s")
+        extra.append(cut(total(_pairs(changed, "s", -1).unionByName(_pairs(changed, "_s", 1))).where("c <> 0")))
+        v, rounds = new.select("word", F.col("_s").alias("s"), "n"), rounds + 1
+        if rounds % every == 0:
+            v, counts, extra = cut(v), cut(total(reduce(DataFrame.unionByName, [counts, *extra])).where("c > 0")), []
     return out
 
 

@@ -156,6 +156,34 @@ def x10(spark, sf):
     return X.synthetic_utility(real, syn, ["q", "p"], "g", F.col("t"), "s", 0.02).where("measure not in ('ks', 'psi')")
 
 
+def _fit3(rows: str) -> str:
+    """CTEs f0..f3: normal equations of x and y by set, solved row by row."""
+    eq = ", ".join("[" + ", ".join([*[f"sum(x[{i}]*x[{j}])" for j in (1, 2, 3)], f"sum(x[{i}]*y)"]) + "]" for i in (1, 2, 3))
+    steps = [f'f0 AS (SELECT "set", [{eq}] AS m FROM {rows} GROUP BY 1)']
+    for k in (1, 2, 3):
+        steps.append(
+            f'f{k} AS (SELECT "set", list_transform(m, lambda r, i: CASE WHEN i={k} THEN p ELSE list_transform(r, lambda v, j: v-p[j]*r[{k}]) END) AS m FROM (SELECT "set", m, list_transform(m[{k}], lambda v: v/m[{k}][{k}]) AS p FROM f{k - 1}))'
+        )
+    return ", ".join(steps)
+
+
+@query(
+    "X10_train_on_synthetic",
+    f"""WITH r AS (SELECT 'real' AS "set", [1.0::DOUBLE, l_quantity, l_extendedprice/1000] AS x, (l_linenumber>3)::INT::DOUBLE AS y, l_orderkey%4=0 AS held FROM lineitem
+ UNION ALL SELECT 'synthetic', [1.0::DOUBLE, l_quantity+{H("l_orderkey::VARCHAR||l_linenumber")}%3, l_extendedprice*0.9::DOUBLE/1000], (l_linenumber>3 AND l_quantity>10)::INT::DOUBLE, false FROM lineitem),
+ tr AS (SELECT * FROM r WHERE NOT held), {_fit3('tr')}, t AS (SELECT f3."set" AS train, r."set" AS test, (list_inner_product(x, list_transform(m, lambda q: q[4]))>=0.5)::INT::DOUBLE=y AS hit FROM r, f3 WHERE held OR r."set"='synthetic'),
+ a AS (SELECT train, test, count(*) AS n, avg(hit::INT::DOUBLE) AS acc FROM t GROUP BY 1,2)
+ SELECT a.train, a.test, a.n, round(a.acc,6) AS accuracy, round(o.acc-a.acc,6) AS gap FROM a JOIN a o ON o.train=a.test AND o.test=a.test""",
+)
+def x10b(spark, sf):
+    li = table(spark, sf, "lineitem")
+    real = li.select(F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("p"), (F.col("l_linenumber") > 3).alias("t"), (F.col("l_orderkey") % 4 == 0).alias("held"))
+    syn = li.select(
+        (F.col("l_quantity") + h32("l_orderkey", "l_linenumber") % 3).alias("q"), (F.col("l_extendedprice") * 0.9 / 1000).alias("p"), ((F.col("l_linenumber") > 3) & (F.col("l_quantity") > 10)).alias("t")
+    )
+    return X.train_on_synthetic(real, syn, ["q", "p"], F.col("t"), F.col("held"))
+
+
 @query(
     "X12_private_aggregate",
     f"""WITH b AS (SELECT event_type, least(30.0,greatest(0.0,value)) AS c FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {H("'dp|'||event_id")}, event_id)<=20), g AS (SELECT event_type, count(*) AS exact_n, sum(c) AS s, {U("'dp|n|'||event_type")}-0.5 AS un, {U("'dp|s|'||event_type")}-0.5 AS us FROM b GROUP BY 1)

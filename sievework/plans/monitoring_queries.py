@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions.columns import h32, h32_sql as H
-from sievework.operators import audit as A, monitoring as O
+from sievework.operators import audit as A, monitoring as O, sketches as SK
 from sievework.operators.evaluation import POISSON_ONE
 from sievework.plans import derive as D
 from sievework.plans.registry import query
-from sievework.session import table
+from sievework.session import scratch_path, table
 
 EV = lambda tag: H(f"event_id::VARCHAR||'{tag}'")
 
@@ -389,3 +389,46 @@ _W = "+".join(f"(u>={t}::DOUBLE)::INT" for t in POISSON_ONE)
 )
 def o24(spark, sf):
     return O.capacity_estimate(load(spark, sf), 260.0, 0.5, ["cpu", "mem"], "event_id", 100, "ce")
+
+
+def stored_sketches(spark, sf):
+    """Sketches of every service and day, written and read back."""
+    path = scratch_path(spark, "sketches")
+    r = D.requests(spark, sf)
+    SK.sketch_windows(r, ["service"], "ts", 86400, ["latency_ms"], "user_id", "event_type", "v1").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("O1_sketch_quantiles")
+def o1_sketch(spark, sf):
+    """Percentiles of services over all days from stored sketches; their rank
+    error is held against the rows in the tests."""
+    q = SK.merge_quantiles(stored_sketches(spark, sf), ["service"], "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return q.select("service", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
+@query("O4_sketch_distinct", D.with_(D.REQUESTS) + " SELECT service, count(DISTINCT user_id) AS \"distinct\" FROM requests GROUP BY 1")
+def o4_sketch(spark, sf):
+    """Distinct users per service; exact for as few as the tables have."""
+    return SK.merge_distinct(stored_sketches(spark, sf), ["service"])
+
+
+@query(
+    "O4_sketch_common",
+    D.with_(D.REQUESTS) + ", c AS (SELECT service, event_type AS value, count(*) AS n FROM requests GROUP BY 1,2) SELECT service, value, n AS least, n AS most FROM c QUALIFY row_number() OVER (PARTITION BY service ORDER BY n DESC, value)<=3",
+)
+def o4_common(spark, sf):
+    return SK.merge_common(stored_sketches(spark, sf), ["service"], 3)
+
+
+@query(
+    "O5_sketch_overlap",
+    D.with_(D.REQUESTS)
+    + """, a AS (SELECT DISTINCT service, user_id FROM requests WHERE day(ts)<=15), b AS (SELECT DISTINCT service, user_id FROM requests WHERE day(ts)>15)
+ SELECT service, count(*) FILTER (a.user_id IS NOT NULL AND b.user_id IS NOT NULL) AS both, count(*) FILTER (b.user_id IS NULL) AS only_a, count(*) FILTER (a.user_id IS NULL) AS only_b FROM a FULL JOIN b USING (service, user_id) GROUP BY 1""",
+)
+def o5_sketch(spark, sf):
+    """Users of the first and the second half of the month."""
+    s = stored_sketches(spark, sf)
+    first = F.dayofmonth("window_start") <= 15
+    return SK.overlap(s.where(first), s.where(~first), ["service"])

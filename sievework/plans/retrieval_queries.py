@@ -289,6 +289,27 @@ def r18(spark, sf):
     return G.incremental_index(ix(a), ch, ix(b))[0]
 
 
+@query(
+    "R18_stored_index",
+    D.with_(D.VERSIONS)
+    + """, ch AS (SELECT coalesce(a.doc_id,b.doc_id) AS doc_id FROM v1 a FULL JOIN v2 b ON a.doc_id=b.doc_id WHERE a.text IS DISTINCT FROM b.text)
+ SELECT doc_id, md5(text) AS body FROM v2 WHERE doc_id IN (SELECT doc_id FROM ch) UNION ALL SELECT doc_id, md5(text) FROM v1 WHERE doc_id NOT IN (SELECT doc_id FROM ch)""",
+)
+def r18b(spark, sf):
+    """The first version, then the changes as one delta, the delta once more."""
+    from sievework.sources.tables import source_changes
+
+    a, b = D.doc_versions(spark, sf)
+    ix = lambda d: d.select("doc_id", F.md5("text").alias("body"))
+    table_ = G.index_table(scratch_path(spark, "index"), "body string")
+    G.update_index(table_, a.select("doc_id", F.lit("put").alias("kind"), F.lit(0).cast("bigint").alias("sequence")), ix(a), 0)
+    ch = source_changes(ix(a), ix(b), "doc_id", "body").where("status <> 'unchanged'")
+    ch = ch.select("doc_id", F.when(F.col("status") == "deleted", "delete").otherwise("put").alias("kind"), (F.col("doc_id") + 1).alias("sequence"))
+    for _ in range(2):
+        G.update_index(table_, ch, ix(b), 1)
+    return G.read_index(spark, table_)
+
+
 @query(
     "R19_apply_tombstones",
     """WITH t AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, DATE '2024-01-01'+(doc_id%30)::INT AS d FROM documents WHERE doc_id%8=0 UNION ALL SELECT doc_id, DATE '2024-02-01' FROM documents WHERE doc_id%12=0) GROUP BY 1)

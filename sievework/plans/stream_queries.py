@@ -334,6 +334,21 @@ def policies(spark, sf):
     return E.update_policies(d, "key", 2, 7, 0.5, 20.0)
 
 
+def logit_events(spark, sf):
+    e = events(spark, sf)
+    x = F.array(F.lit(1.0), F.col("value") / 100, (F.hour("ts") / 24.0), (F.col("event_type") == "click").cast("double"))
+    return e.select((F.col("user_id") % 5).alias("key"), "event_id", "ts", x.alias("x"), (F.col("event_type").isin("purchase", "click") & (F.col("value") > 20)).cast("double").alias("y"))
+
+
+@query("E14_logit_policies")
+def e14c(spark, sf):
+    """Held against a plain replay in the tests."""
+    e = logit_events(spark, sf)
+    out = scratch_path(spark, "scores")
+    E.run_to_files(E.logit_policies(as_arrivals(spark, e, "ts"), E.LogitPolicies(4, 0.3, 100, 7 * 86400, 0.05, 5.0), 6 * 3600, "1 hour"), out, scratch_path(spark, "cp"))
+    return E.policy_losses(spark.read.parquet(out), e.select("event_id", "y"))
+
+
 @query("E15_materialize_features", "SELECT user_id, arg_max(value,event_id) AS value, arg_max(event_type,event_id) AS event_type FROM events GROUP BY 1")
 def e15(spark, sf):
     e = events(spark, sf)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import math
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from sievework.functions.columns import let, seconds
+from sievework.functions.columns import seconds
 from sievework.functions.scan import running
 from sievework.operators.quality import tag_broken
 from sievework.operators.versions import dataset_checksum, diff_rows
@@ -403,51 +407,183 @@ def prequential(df: DataFrame, key: str, order: Sequence[str], correct: Column,
     )
 
 
+POLICIES = ("static", "incremental", "window", "drift")
+
+
+def _mean_errors(days: np.ndarray, n: np.ndarray, total: np.ndarray, delay: int, window: int, delta: float, limit: float) -> list[tuple]:
+    """(policy, days, summed error) of one key, in one pass over its days: every
+    forecast is a difference of two running sums."""
+    sums = np.stack([np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(total)])])
+    # First day after the last alarm, as known after each day.
+    cut = np.zeros(days.size, np.int64)
+    seen, mean, m, low, start = 0, 0.0, 0.0, 0.0, 0
+    for i in range(days.size):
+        v = total[i] / n[i]
+        seen += 1
+        mean += (v - mean) / seen
+        m += v - mean - delta
+        low = m if seen == 1 else min(low, m)
+        if m - low > limit:
+            seen, mean, m, low, start = 0, 0.0, 0.0, 0.0, i
+        cut[i] = start
+    known = np.searchsorted(days, days - delay, side="right")
+    heads = {"static": np.zeros(days.size, np.int64), "incremental": np.zeros(days.size, np.int64), "window": np.searchsorted(days, days - delay - window, side="right"), "drift": cut[np.maximum(known - 1, 0)]}
+    ends = {p: np.ones(days.size, np.int64) if p == "static" else known for p in POLICIES}
+    out = []
+    for p in POLICIES:
+        some = (known > 0) & (ends[p] > heads[p])
+        a, b = heads[p][some], ends[p][some]
+        forecast = (sums[1, b] - sums[1, a]) / (sums[0, b] - sums[0, a])
+        if (known > 0).any():
+            out.append((p, int(some.sum()), float(np.abs(forecast - total[some] / n[some]).sum())))
+    return out
+
+
 def update_policies(daily: DataFrame, key: str, delay: int, window: int, delta: float, limit: float) -> DataFrame:
     """Mean absolute error per key and policy (static, incremental, window,
     drift) of a mean model under one label delay in days.
 
     daily(key, day_no, n, total): sums per key and day, so a key is as long as
     its days however many events it has. A day's forecast uses only days up to
-    day - delay; static keeps the first seen day."""
-    g = daily.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("day_no", "n", "total"))).alias("d"))
-
-    def mean_of(days: Column) -> Column:
-        n = F.aggregate(days, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-        return F.try_divide(F.aggregate(days, F.lit(0.0), lambda a, x: a + x["total"]), n.cast("double"))
-
-    def since_alarm(days: Column) -> Column:
-        """Days after the last Page-Hinkley alarm on daily means."""
-        start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m"), F.lit(0.0).alias("low"), F.lit(-1).cast("bigint").alias("cut"))
-
-        def fold(a: Column, x: Column) -> Column:
-            v, n = x["total"] / x["n"], a["n"] + 1
-            mean = a["mean"] + (v - a["mean"]) / n
-            m = a["m"] + v - mean - delta
-            low = F.when(a["n"] == 0, m).otherwise(F.least(a["low"], m))
-            hit = m - low > limit
-            z = F.lit(0.0)
-            return F.struct(
-                F.when(hit, F.lit(0).cast("bigint")).otherwise(n).alias("n"), F.when(hit, z).otherwise(mean).alias("mean"), F.when(hit, z).otherwise(m).alias("m"),
-                F.when(hit, z).otherwise(low).alias("low"), F.when(hit, x["day_no"]).otherwise(a["cut"]).alias("cut"),
-            )
-
-        return let(F.aggregate(days, start, fold, lambda a: a["cut"]), lambda last: F.filter(days, lambda x: x["day_no"] >= last))
-
-    known = lambda x: F.filter("d", lambda y: y["day_no"] <= x["day_no"] - delay)
-    actual = F.col("t.total") / F.col("t.n")
-
-    def errors(k: Column) -> Column:
-        models = {
-            "static": mean_of(F.slice(k, 1, 1)), "incremental": mean_of(k),
-            "window": mean_of(F.filter(k, lambda y: y["day_no"] > F.col("t.day_no") - delay - window)), "drift": mean_of(since_alarm(k)),
-        }
-        return F.array(*[F.struct(F.lit(p).alias("policy"), F.abs(c - actual).alias("err")) for p, c in models.items()])
-
-    rows = g.select(key, "d", F.explode("d").alias("t"))
-    first = F.element_at("d", 1)["day_no"]
-    long = rows.where(first <= F.col("t.day_no") - delay).select(key, F.inline(let(known(F.col("t")), errors)))
-    return long.groupBy(key, "policy").agg(F.count("err").alias("days"), F.round(F.avg("err"), 6).alias("mae"))
+    day - delay; static keeps the first seen day; drift starts again after a
+    Page-Hinkley alarm on daily means. Time is in proportion to the days."""
+    g = daily.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("day_no").cast("bigint").alias("day_no"), F.col("n").cast("bigint").alias("n"), F.col("total").cast("double").alias("total")))).alias("d"))
+    kind = g.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, days, n, total in zip(b[key], b["day"], b["n"], b["total"]):
+                out += [(k, *r) for r in _mean_errors(np.asarray(days), np.asarray(n), np.asarray(total), delay, window, delta, limit)]
+            yield pd.DataFrame(out, columns=[key, "policy", "days", "err"])
+
+    lists = g.select(key, F.col("d.day_no").alias("day"), F.col("d.n").alias("n"), F.col("d.total").alias("total"))
+    rows = lists.mapInPandas(run, f"{key} {kind}, policy string, days bigint, err double")
+    return rows.select(key, "policy", "days", F.round(F.try_divide("err", F.col("days").cast("double")), 6).alias("mae"))
+
+
+class LogitPolicies:
+    """Online logistic regression of one key under every update policy.
+
+    Each event is scored before its label is used; a label is used once the event
+    is ``delay`` seconds old. incremental learns from every label, static from the
+    first ``warm`` ones, window starts anew every ``window`` seconds, drift after a
+    Page-Hinkley alarm on its own log loss."""
+
+    def __init__(self, size: int, rate: float, warm: int, window_s: int, delta: float, limit: float):
+        self.size, self.rate, self.warm, self.window, self.delta, self.limit = size, rate, warm, window_s, delta, limit
+
+    def start(self) -> dict:
+        zero = lambda: [0.0] * self.size
+        return {"w": [zero() for _ in POLICIES], "seen": 0, "opened": None, "ph": [0.0, 0.0, 0.0, 0.0], "resets": [0] * len(POLICIES)}
+
+    @staticmethod
+    def _p(w: list[float], x: list[float]) -> float:
+        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x))))))
+
+    def scores(self, state: dict, x: list[float]) -> list[float]:
+        return [self._p(w, x) for w in state["w"]]
+
+    def learn(self, state: dict, at: float, x: list[float], y: float) -> None:
+        if state["opened"] is None:
+            state["opened"] = at
+        if at - state["opened"] >= self.window:
+            state["opened"], state["w"][2] = at, [0.0] * self.size
+            state["resets"][2] += 1
+        p = self._p(state["w"][3], x)
+        loss = -math.log(max(1e-12, p if y else 1 - p))
+        n, mean, m, low = state["ph"]
+        n += 1
+        mean += (loss - mean) / n
+        m += loss - mean - self.delta
+        low = m if n == 1 else min(low, m)
+        if m - low > self.limit:
+            n, mean, m, low, state["w"][3] = 0.0, 0.0, 0.0, 0.0, [0.0] * self.size
+            state["resets"][3] += 1
+        state["ph"] = [n, mean, m, low]
+        for i, name in enumerate(POLICIES):
+            if name != "static" or state["seen"] < self.warm:
+                step = self.rate * (y - self._p(state["w"][i], x))
+                state["w"][i] = [a + step * b for a, b in zip(state["w"][i], x)]
+        state["seen"] += 1
+
+
+_LOGIT = "key bigint, event_id bigint, ts timestamp, " + ", ".join(f"{p} double" for p in POLICIES)
+
+
+class _LogitStream(StatefulProcessor):
+    """Events wait until the watermark passes their slice, then go in order: an
+    event is scored after the labels that were old enough before it are used."""
+
+    def __init__(self, model: LogitPolicies, delay_s: int, slice_ms: int) -> None:
+        self.model, self.delay, self.slice = model, delay_s, slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "body string")
+        self.waiting = handle.getListState("waiting", "us bigint, event_id bigint, y double, x string")
+        # Scored events whose labels are not old enough yet.
+        self.unlearnt = handle.getListState("unlearnt", "us bigint, event_id bigint, y double, x string")
+
+    def _end(self, us: int) -> int:
+        return (us // 1000 // self.slice + 1) * self.slice
+
+    def _wake(self, us: int, passed: int) -> None:
+        end = self._end(us)
+        if not any(passed < t <= end for t in self.handle.listTimers()):
+            self.handle.registerTimer(end)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for b in rows:
+            us = b["us"].tolist()
+            self.waiting.appendList(list(zip(us, b["event_id"].tolist(), b["y"].tolist(), [json.dumps(list(map(float, x))) for x in b["x"]])))
+            first = min(us) if first is None else min(first, *us)
+        if first is not None:
+            self._wake(first, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        due, later = [], []
+        for row in self.waiting.get():
+            (due if self._end(row[0]) <= passed else later).append(tuple(row))
+        if not due:
+            return
+        if later:
+            self.waiting.put(later)
+            self._wake(min(later)[0], passed)
+        else:
+            self.waiting.clear()
+        state = json.loads(self.state.get()[0]) if self.state.exists() else self.model.start()
+        held = deque(sorted(tuple(r) for r in self.unlearnt.get()))
+        out = []
+        for us, event_id, y, x in sorted(due):
+            while held and held[0][0] + self.delay * 1_000_000 <= us:
+                at, _, label, features = held.popleft()
+                self.model.learn(state, at / 1e6, json.loads(features), label)
+            out.append((int(key[0]), event_id, pd.Timestamp(us, unit="us"), *self.model.scores(state, json.loads(x))))
+            held.append((us, event_id, y, x))
+        self.state.update((json.dumps(state),))
+        if held:
+            self.unlearnt.put(list(held))
+        yield pd.DataFrame(out, columns=["key", "event_id", "ts", *POLICIES])
+
+
+def logit_policies(stream: DataFrame, model: LogitPolicies, label_delay_s: int, delay: str, slice_s: int = 3600) -> DataFrame:
+    """Scores of every event under all update policies, in event order, from
+    stream(key, event_id, ts, x array<double>, y). State holds the weights, the rows
+    of slices the watermark has not passed and those younger than the label delay."""
+    src = stream.withWatermark("ts", delay).select("key", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("y").cast("double").alias("y"), "x")
+    return src.groupBy("key").transformWithStateInPandas(_LogitStream(model, label_delay_s, slice_s * 1000), _LOGIT, "Append", "EventTime")
+
+
+def policy_losses(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """Mean log loss per key and policy. scored is what ``logit_policies`` gives,
+    labels(event_id, y)."""
+    long = scored.join(labels, "event_id").unpivot(["key", "event_id", "y"], list(POLICIES), "policy", "p")
+    p = F.greatest(F.lit(1e-12), F.when(F.col("y") > 0, F.col("p")).otherwise(1 - F.col("p")))
+    return long.groupBy("key", "policy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(-F.ln(p)), 6).alias("log_loss"))
 
 
 def feature_table(out: str, source: DataFrame, key: str, ts: str, tie: str, values: Sequence[str], share: float = 0.5) -> StateTable:

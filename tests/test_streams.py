@@ -1,5 +1,6 @@
 """Streams give what their batch forms give, also after a restart and a replay."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sievework.plans import derive as D
@@ -115,3 +116,33 @@ def test_detector_takes_events_in_order_of_time(spark):
     E.write_arrivals(d, path, block, 5)
     E.run_to_files(E.drift_detector(E.replay_stream(spark, path, d.schema, 1), 0.5, 100.0, "m", "2 hours", 600), out, scratch_path(spark, "cp"))
     assert sorted((r.event_id, round(r.ph, 6)) for r in spark.read.parquet(out).collect()) == want and want
+
+
+def test_logit_policies_equal_a_plain_replay(spark):
+    rng = np.random.default_rng(3)
+    rows, replay = [], []
+    for i in range(400):
+        x = [1.0, float(rng.normal()), float(rng.normal())]
+        w = [0.2, 2.0, -1.0] if i < 200 else [0.2, -2.0, 1.0]
+        rows.append((i % 2, i, 3600.0 + 60 * i, x, float(rng.random() < 1 / (1 + np.exp(-np.dot(w, x))))))
+    model = E.LogitPolicies(3, 0.5, 40, 6000, 0.05, 3.0)
+    end = (3600 + 60 * 399 - 600) // 600 * 600
+    for key in (0, 1):
+        state, young = model.start(), []
+        for k, i, at, x, y in rows:
+            if k != key or at // 600 * 600 + 600 > end:
+                continue
+            while young and young[0][0] + 300 <= at:
+                model.learn(state, *young.pop(0))
+            replay.append((i, *[round(p, 9) for p in model.scores(state, x)]))
+            young.append((at, x, y))
+        assert state["resets"][2] >= 2 and state["resets"][3] >= 1
+    d = spark.createDataFrame(rows, "key bigint, event_id bigint, s double, x array<double>, y double").select("key", "event_id", F.timestamp_seconds("s").alias("ts"), "x", "y")
+    path, out = scratch_path(spark, "arr"), scratch_path(spark, "scores")
+    E.write_arrivals(d, path, F.least(F.floor((F.unix_seconds("ts") - 3600 + F.col("event_id") % 5 * 100) / 5000), F.lit(4)), 5)
+    E.run_to_files(E.logit_policies(E.replay_stream(spark, path, d.schema, 1), model, 300, "10 minutes", 600), out, scratch_path(spark, "cp"))
+    got = spark.read.parquet(out)
+    assert sorted((r.event_id, *[round(r[p], 9) for p in E.POLICIES]) for r in got.collect()) == sorted(replay)
+    losses = {(r.key, r.policy): r.log_loss for r in E.policy_losses(got, d.select("event_id", "y")).collect()}
+    # After the change of law, a model that never learns again is the worst.
+    assert all(losses[k, "static"] > losses[k, "drift"] for k in (0, 1))
