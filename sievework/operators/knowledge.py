@@ -236,19 +236,18 @@ def facts_as_of(facts: DataFrame, valid_at: Column, observed_at: Column) -> Data
 
 def conflict_segments(facts: DataFrame) -> DataFrame:
     """(subject, predicate, seg_from, seg_to, values): time where two or more
-    values hold at once. Each value's intervals are first merged, then counted
-    in and out in time order; no pair of facts is built."""
+    values hold at once. One sweep over the ends of each value's intervals says
+    when it begins and ceases to hold, one over those changes how many values do;
+    no pair of facts is built."""
     keys = ["subject", "predicate", "value"]
     num = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("bigint")
-    f = facts.where("valid_to > valid_from").select(*keys, "fact_id", num("valid_from").alias("a"), num("valid_to").alias("z"))
-    block = F.floor(F.col("a") / 64)
-    f = running(f, keys, ["a", "fact_id"], block, inclusive=False, reach=("max", F.col("z")))
-    f = f.withColumn("_new", F.when(F.col("reach").isNull() | (F.col("a") > F.col("reach")), 1).otherwise(0))
-    f = running(f.drop("reach"), keys, ["a", "fact_id"], F.floor(F.col("a") / 64), island=("sum", F.col("_new")))
-    isl = f.groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("z").alias("z"))
-    ends = isl.select("subject", "predicate", F.inline(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")), F.struct(F.col("z").alias("t"), F.lit(-1).alias("d")))))
-    pts = ends.groupBy("subject", "predicate", "t").agg(F.sum("d").alias("d"))
-    act = running(pts, ["subject", "predicate"], ["t"], F.floor(F.col("t") / 64), active=("sum", F.col("d")))
+    two = F.array(F.struct(num("valid_from").alias("t"), F.lit(1).alias("d")), F.struct(num("valid_to").alias("t"), F.lit(-1).alias("d")))
+    ends = facts.where("valid_to > valid_from").select(*keys, F.inline(two)).groupBy(*keys, "t").agg(F.sum("d").alias("d")).where("d <> 0")
+    held = running(cut(ends), keys, ["t"], F.floor(F.col("t") / 64), n=("sum", F.col("d")))
+    # A value begins to hold where its count leaves 0, and ceases where it returns.
+    change = F.when(F.col("n") == F.col("d"), 1).when(F.col("n") == 0, -1)
+    pts = held.withColumn("_c", change).where("_c is not null").groupBy("subject", "predicate", "t").agg(F.sum("_c").alias("d"))
+    act = cut(running(cut(pts), ["subject", "predicate"], ["t"], F.floor(F.col("t") / 64), active=("sum", F.col("d"))))
     nxt = running(act.withColumn("_n", -F.col("t")), ["subject", "predicate"], ["_n"], F.floor(F.col("_n") / 64), inclusive=False, _p=("max", F.col("_n")))
     to = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), c.cast("int"))
     return nxt.where("active >= 2").select("subject", "predicate", to(F.col("t")).alias("seg_from"), to(-F.col("_p")).alias("seg_to"), F.col("active").alias("values"))
@@ -263,7 +262,8 @@ def fact_conflicts(facts: DataFrame) -> DataFrame:
     f = facts.where("valid_to > valid_from").select(*keys, (-num("valid_from")).alias("k"), F.lit(1).alias("side"), F.col("fact_id"), F.lit(None).cast("bigint").alias("s"))
     # the first segment ending after the fact starts: scan segment ends from late to early
     s = seg.select(*keys, (-num("seg_to")).alias("k"), F.lit(0).alias("side"), F.lit(-1).cast("bigint").alias("fact_id"), (-num("seg_from")).alias("s"))
-    first = running(f.unionByName(s).withColumn("k2", F.when(F.col("side") == 0, F.col("k")).otherwise(F.col("k") - 1)), keys, ["k2", "side", "fact_id"], F.floor(F.col("k2") / 64), seg_start=("max", F.col("s")))
+    both = cut(f.unionByName(s).withColumn("k2", F.when(F.col("side") == 0, F.col("k")).otherwise(F.col("k") - 1)))
+    first = running(both, keys, ["k2", "side", "fact_id"], F.floor(F.col("k2") / 64), seg_start=("max", F.col("s")))
     first = first.where("side = 1").select("fact_id", (-F.col("seg_start")).alias("_s"))
     j = facts.join(first, "fact_id").where(F.col("_s").isNotNull() & (F.col("_s") < num("valid_to")))
     start = F.greatest(F.date_add(F.lit("1970-01-01").cast("date"), F.col("_s").cast("int")), F.col("valid_from"))

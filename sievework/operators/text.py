@@ -14,6 +14,7 @@ from sievework.functions.columns import h32, let, ratio, reasons, words
 from sievework.functions.graphs import components
 from sievework.functions.links import complete_links, rare_blocks
 from sievework.functions.scan import previous, running
+from sievework.functions.shingles import shingle_sets
 from sievework.operators.versions import digest_columns
 from sievework.session import cut
 
@@ -147,12 +148,13 @@ def dedup_near(df: DataFrame, key: str, text: str, n: int = 5, threshold: float
 
     Texts with one shingle set collapse first. Candidates share a rare shingle
     (``rare_blocks``), which is exact; links are verified on the whole sets."""
-    docs = df.select(F.col(key).cast("bigint").alias("id"), shingle_hashes(F.col(text), n).alias("payload"))
-    docs = docs.withColumn("_set", F.md5(F.array_join("payload", ",")))
-    reps = docs.groupBy("_set").agg(F.min("id").alias("rep"))
-    same = cut(docs.select("id", "_set").join(reps, "_set").select("id", "rep"))
-    items = cut(docs.join(reps, (docs["_set"] == reps["_set"]) & (docs["id"] == reps["rep"])).select("id", "payload"))
-    links = complete_links(rare_blocks(items, threshold), items, lambda a, b: jaccard(a, b) >= threshold)
+    docs = cut(shingle_sets(df, key, words(squeeze(F.col(text))), n))
+    reps = docs.groupBy("digest").agg(F.min("id").alias("rep"))
+    same = cut(docs.select("id", "digest").join(reps, "digest").select("id", "rep"))
+    items = cut(docs.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "payload", "size").dropDuplicates(["id"]))
+    # Sets whose sizes differ by more than the threshold cannot reach it.
+    fits = lambda x, y: F.least(x, y) >= F.lit(threshold - 1e-9) * F.greatest(x, y)
+    links = complete_links(rare_blocks(items, threshold).join(items.select("id", "size"), "id"), items, lambda x, y: jaccard(x, y) >= threshold, fits)
     comp = components(links, "leader", "member")
     return same.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         F.col("id").alias(key), F.coalesce("component", "rep").alias("canonical")

@@ -111,6 +111,10 @@ def commit_version(df: DataFrame, name: str, run_path: str, ledger: str, gate, c
     version = current[0]["version"] + 1 if current else 1
     while not _claim(spark, f"{ledger}-claims/{name}/version={version}"):
         version += 1
+    # Another writer may have committed the same rows meanwhile; the claim stays unused.
+    newest = read_ledger(spark, ledger).where(F.col("name") == name).orderBy(F.desc("version")).limit(1).collect()
+    if newest and newest[0]["digest"] == d["digest"]:
+        return {"status": "no_op", "version": newest[0]["version"], "path": newest[0]["path"]}
     row = [(name, version, run_path, d["digest"], d["rows"], committed_at, "commit")]
     spark.createDataFrame(row, LEDGER).coalesce(1).write.mode("append").parquet(ledger)
     return {"status": "committed", "version": version, "path": run_path}
