@@ -4,14 +4,18 @@ A plain window over one key sends every row of that key to one task, which
 fails when a key holds a third of the data. Here the key is cut into blocks of
 the order column: rows are scanned inside (key, block), block totals (one row
 per block) are scanned over the key, and the two are joined on (key, block).
-The join reuses the partitioning of the inner window.
+The join reuses the partitioning of the inner window. Where there is no key, the
+totals of many blocks are scanned in the same way in two levels (groups of blocks,
+then the groups' totals), so that no task holds them all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+GROUP = 4096
 
 _FOLD = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
@@ -22,6 +26,15 @@ def _merge(kind: str, head: Column, local: Column) -> Column:
     return (F.greatest if kind == "max" else F.least)(head, local)
 
 
+def _group(totals: DataFrame) -> Column:
+    """A group of blocks, non-decreasing along them: a range of numbers, or the
+    first part of a struct."""
+    kind = totals.schema["_blk"].dataType
+    if isinstance(kind, T.StructType):
+        return F.col("_blk")[kind.names[0]]
+    return F.floor(F.col("_blk") / GROUP) if isinstance(kind, T.NumericType) else F.lit(0)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -44,8 +57,16 @@ def running(
     for name, (kind, _) in aggs.items():
         local = local.withColumn(f"_lo_{name}", _FOLD[kind](F.col(f"_in_{name}")).over(inner))
     totals = src.groupBy(*part).agg(*[_FOLD[k](F.col(f"_in_{n}")).alias(f"_to_{n}") for n, (k, _) in aggs.items()])
-    outer = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    heads = totals.select(*part, *[_FOLD[k](F.col(f"_to_{n}")).over(outer).alias(f"_hd_{n}") for n, (k, _) in aggs.items()])
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    folded = lambda w: [_FOLD[k](F.col(f"_to_{n}")).over(w).alias(f"_hd_{n}") for n, (k, _) in aggs.items()]
+    if keys:
+        heads = totals.select(*part, *folded(before(Window.partitionBy(*keys).orderBy("_blk"))))
+    else:
+        grouped = totals.withColumn("_grp", _group(totals))
+        inside = grouped.select("_grp", "_blk", *folded(before(Window.partitionBy("_grp").orderBy("_blk"))))
+        sums = grouped.groupBy("_grp").agg(*[_FOLD[k](F.col(f"_to_{n}")).alias(f"_to_{n}") for n, (k, _) in aggs.items()])
+        tops = sums.select("_grp", *folded(before(Window.orderBy("_grp")))).withColumnsRenamed({f"_hd_{n}": f"_gh_{n}" for n in aggs})
+        heads = inside.join(tops, "_grp").select("_blk", *[_merge(k, F.col(f"_gh_{n}"), F.col(f"_hd_{n}")).alias(f"_hd_{n}") for n, (k, _) in aggs.items()])
     out = local.join(heads, part, "left")
     for name, (kind, _) in aggs.items():
         out = out.withColumn(name, _merge(kind, F.col(f"_hd_{name}"), F.col(f"_lo_{name}")))

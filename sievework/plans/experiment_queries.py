@@ -135,7 +135,7 @@ _RND = "SELECT '{0}' AS strategy, round, sum(c) OVER (ORDER BY round) AS labels,
 def x9(spark, sf):
     p = D.predictions(spark, sf).withColumn("h", h32(F.lit("r|"), F.col("doc_id"))).withColumn("u", F.round(F.abs(F.col("score") - 0.5), 9))
     ok = F.col("pred") == F.col("truth")
-    r = X.label_rounds(p, ["h", "doc_id"], F.floor(F.col("h") / 16777216), ok, 50, "random").unionByName(X.label_rounds(p, ["u", "doc_id"], F.floor(F.col("u") * 100), ok, 50, "uncertainty"))
+    r = X.label_rounds(p, ["h", "doc_id"], F.floor(F.col("h") / 65536), ok, 50, "random").unionByName(X.label_rounds(p, ["u", "doc_id"], F.floor(F.col("u") * 50000), ok, 50, "uncertainty"))
     return X.label_efficiency(r, 300)
 
 

@@ -126,8 +126,9 @@ def dedup_events(df: DataFrame, key: Sequence[str], ts: str, delay: str, tie: Se
 
 def classify_lateness(df: DataFrame, arrival: Sequence[str], ts: str, delay_s: float) -> DataFrame:
     """on_time / out_of_order / late against the greatest event time seen before
-    in arrival order; scanned in arrival hours."""
-    d = running(df, [], list(arrival), hour_block(arrival[0]), inclusive=False, _seen=("max", F.col(ts)))
+    in arrival order; scanned in ten seconds of arrival."""
+    block = F.floor(F.unix_micros(F.col(arrival[0]).cast("timestamp")) / 10_000_000)
+    d = running(df, [], list(arrival), block, inclusive=False, _seen=("max", F.col(ts)))
     behind = seconds(F.col("_seen")) - seconds(F.col(ts))
     return d.withColumn("lateness", F.when(F.col("_seen").isNull() | (behind <= 0), "on_time").when(behind <= delay_s, "out_of_order").otherwise("late")).drop("_seen")
 

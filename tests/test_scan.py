@@ -79,3 +79,16 @@ def test_components_equal_union_find(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: find(x) for x in nodes}
+
+
+def test_many_blocks_in_two_levels(spark, monkeypatch):
+    from sievework.functions import scan
+
+    monkeypatch.setattr(scan, "GROUP", 3)
+    p, d = frame(spark)
+    p = p.sort_values("t")
+    for block in (F.floor(F.col("t") / 5), F.struct(F.floor(F.col("t") / 50), F.floor(F.col("t") / 5))):
+        out = running(d, [], ["t"], block, inclusive=False, s=("sum", F.col("v")), n=("count", F.lit(1)), m=("max", F.col("v"))).toPandas().sort_values("t")
+        assert out["s"].round(6).tolist() == p["v"].fillna(0).cumsum().shift(fill_value=0).round(6).tolist()
+        assert out["n"].tolist() == list(range(700))
+        assert out["m"].fillna(-1).tolist() == p["v"].cummax().ffill().shift().fillna(-1).tolist()
