@@ -5,7 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 from sievework.functions.columns import h32, ratio, seconds, uniform
 from sievework.functions.scan import exact_quantiles
@@ -27,13 +31,28 @@ def cut_fraction(seed: str, tree: int, node: int, what: str) -> float:
     return int(hashlib.md5(f"{seed}|{tree}|{node}|{what}".encode()).hexdigest()[:8], 16) / 4294967296
 
 
-def _leaf(x: Sequence[Column], seed: str, tree: int, node: int, depth: int, base: int) -> Column:
-    """Leaf id of one tree as nested conditions, each comparison once."""
-    if depth == 0:
-        return F.lit(base + node)
-    axis = int(cut_fraction(seed, tree, node, "axis") * len(x))
-    over = x[axis] > F.lit(cut_fraction(seed, tree, node, "cut"))
-    return F.when(over, _leaf(x, seed, tree, node * 2 + 1, depth - 1, base)).otherwise(_leaf(x, seed, tree, node * 2, depth - 1, base))
+def _leaves(seed: str, trees: int, depth: int, size: int):
+    """Arrow function: leaf ids of every tree, walked level by level through flat
+    tables of axes and cuts (node 1 is a root, 2n and 2n + 1 are its children)."""
+    nodes = 2**depth
+    axis = np.array([[int(cut_fraction(seed, t, n, "axis") * size) if n else 0 for n in range(nodes)] for t in range(trees)])
+    cuts = np.array([[cut_fraction(seed, t, n, "cut") if n else 0.0 for n in range(nodes)] for t in range(trees)])
+
+    @pandas_udf(ArrayType(IntegerType()))
+    def run(batch: pd.Series) -> pd.Series:
+        if not len(batch):
+            return pd.Series([], dtype=object)
+        x = np.stack(batch.to_numpy()).astype(float)
+        out = np.empty((len(x), trees), np.int32)
+        rows = np.arange(len(x))
+        for t in range(trees):
+            node = np.ones(len(x), np.int64)
+            for _ in range(depth):
+                node = 2 * node + (x[rows, axis[t, node]] > cuts[t, node])
+            out[:, t] = node + t * 2 * nodes
+        return pd.Series(list(out), index=batch.index)
+
+    return run
 
 
 def isolation_scores(df: DataFrame, cols: Sequence[str], trees: int, depth: int, seed: str) -> DataFrame:
@@ -44,15 +63,15 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], trees: int, depth: int,
     span = df.agg(F.struct(F.count(F.lit(1)).alias("_n"), *[F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in cols])).scalar()
     norm = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_span.{c}.a"), F.col(f"_span.{c}.b") - F.col(f"_span.{c}.a")), F.lit(0.0))
     src = df.withColumn("_span", span).select(*df.columns, F.col("_span._n").cast("double").alias("_total"), *[norm(c).alias(f"_x{i}") for i, c in enumerate(cols)])
-    x = [F.col(f"_x{i}") for i in range(len(cols))]
-    src = src.select(*df.columns, "_total", F.array(*[_leaf(x, seed, t, 1, depth, t * 2 ** (depth + 1)) for t in range(trees)]).alias("_leaf"))
+    x = F.array(*[F.col(f"_x{i}") for i in range(len(cols))])
+    src = src.select(*df.columns, "_total", _leaves(seed, trees, depth, len(cols))(x).alias("_leaf"))
     mass = src.select(F.explode("_leaf").alias("_l")).groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
     c = lambda n: F.when(n > 2, 2 * (F.ln(n - 1) + 0.5772156649) - 2 * (n - 1) / n).when(n == 2, 1.0).otherwise(0.0)
     length = mass.select("_l", (depth + c(F.col("_n").cast("double"))).alias("_d"))
     # Leaf ids are dense, so the lengths are an array looked up by place.
     places = F.sequence(F.lit(0), F.lit(trees * 2 ** (depth + 1) - 1))
     table = length.agg(F.map_from_entries(F.collect_list(F.struct("_l", "_d"))).alias("m")).select(F.transform(places, lambda i: F.element_at("m", i))).scalar()
-    path = sum((F.get("_mass", F.col("_leaf")[t]) for t in range(1, trees)), F.get("_mass", F.col("_leaf")[0])) / trees
+    path = F.aggregate("_leaf", F.lit(0.0), lambda acc, leaf: acc + F.get(F.col("_mass"), leaf)) / trees
     out = src.withColumn("_mass", table)
     return out.withColumn("score", F.round(F.pow(F.lit(2.0), -path / c(F.col("_total"))), 6)).drop("_leaf", "_mass", "_total")
 

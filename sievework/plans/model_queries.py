@@ -421,10 +421,10 @@ def _iso_sql(trees: int, depth: int) -> str:
     return f"WITH {sql}, {', '.join(masses)} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(pow(2.0::DOUBLE, -({path})/{cf('tt.n')}),6) AS score FROM {cur} {joins}, {total} tt"
 
 
-@query("M25_isolation_scores", _iso_sql(3, 4))
+@query("M25_isolation_scores", _iso_sql(8, 5))
 def m25(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
-    return A.isolation_scores(li, ["l_quantity", "l_extendedprice", "l_discount"], 3, 4, "i").drop("l_quantity", "l_extendedprice", "l_discount")
+    return A.isolation_scores(li, ["l_quantity", "l_extendedprice", "l_discount"], 8, 5, "i").drop("l_quantity", "l_extendedprice", "l_discount")
 
 
 @query(
