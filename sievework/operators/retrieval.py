@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 from sievework.functions.columns import h32, let, ratio, words
+from sievework.functions.ivf import build_ivf, ivf_topk
 from sievework.functions.postings import Postings, build_postings, bm25_search
 from sievework.functions.topk import cosine_scorer, tiled_topk
 from sievework.operators.evaluation import bootstrap_ci
@@ -64,6 +66,16 @@ def dense_topk(
     return found if citation is None else found.join(index.select("item_id", F.col(citation).alias("citation")), "item_id")
 
 
+def ann_topk(queries: DataFrame, index: DataFrame, k: int, dim: int, planes: int, seed: int, tile_rows: int = 50_000) -> DataFrame:
+    """Nearest rows by cosine from an inverted file whose lists number twice the
+    buckets of ``planes`` planes; exact, since list radii and code errors bound
+    what is not read. ``dim`` must be the vectors' length."""
+    if index.where(F.size("vector") != dim).limit(1).count():
+        raise ValueError(f"vectors must have {dim} numbers")
+    stored = build_ivf(index, scratch_path(index.sparkSession, "ivf"), lists=2 << planes, seed=seed)
+    return ivf_topk(queries, stored, k, tile_rows=tile_rows)
+
+
 def recall_against(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of each query's exact results that a search found."""
     hit = exact.join(found.select("query_id", "item_id").withColumn("_h", F.lit(True)), ["query_id", "item_id"], "left")
@@ -75,11 +87,12 @@ def bm25_index(items: DataFrame) -> Postings:
     return build_postings(items, tokens(F.col("text")), scratch_path(items.sparkSession, "postings"))
 
 
-def bm25_topk(queries: DataFrame, items: DataFrame | Postings, k: int) -> DataFrame:
+def bm25_topk(queries: DataFrame, items: DataFrame | Postings, k: int, query_bound: int = 2048) -> DataFrame:
     """BM25 top-k. queries(query_id, text), items(item_id, text) or their stored
-    posting index, which later searches need not build again."""
+    posting index, which later searches need not build again. Queries meet the
+    index in tiles of ``query_bound``."""
     index = items if isinstance(items, Postings) else bm25_index(items)
-    return bm25_search(queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms")), index, k)
+    return bm25_search(queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms")), index, k, query_bound)
 
 
 def fuse_rrf(lists: Sequence[DataFrame], k0: int, k: int) -> DataFrame:
@@ -169,6 +182,12 @@ def _signs(c: Column, dim: int) -> Column:
     return F.to_binary(F.array_join(F.transform(c, lambda t: F.substring(F.md5(t), 1, 2 * dim)), ""), F.lit("hex"))
 
 
+def _token_vector(t: str, dim: int) -> np.ndarray:
+    """One word's vector of length 1, as the index holds it by bytes."""
+    v = np.frombuffer(hashlib.md5(t.encode()).digest()[:dim], dtype=np.uint8).astype("float64") - 127.5
+    return v / np.sqrt((v * v).sum())
+
+
 def token_index(items: DataFrame, path: str, dim: int = 16) -> DataFrame:
     """Writes (item_id, item_vectors, vectors): every distinct word of an item as a
     vector of ``dim`` bytes, made once. Returns the stored table."""
