@@ -303,16 +303,20 @@ def verifier_report(verified: DataFrame, by: str, reward: str, length: Column, l
 
 def near_reference(records: DataFrame, key: str, text: str, reference: DataFrame, ref_text: str, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """Keys of records whose shingles have a Jaccard similarity of ``threshold`` or
-    more with some reference text; candidates share a rare shingle."""
-    mine = records.select(F.concat(F.lit("r|"), F.col(key).cast("string")).alias("id"), F.col(key), shingle_hashes(F.col(text), n).alias("payload"))
-    refs = reference.select(shingle_hashes(F.col(ref_text), n).alias("payload")).distinct().withColumn("id", F.concat(F.lit("q|"), F.md5(F.array_join("payload", ","))))
-    items = cut(mine.select("id", "payload").unionByName(refs.select("id", "payload")).where(F.size("payload") > 0))
-    blocks = cut(rare_blocks(items, threshold))
-    side = lambda tag, name: blocks.where(F.col("id").startswith(tag)).select("block", F.col("id").alias(name))
-    pairs = side("r|", "a").join(side("q|", "b"), "block").select("a", "b").distinct()
+    more with some reference text. Records with one shingle set are compared once;
+    candidates share a rare shingle and have sizes that can reach the threshold."""
+    digest = F.md5(F.array_join("payload", ","))
+    mine = cut(records.select(F.col(key), shingle_hashes(F.col(text), n).alias("payload")).withColumn("digest", digest))
+    sets = lambda d, tag: d.select(F.concat(F.lit(tag), "digest").alias("id"), "payload").where(F.size("payload") > 0).dropDuplicates(["id"])
+    refs = reference.select(shingle_hashes(F.col(ref_text), n).alias("payload")).withColumn("digest", digest)
+    items = cut(sets(mine, "r|").unionByName(sets(refs, "q|")))
+    blocks = cut(rare_blocks(items, threshold).join(items.select("id", F.size("payload").alias("size")), "id"))
+    side = lambda tag, name: blocks.where(F.col("id").startswith(tag)).select("block", F.col("id").alias(name), F.col("size").alias(f"_n{name}"))
+    fits = F.least("_na", "_nb") >= F.lit(threshold - 1e-9) * F.greatest("_na", "_nb")
+    pairs = side("r|", "a").join(side("q|", "b"), "block").where(fits).select("a", "b").distinct()
     both = pairs.join(items.select(F.col("id").alias("a"), F.col("payload").alias("_a")), "a").join(items.select(F.col("id").alias("b"), F.col("payload").alias("_b")), "b")
-    hits = both.where(jaccard(F.col("_a"), F.col("_b")) >= threshold).select(F.col("a").alias("id")).distinct()
-    return mine.join(hits, "id", "left_semi").select(key)
+    hits = both.where(jaccard(F.col("_a"), F.col("_b")) >= threshold).select(F.substring("a", 3, 32).alias("digest")).distinct()
+    return mine.join(hits, "digest", "left_semi").select(key)
 
 
 def filter_generated(records: DataFrame, key: str, raw: str, text: str, reference: DataFrame, ref_text: str, violations: DataFrame) -> DataFrame:
