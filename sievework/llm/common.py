@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,21 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system. Spark keeps Python workers from stage
+    to stage, and what each stage has freed but kept would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Small slices of Arrow batches, so that Python copies stay small."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    release_memory()
 
 
 def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -41,6 +54,7 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> It
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
             yield b.slice(at, upto - at)
             at = upto
+    release_memory()
 
 
 def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -121,55 +121,48 @@ def decontaminate(
     spark: SparkSession = docs.sparkSession
     made = {"n_words": "bigint", "n_hit": "bigint", "hit_items": "array<string>", "spans": "array<string>", "_inside": "array<bigint>"}
     out = docs.drop(*made).select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in made.items()])
-    for k, block in enumerate(item_blocks(items, item_col, text_col, block_bytes)):
+    blocks = item_blocks(items, item_col, text_col, block_bytes)
+    block, first = next(blocks), True
+    while block is not None:
+        after = next(blocks, None)
         blob = pickle.dumps(block)
         held = spark.sparkContext.broadcast((hashlib.sha256(blob).hexdigest() + str(n), blob, n))
-        out = _mark(out, text_col, held, k == 0)
-    return _finish(out, text_col)
+        out = _mark(out, text_col, held, first, after is None)
+        block, first = after, False
+    return out.drop("_inside")
 
 
-def _mark(df: DataFrame, text_col: str, held, first: bool) -> DataFrame:
-    """Joins one block's hits to the columns made so far."""
+def _mark(df: DataFrame, text_col: str, held, first: bool, last: bool) -> DataFrame:
+    """Joins one block's hits to the columns made so far; the last block's pass also
+    turns word ranges into counts and offsets of the original text."""
     at = {c: k for k, c in enumerate(df.columns)}
-    made = ("n_words", "_inside", "hit_items")
+    kept = ("n_words", "_inside", "hit_items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = _ready(held)
         for b in slices(batches, 256):
-            old = [(None, None, None)] * b.num_rows if first else list(zip(*[b.column(at[c]).to_pylist() for c in made]))
-            rows = []
+            old = [(None, None, None)] * b.num_rows if first else list(zip(*[b.column(at[c]).to_pylist() for c in kept]))
+            made: dict[str, list] = {c: [] for c in (*kept, "n_hit", "spans")}
             for text, (_, ranges, items) in zip(b.column(at[text_col]), old):
-                w = words(text.as_py())
+                text = text.as_py()
+                w = words(text)
                 hits, ids = scan(auto, w)
                 if ids:
                     ranges = np.unique(np.concatenate([hits, np.array(ranges or [], np.int64).reshape(-1, 2)]), axis=0).ravel().tolist()
                     items = sorted({*map(str, ids), *(items or [])})
-                rows.append((len(w), ranges or [], items or []))
-            for c, values in zip(made, zip(*rows)):
+                inside = covered(np.array(ranges, np.int64).reshape(-1, 2), len(w)) if last and ranges else np.zeros(0, bool)
+                made["n_words"].append(len(w))
+                made["_inside"].append([] if last else ranges or [])
+                made["hit_items"].append(items or [])
+                made["n_hit"].append(int(inside.sum()) if last else None)
+                made["spans"].append([f"{i}:{j}" for i, j in original_spans(text, inside)] if inside.size else [])
+            for c, values in made.items():
                 b = b.set_column(at[c], b.schema.field(at[c]), pa.array(values, b.schema.field(at[c]).type))
             yield b
 
     return df.mapInArrow(run, df.schema)
 
 
-def _finish(df: DataFrame, text_col: str) -> DataFrame:
-    """Word ranges to counts and to offsets of the original text."""
-    at = {c: k for k, c in enumerate(df.columns)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            hit, spans = [], []
-            for text, n, ranges in zip(*[b.column(at[c]) for c in (text_col, "n_words", "_inside")]):
-                ranges = np.array(ranges.as_py(), np.int64).reshape(-1, 2)
-                inside = covered(ranges, n.as_py()) if len(ranges) else np.zeros(0, bool)
-                hit.append(int(inside.sum()))
-                spans.append([f"{i}:{j}" for i, j in original_spans(text.as_py(), inside)] if len(ranges) else [])
-            b = b.set_column(at["n_hit"], b.schema.field(at["n_hit"]), pa.array(hit, pa.int64()))
-            yield b.set_column(at["spans"], b.schema.field(at["spans"]), pa.array(spans, b.schema.field(at["spans"]).type))
-
-    return df.mapInArrow(run, df.schema).drop("_inside")
-
-
 def decontamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The digest columns of the registered query."""
     out = decontaminate(docs.select("doc_id", "text"), items)
