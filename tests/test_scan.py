@@ -92,3 +92,17 @@ def test_many_blocks_in_two_levels(spark, monkeypatch):
         assert out["s"].round(6).tolist() == p["v"].fillna(0).cumsum().shift(fill_value=0).round(6).tolist()
         assert out["n"].tolist() == list(range(700))
         assert out["m"].fillna(-1).tolist() == p["v"].cummax().ffill().shift().fillna(-1).tolist()
+
+
+def test_quantiles_of_few_keys_sort_no_rows(spark):
+    """Brackets go to the rows: neither joined nor summed rows are dealt by key."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(3000).selectExpr("id % 3 AS g", "double(id) AS v")
+        got = exact_quantiles(rows, ["g"], "v", {"m": 0.5})
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+        assert {r.g: r.m for r in got.collect()} == {0: 1498.5, 1: 1499.5, 2: 1500.5}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
