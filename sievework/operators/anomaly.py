@@ -13,14 +13,15 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from sievework.functions.columns import h32, ratio, seconds, uniform
 from sievework.functions.scan import exact_quantiles
+from sievework.session import cut, small
 
 
 def robust_outliers(df: DataFrame, col: str, group: str, limit: float = 3.5) -> DataFrame:
     """0.6745 * (x - median) / MAD per group. Where MAD is 0 a value off the
     median has no finite score and is an outlier."""
-    med = exact_quantiles(df, [group], col, {"_med": 0.5})
+    med = small(cut(exact_quantiles(df, [group], col, {"_med": 0.5})))
     d = df.join(med, group).withColumn("_dev", F.abs(F.col(col) - F.col("_med")))
-    mad = exact_quantiles(d, [group], "_dev", {"_mad": 0.5})
+    mad = small(cut(exact_quantiles(d, [group], "_dev", {"_mad": 0.5})))
     d = d.join(mad, group)
     score = F.when(F.col("_mad") > 0, 0.6745 * (F.col(col) - F.col("_med")) / F.col("_mad")).when(F.col("_dev") == 0, 0.0)
     return d.withColumn("score", F.round(score, 6)).withColumn("outlier", F.coalesce(F.abs("score") > limit, F.lit(True))).drop("_dev", "_med", "_mad")
