@@ -192,7 +192,7 @@ def train_on_synthetic(real: DataFrame, syn: DataFrame, features: Sequence[str],
     rows = shaped(real, "real", held_out).unionByName(shaped(syn, "synthetic", F.lit(False)))
     w = least_squares(rows.where("not held"), ["set"], "x", "y", len(features) + 1, ridge).select(F.col("set").alias("train"), "w")
     # Two small rows of weights meet every test row.
-    tests = rows.where("held or set = 'synthetic'").withColumn("train", F.explode(F.array(F.lit("real"), F.lit("synthetic")))).join(w, "train")
+    tests = rows.where("held or set = 'synthetic'").withColumn("train", F.explode(F.array(F.lit("real"), F.lit("synthetic")))).join(F.broadcast(w), "train")
     hit = ((predicted("x", "w") >= 0.5).cast("double") == F.col("y")).cast("double")
     out = tests.groupBy("train", F.col("set").alias("test")).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"))
     own = out.where("train = test").select("test", F.col("accuracy").alias("_own"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sievework.operators import anomaly as A
+from sievework.operators import anomaly as A, experiments as X
 
 
 @pytest.fixture
@@ -22,3 +22,10 @@ def test_outliers_deal_no_rows_by_group(spark, no_size_check):
     rows = spark.range(300).selectExpr("id % 3 AS g", "double(id) AS v")
     out = A.robust_outliers(rows, "v", "g")
     assert "SortMergeJoin" not in plan(out) and out.count() == 300
+
+
+def test_weights_go_to_the_test_rows(spark, no_size_check):
+    rows = spark.range(200).selectExpr("double(id) AS q", "id > 100 AS t", "id % 2 = 0 AS held")
+    out = X.train_on_synthetic(rows, rows.drop("held"), ["q"], rows["t"], rows["held"])
+    assert "BroadcastHashJoin" in plan(out)
+    assert {(r.train, r.test): r.n for r in out.collect()} == {("real", "real"): 100, ("real", "synthetic"): 200, ("synthetic", "real"): 100, ("synthetic", "synthetic"): 200}
