@@ -13,6 +13,7 @@ from sievework.functions.columns import h32, ratio, uniform
 from sievework.functions.linear import least_squares, predicted
 from sievework.functions.scan import number_rows
 from sievework.operators.monitoring import drift
+from sievework.session import cut
 
 
 def assign(units: DataFrame, unit: str, salt: str, version: str, allocation: dict[str, int], excluded: Column | None = None) -> DataFrame:
@@ -170,13 +171,16 @@ def synthetic_utility(real: DataFrame, syn: DataFrame, numeric: Sequence[str], g
     side = lambda c, s: F.when(F.col("side") == s, F.col(c))
     gaps = [item("correlation_gap", F.lit(f"{a}~{b}"), F.abs(F.corr(side(a, 0), side(b, 0)) - F.corr(side(a, 1), side(b, 1)))) for a, b in pairs]
     out = out.unionByName(both.agg(F.array(*gaps).alias("g")).select(F.inline("g")))
-    total = real.agg(F.count(F.lit(1))).scalar()
-    rv = real.groupBy(rare).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < rare_share * total)
-    hit = rv.join(syn.select(rare).distinct().withColumn("_s", F.lit(True)), rare, "left")
+    # Counts by group and rare value serve the coverage and the rates, so each table is read once for both.
+    counted = lambda df: cut(df.groupBy(F.col(group).alias("g"), F.col(rare).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.count(target).alias("m"), F.sum(target.cast("double")).alias("t")))
+    cr, cs = counted(real), counted(syn)
+    total = cr.agg(F.sum("n")).scalar()
+    rv = cr.groupBy("r").agg(F.sum("n").alias("n")).where(F.col("n") < rare_share * total)
+    hit = rv.join(cs.select("r").distinct().withColumn("_s", F.lit(True)), "r", "left")
     out = out.unionByName(hit.agg(item("rare_coverage", F.lit(rare), ratio(F.count_if("_s"), F.count(F.lit(1)))).alias("r")).select("r.*"))
-    rate = lambda df, n: df.groupBy(group).agg(F.avg(target.cast("double")).alias(n))
-    sub = rate(real, "a").join(rate(syn, "b"), group, "full_outer")
-    out = out.unionByName(sub.select(F.lit("subgroup_gap").alias("measure"), F.col(group).cast("string").alias("subject"), F.round(F.abs(F.col("a") - F.col("b")), 6).alias("value")))
+    rate = lambda df, n: df.groupBy("g").agg(F.try_divide(F.sum("t"), F.sum("m")).alias(n))
+    sub = rate(cr, "a").join(rate(cs, "b"), "g", "full_outer")
+    out = out.unionByName(sub.select(F.lit("subgroup_gap").alias("measure"), F.col("g").cast("string").alias("subject"), F.round(F.abs(F.col("a") - F.col("b")), 6).alias("value")))
     same = float({(f.name, f.dataType.simpleString()) for f in real.schema} == {(f.name, f.dataType.simpleString()) for f in syn.schema})
     return out.unionByName(real.sparkSession.createDataFrame([("schema_match", "all", same)], "measure string, subject string, value double"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sievework.functions.columns import h32, ratio, seconds
 from sievework.functions.scan import exact_quantiles, last_known, running
 from sievework.operators.evaluation import bootstrap_ci, metric_gate
+from sievework.session import cut
 
 PCTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
@@ -103,7 +104,8 @@ def drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10, p
     distinct values in blocks."""
     pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]))
     both = ref.select(F.lit(0).alias("side"), pairs).unionByName(cur.select(F.lit(1).alias("side"), pairs)).where("v is not null")
-    vals = both.groupBy("column", "v").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    # Read three times below, so both tables are counted once.
+    vals = cut(both.groupBy("column", "v").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b")))
     stat = vals.groupBy("column").agg(
         F.min(F.when(F.col("a") > 0, F.col("v"))).alias("lo"), F.max(F.when(F.col("a") > 0, F.col("v"))).alias("hi"), F.sum("a").alias("na"), F.sum("b").alias("nb"),
         F.min("v").alias("_vlo"), F.max("v").alias("_vhi"),

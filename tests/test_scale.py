@@ -2,6 +2,7 @@
 
 import pytest
 
+import __spark_entry__ as entry
 from sievework.operators import anomaly as A, experiments as X
 
 
@@ -29,3 +30,8 @@ def test_weights_go_to_the_test_rows(spark, no_size_check):
     out = X.train_on_synthetic(rows, rows.drop("held"), ["q"], rows["t"], rows["held"])
     assert "BroadcastHashJoin" in plan(out)
     assert {(r.train, r.test): r.n for r in out.collect()} == {("real", "real"): 100, ("real", "synthetic"): 200, ("synthetic", "real"): 100, ("synthetic", "synthetic"): 200}
+
+
+def test_utility_reads_each_table_few_times(spark, sf):
+    got = entry.queries()["X10_synthetic_utility"](spark, sf)
+    assert plan(got).count("FileScan") <= 4
