@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from sievework.operators import anomaly as A, experiments as X
+from sievework.session import dealt
 
 
 @pytest.fixture
@@ -35,3 +36,9 @@ def test_weights_go_to_the_test_rows(spark, no_size_check):
 def test_utility_reads_each_table_few_times(spark, sf):
     got = entry.queries()["X10_synthetic_utility"](spark, sf)
     assert plan(got).count("FileScan") <= 4
+
+
+def test_graph_diff_tasks_grow_in_number(spark, sf):
+    rows = dealt(spark.range(1000).selectExpr("id % 7 AS a", "id AS b"), ["a", "b"], rows=50)
+    assert rows.rdd.getNumPartitions() == 20
+    assert "REPARTITION_BY_NUM" in plan(entry.queries()["R27_graph_diff"](spark, sf))
