@@ -11,7 +11,7 @@ from sievework.functions.graphs import components
 from sievework.functions.links import complete_links, edit_keys
 from sievework.functions.scan import number_rows, running
 from sievework.operators.versions import diff_rows
-from sievework.session import cut
+from sievework.session import cut, small
 from sievework.streaming.state_table import StateTable
 
 
@@ -207,12 +207,13 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int, denied: DataFrame) -> Data
     """(seed, node, depth, path): least depth and its least path. Denied edges
     go before any expansion, so nothing is reached through them.
 
-    edges(src, dst, grp), seeds(seed), denied(grp)."""
-    e = cut(edges.join(denied, "grp", "left_anti").select("src", "dst").distinct())
+    edges(src, dst, grp), seeds(seed), denied(grp). Few denied groups, and a small
+    front, go to the edges, so that no group or hub of edges is one task."""
+    e = cut(edges.join(small(cut(denied)), "grp", "left_anti").select("src", "dst").distinct())
     seen = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.col("seed").cast("string").alias("path")).distinct())
     front = seen
     for hop in range(1, k + 1):
-        step = front.join(e, front["node"] == e["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.lit(">"), "dst")).alias("path"))
+        step = e.join(small(front), F.col("node") == e["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.lit(">"), "dst")).alias("path"))
         front = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(hop).alias("depth"), "path"))
         if front.isEmpty():
             break

@@ -3,8 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
-from sievework.operators import anomaly as A, experiments as X
-from sievework.session import dealt
+from sievework.operators import anomaly as A, experiments as X, knowledge as G
+from sievework.session import cut, dealt
 
 
 @pytest.fixture
@@ -42,3 +42,14 @@ def test_graph_diff_tasks_grow_in_number(spark, sf):
     rows = dealt(spark.range(1000).selectExpr("id % 7 AS a", "id AS b"), ["a", "b"], rows=50)
     assert rows.rdd.getNumPartitions() == 20
     assert "REPARTITION_BY_NUM" in plan(entry.queries()["R27_graph_diff"](spark, sf))
+
+
+def test_hops_deal_no_edges_by_group_or_hub(spark, no_size_check, monkeypatch):
+    plans = []
+    monkeypatch.setattr(G, "cut", lambda d: plans.append(plan(d)) or cut(d))
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("a", "x", 0), ("c", "d", 1)], "src string, dst string, grp int")
+    got = G.k_hop(edges, spark.createDataFrame([("a",)], "seed string"), 2, edges.where("grp = 0").select("grp").distinct())
+    assert {(r.node, r.depth, r.path) for r in got.collect()} == {("b", 1, "a>b"), ("c", 2, "a>b>c")}
+    anti = [p for p in plans if "LeftAnti" in p and "grp" in p]
+    assert anti and all("SortMergeJoin [grp" not in p for p in anti)
+    assert not any("SortMergeJoin [node" in p and "Inner" in p for p in plans)
