@@ -1,7 +1,8 @@
 """Stored posting lists with bounds, and exact BM25 search with list pruning.
 
 Documents are dealt to segments of a bounded size. A task turns a segment's token
-lists into postings at once, without a row for every token: one row per (segment,
+lists into postings part by part, without a row for every token, so that it holds a
+bounded number of words, however long the texts are: one row per (part of a segment,
 term) with the documents, the word's count and the document's length, and the
 greatest count and least length of the row, which bound all of its scores. A
 query's lists of a segment are ordered by that bound; lists
@@ -24,6 +25,8 @@ from sievework.functions.topk import best_rows
 K1, B = 1.2, 0.75
 POSTINGS = "segment int, term string, items array<bigint>, counts array<int>, sizes array<int>, most int, least int"
 SEGMENT_ROWS = 32_768
+# Words that a task holds at a time while it turns a segment into postings.
+PART_WORDS = 1_000_000
 SLACK = 2e-6
 _ARROW = pa.schema(
     [("segment", pa.int32()), ("term", pa.string()), ("items", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("most", pa.int32()), ("least", pa.int32())]
@@ -73,26 +76,32 @@ def build_postings(items: DataFrame, tokens: Column, path: str, segment_rows: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        words, now = 0, -1
 
         def emit() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             order = np.argsort(t.column("item_id").to_numpy(), kind="stable")
             t = t.take(pa.array(order)).combine_chunks()
-            return _invert(t.column("segment")[0].as_py(), t.column("item_id").to_numpy(), t.column("w").combine_chunks())
+            return _invert(now, t.column("item_id").to_numpy(), t.column("w").combine_chunks())
 
         for b in batches:
-            at, seg = 0, b.column("segment").to_numpy()
-            cuts = [*(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(seg)]
-            for end in cuts:
-                if end == at:
-                    continue
-                if held and held[0].column("segment")[0].as_py() != seg[at]:
+            seg, ends = b.column("segment").to_numpy(), b.column("w").offsets.to_numpy()
+            at = 0
+            while at < len(seg):
+                if held and (seg[at] != now or words >= PART_WORDS):
                     yield emit()
-                    held = []
+                    held, words = [], 0
+                    pa.default_memory_pool().release_unused()
+                now = int(seg[at])
+                # Rows of one segment, up to the one that fills the part.
+                end = min(int(np.searchsorted(seg, now, "right")), int(np.searchsorted(ends, ends[at] + PART_WORDS - words)))
+                end = max(end, at + 1)
                 held.append(b.slice(at, end - at))
+                words += int(ends[end] - ends[at])
                 at = end
         if held:
             yield emit()
+        pa.default_memory_pool().release_unused()
 
     sorted_ = dealt.select("segment", "item_id", "w").repartition(F.col("segment")).sortWithinPartitions("segment")
     sorted_.mapInArrow(run, POSTINGS).write.parquet(f"{path}/postings")
@@ -135,6 +144,13 @@ def _scores(lists: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> tuple[
     return ids, score
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray, float]:
+    """One list of a term from those of a segment's parts."""
+    items = np.concatenate([p[0] for p in parts])
+    order = np.argsort(items, kind="stable")
+    return items[order], np.concatenate([p[1] for p in parts])[order], max(p[2] for p in parts)
+
+
 def bm25_search(queries: DataFrame, index: Postings, k: int, tile_queries: int = 2048) -> DataFrame:
     """(query_id, item_id, score, rank): exact BM25 top-k of queries(query_id,
     terms: distinct words), by (rounded score desc, id asc); no score, no row.
@@ -157,7 +173,10 @@ def bm25_search(queries: DataFrame, index: Postings, k: int, tile_queries: int =
 
     def meet(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         tops = weight(rows["most"].to_numpy(float), rows["least"].to_numpy(float), average)
-        held = {t: (i, weight(np.asarray(c, float), z, average), m) for t, i, c, z, m in zip(rows["term"], rows["items"], rows["counts"], rows["sizes"], tops)}
+        parts: dict[str, list] = {}
+        for t, i, c, z, m in zip(rows["term"], rows["items"], rows["counts"], rows["sizes"], tops):
+            parts.setdefault(t, []).append((i, weight(np.asarray(c, float), z, average), m))
+        held = {t: p[0] if len(p) == 1 else _joined(p) for t, p in parts.items()}
         out = []
         for query, terms, idfs in zip(q["query_id"], q["terms"], q["idfs"]):
             lists = [(held[t][0], held[t][1] * f, held[t][2] * f) for t, f in zip(terms, idfs) if t in held]

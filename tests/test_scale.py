@@ -53,3 +53,20 @@ def test_hops_deal_no_edges_by_group_or_hub(spark, no_size_check, monkeypatch):
     anti = [p for p in plans if "LeftAnti" in p and "grp" in p]
     assert anti and all("SortMergeJoin [grp" not in p for p in anti)
     assert not any("SortMergeJoin [node" in p and "Inner" in p for p in plans)
+
+
+def test_postings_hold_few_words_at_a_time(spark, monkeypatch):
+    """Parts of a segment give the scores of the whole."""
+    from sievework.functions import postings as P
+    from sievework.operators import retrieval as R
+    from sievework.session import scratch_path
+
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 11}" for j in range(1 + i % 9))) for i in range(60)]
+    items, asked = spark.createDataFrame(rows, "item_id bigint, text string"), spark.createDataFrame([(1, "w1 w2"), (2, "w5 w9 w0")], "query_id bigint, text string")
+    found = lambda: {(r.query_id, r.item_id, r["rank"]): r.score for r in R.bm25_topk(asked, items, 5).collect()}
+    whole = found()
+    monkeypatch.setattr(P, "PART_WORDS", 12)
+    stored = P.build_postings(items, R.tokens(items["text"]), scratch_path(spark, "parts"), segment_rows=60)
+    assert stored.rows.where("aggregate(counts, 0, (a, c) -> a + c) > 12 + 9").count() == 0
+    several = stored.rows.groupBy("segment", "term").count().where("count > 1").count()
+    assert found() == whole and len(whole) == 10 and several > 0
