@@ -1,9 +1,12 @@
 """Few keys with very many rows do not make few tasks; tables are read once."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from sievework.operators import anomaly as A, experiments as X, knowledge as G
+from sievework.operators import anomaly as A, experiments as X, knowledge as G, recommend as R
 from sievework.session import cut, dealt
 
 
@@ -58,15 +61,24 @@ def test_hops_deal_no_edges_by_group_or_hub(spark, no_size_check, monkeypatch):
 def test_postings_hold_few_words_at_a_time(spark, monkeypatch):
     """Parts of a segment give the scores of the whole."""
     from sievework.functions import postings as P
-    from sievework.operators import retrieval as R
+    from sievework.operators import retrieval
     from sievework.session import scratch_path
 
     rows = [(i, " ".join(f"w{(i * 7 + j * j) % 11}" for j in range(1 + i % 9))) for i in range(60)]
     items, asked = spark.createDataFrame(rows, "item_id bigint, text string"), spark.createDataFrame([(1, "w1 w2"), (2, "w5 w9 w0")], "query_id bigint, text string")
-    found = lambda: {(r.query_id, r.item_id, r["rank"]): r.score for r in R.bm25_topk(asked, items, 5).collect()}
+    found = lambda: {(r.query_id, r.item_id, r["rank"]): r.score for r in retrieval.bm25_topk(asked, items, 5).collect()}
     whole = found()
     monkeypatch.setattr(P, "PART_WORDS", 12)
-    stored = P.build_postings(items, R.tokens(items["text"]), scratch_path(spark, "parts"), segment_rows=60)
+    stored = P.build_postings(items, retrieval.tokens(items["text"]), scratch_path(spark, "parts"), segment_rows=60)
     assert stored.rows.where("aggregate(counts, 0, (a, c) -> a + c) > 12 + 9").count() == 0
     several = stored.rows.groupBy("segment", "term").count().where("count > 1").count()
     assert found() == whole and len(whole) == 10 and several > 0
+
+
+def test_pair_counts_leave_in_small_frames():
+    pairs = np.random.default_rng(4).integers(0, 9, (500, 2))
+    held = [pairs[:200], pairs[200:]]
+    frames = list(R._pair_frames(held, rows=20))
+    assert held == [] and max(len(f) for f in frames) == 20
+    got = {(int(a), int(b)): int(n) for f in frames for a, b, n in f.itertuples(index=False)}
+    assert got == Counter((int(a), int(b)) for a, b in pairs)
