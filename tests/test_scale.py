@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sievework.operators import anomaly as A, experiments as X, knowledge as G, recommend as R
@@ -82,3 +83,20 @@ def test_pair_counts_leave_in_small_frames():
     assert held == [] and max(len(f) for f in frames) == 20
     got = {(int(a), int(b)): int(n) for f in frames for a, b, n in f.itertuples(index=False)}
     assert got == Counter((int(a), int(b)) for a, b in pairs)
+
+
+def test_elements_and_payloads_are_not_sent_whole(spark, monkeypatch):
+    """However small Spark guesses a table of lists to be."""
+    from sievework.functions import links as L
+
+    plans = []
+    monkeypatch.setattr(L, "cut", lambda d: plans.append(plan(d)) or cut(d))
+    sets = {1: range(20), 2: range(1, 20), 3: range(50, 70), 4: range(51, 71), 5: range(90, 95)}
+    items = cut(spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "id bigint, payload array<bigint>"))
+    blocks = L.rare_blocks(items, 0.8)
+    assert "Broadcast" not in plan(blocks)
+    same = lambda a, b: F.size(F.array_intersect(a, b)) >= 0.8 * F.size(F.array_union(a, b))
+    got = L.complete_links(blocks, items, same).collect()
+    assert {(r.leader, r.member) for r in got} == {(1, 2), (3, 4)}
+    rated = [p for p in plans if "array_intersect" in p]
+    assert len(rated) == 2 and all(p.count("SortMergeJoin") == 2 for p in rated)
