@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sievework.functions import ivf
+from sievework.functions import ivf, topk
 from sievework.operators import privacy, recommend as R
 from sievework.session import scratch_path
 
@@ -133,3 +133,26 @@ def test_factor_search_equals_brute_force(spark):
         total += len(best)
     # Equal but for items whose scores are the same to six digits.
     assert hits >= 0.98 * total
+
+
+def test_unseen_search_is_exact_and_deals_no_scores(spark, monkeypatch):
+    """Barred pairs never leave a tile, ties go to the smaller id and k rows of a
+    query leave each tile, whatever it has seen."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((700, 9))
+    x[200:400] = x[100]
+    x[5] = 0
+    q = np.concatenate([rng.standard_normal((40, 9)), x[100:101], np.zeros((1, 9))])
+    barred = {(int(a), int(b)) for a, b in zip(rng.integers(0, 42, 3000), rng.integers(0, 700, 3000))} | {(3, i) for i in range(697)}
+    s = np.round(ivf.unit(q) @ ivf.unit(x).T, 6)
+    s[tuple(np.array(sorted(barred)).T)] = -9
+    want = {(i, int(j), r + 1) for i, row in enumerate(s) for r, j in enumerate(np.lexsort((np.arange(700), -row))[:5]) if row[j] > -9}
+    out = spark.createDataFrame([*barred, (None, 1), (1, None), (99, 1), (1, 9999)], "query_id bigint, item_id bigint")
+    for first, tiles in ((1024, {}), (16, {"tile_queries": 15, "tile_items": 300})):
+        monkeypatch.setattr(topk, "ROWS", 8 if first == 16 else 256)
+        monkeypatch.setattr(topk, "FIRST", first)
+        monkeypatch.setattr(topk, "CHUNK", first)
+        found = topk.tiled_unbarred(frame(spark, q, "query_id"), frame(spark, x), out, 5, **tiles)
+        assert {(r.query_id, r.item_id, r["rank"]) for r in found.collect()} == want
+    row, _, _ = topk.best_unbarred(ivf.unit(q), ivf.unit(x), tuple(np.array(sorted(barred)).T), 5)
+    assert np.bincount(row).max() == 5
