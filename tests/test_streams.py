@@ -1,6 +1,7 @@
 """Streams give what their batch forms give, also after a restart and a replay."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sievework.plans import derive as D
@@ -146,3 +147,44 @@ def test_logit_policies_equal_a_plain_replay(spark):
     losses = {(r.key, r.policy): r.log_loss for r in E.policy_losses(got, d.select("event_id", "y")).collect()}
     # After the change of law, a model that never learns again is the worst.
     assert all(losses[k, "static"] > losses[k, "drift"] for k in (0, 1))
+
+
+class Kept:
+    """List state of one key, in memory."""
+
+    def __init__(self):
+        self.rows = []
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+
+class Timers(list):
+    listTimers = lambda self: self
+    registerTimer = list.append
+    getCurrentWatermarkInMs = lambda self: 0
+
+
+def test_waiting_rows_are_packed(monkeypatch):
+    """Each state element is a call of its own, so many rows share one."""
+    detector = E._PageHinkley(0.5, 100.0, "m", 1000)
+    detector.waiting, detector.handle = Kept(), Timers()
+    us = np.arange(5000)[::-1] * 1000 + 7
+    batch = pd.DataFrame({"us": us, "event_id": us + 2**53, "value": us / 3})
+    list(detector.handleInputRows((1,), iter([batch]), Timers()))
+    assert len(detector.waiting.rows) == 1 and detector.handle == [1000]
+    at, ids, rest = detector.due(2000)
+    assert sorted(at.tolist()) == [i * 1000 + 7 for i in range(2000)] and (ids == at + 2**53).all() and (rest[:, 0] == at / 3).all()
+    assert detector.handle == [1000, 3000] and len(E._unpack(detector.waiting.get(), 1)[0]) == 3000
+    monkeypatch.setattr(E, "_PACK_ROWS", 700)
+    assert [len(r[0]) for r in E._pack(us[:1500], us[:1500], np.zeros((1500, 2)))] == [700 * 32, 700 * 32, 100 * 32]
+    assert E._LogitStream.order(np.array([3, 1, 1, 1]), np.array([0, 5, 5, 4]), np.array([[0.0, 1.0], [1.0, 9.0], [1.0, 10.0], [1.0, 0.0]])).tolist() == [3, 2, 1, 0]
