@@ -2,30 +2,61 @@
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sievework.functions.columns import ratio, words
 from sievework.operators.text import squeeze
 from sievework.session import cut
 
-_SEP = "\u0001"
+# Marks before and after each symbol, so that a merge never touches the next one.
+_A, _Z = "\u0001", "\u0002"
+_BETWEEN = _Z + _A
+_HELD = 1 << 20
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(words(squeeze(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pairs(words_: DataFrame, s: str, sign: int) -> DataFrame:
-    """(a, b, c): adjacent symbols of spelled words with their words' counts."""
-    p = F.filter(F.split(s, _SEP), lambda x: x != "")
-    z = words_.select(p.alias("_p"), (F.lit(sign) * F.col("n")).alias("c")).where(F.size("_p") > 1)
-    z = z.select(F.explode(F.arrays_zip(F.slice("_p", 1, F.size("_p") - 1).alias("a"), F.slice("_p", 2, F.size("_p")).alias("b"))).alias("z"), "c")
-    return z.select("z.a", "z.b", "c")
+def _spelled(words_: Sequence[str], merges: Sequence[tuple[str, str]]) -> list[str]:
+    """Words with every symbol between two marks, after the merges in their order.
+    All words are one text, as they hold no line ends, so a merge is one replacement."""
+    text = "\n".join([_A + _BETWEEN.join(w) + _Z for w in words_])
+    for a, b in merges:
+        text = text.replace(f"{_A}{a}{_BETWEEN}{b}{_Z}", f"{_A}{a}{b}{_Z}")
+    return text.split("\n")
+
+
+def _pairs(vocab: DataFrame, before: Sequence[tuple[str, str]], batch: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(a, b, c): adjacent symbols with their words' counts under the merges
+    ``before``; with a ``batch`` of further merges, what these change in the counts.
+    Words are spelled where they are needed, and a task adds up its own words."""
+    if batch:
+        vocab = vocab.where(reduce(lambda x, y: x | y, [F.contains("word", F.lit(a + b)) for a, b in batch]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[str, str], int] = defaultdict(int)
+        for d in batches:
+            old = _spelled(d["word"].tolist(), before)
+            new = _spelled(d["word"].tolist(), [*before, *batch]) if batch else old
+            for s, t, n in zip(old, new, d["n"].tolist()):
+                if not batch or s != t:
+                    for text, c in ((s, -n), (t, n)) if batch else ((s, n),):
+                        p = text[1:-1].split(_BETWEEN)
+                        for z in zip(p, p[1:]):
+                            sums[z] += c
+            if len(sums) > _HELD:
+                yield pd.DataFrame([(a, b, c) for (a, b), c in sums.items()], columns=["a", "b", "c"])
+                sums.clear()
+        if sums:
+            yield pd.DataFrame([(a, b, c) for (a, b), c in sums.items()], columns=["a", "b", "c"])
+
+    return vocab.select("word", "n").mapInPandas(run, "a string, b string, c bigint")
 
 
 def independent(top: Sequence[tuple[str, str, int]], whole: bool) -> list[tuple[str, str, int]]:
@@ -50,12 +81,6 @@ def independent(top: Sequence[tuple[str, str, int]], whole: bool) -> list[tuple[
     return out
 
 
-def _merged(s: Column, word: Column, a: str, b: str) -> Column:
-    """Symbols with one pair merged; words without its letters are left alone."""
-    seek = f"(?<={_SEP}){re.escape(a)}{_SEP}{re.escape(b)}(?={_SEP})"
-    return F.when(F.contains(word, F.lit(a + b)), F.regexp_replace(s, seek, (a + b).replace("\\", "\\\\").replace("$", "\\$"))).otherwise(s)
-
-
 def train_bpe(df: DataFrame, text: str, merges: int, every: int = 8, listed: int = 256) -> list[tuple[str, str, int]]:
     """Merge table [(left, right, count)]: the most frequent adjacent pair, ties
     to the smaller pair, until ``merges`` or no pair occurs twice.
@@ -63,11 +88,11 @@ def train_bpe(df: DataFrame, text: str, merges: int, every: int = 8, listed: int
     The corpus is read once into word counts and pair counts. A round takes the
     ``listed`` most frequent pairs to the driver and merges all of them that cannot
     influence each other; only words that hold the letters of a merged pair are
-    spelled anew, and the differences of their pairs are added to the counts."""
-    spelled = F.concat(F.regexp_replace("word", "(?s)(.)", f"{_SEP}$1"), F.lit(_SEP))
-    v = cut(word_counts(df, text).where(F.length("word") > 1).select("word", spelled.alias("s"), "n"))
+    spelled, and the differences of their pairs are added to the counts. Nothing
+    but words and pair counts is stored."""
+    v = cut(word_counts(df, text).where(F.length("word") > 1))
     total = lambda d: d.groupBy("a", "b").agg(F.sum("c").alias("c"))
-    counts, extra = cut(total(_pairs(v, "s", 1))), []
+    counts, extra = cut(total(_pairs(v, []))), []
     out: list[tuple[str, str, int]] = []
     rounds = 0
     while len(out) < merges:
@@ -76,19 +101,14 @@ def train_bpe(df: DataFrame, text: str, merges: int, every: int = 8, listed: int
         batch = independent(top, len(top) < listed)[: merges - len(out)] if top else []
         if not batch:
             break
+        made = [(a, b) for a, b, _ in out]
         out += batch
         if len(out) >= merges:
             break
-        s, touched = F.col("s"), F.lit(False)
-        for a, b, _ in batch:
-            s = _merged(s, F.col("word"), a, b)
-            touched = touched | F.contains("word", F.lit(a + b))
-        new = v.withColumn("_s", s)
-        changed = new.where(touched).where("s <> _s")
-        extra.append(cut(total(_pairs(changed, "s", -1).unionByName(_pairs(changed, "_s", 1))).where("c <> 0")))
-        v, rounds = new.select("word", F.col("_s").alias("s"), "n"), rounds + 1
+        extra.append(cut(total(_pairs(v, made, [(a, b) for a, b, _ in batch])).where("c <> 0")))
+        rounds += 1
         if rounds % every == 0:
-            v, counts, extra = cut(v), cut(total(reduce(DataFrame.unionByName, [counts, *extra])).where("c > 0")), []
+            counts, extra = cut(total(reduce(DataFrame.unionByName, [counts, *extra])).where("c > 0")), []
     return out
 
 
