@@ -100,3 +100,36 @@ def test_elements_and_payloads_are_not_sent_whole(spark, monkeypatch):
     assert {(r.leader, r.member) for r in got} == {(1, 2), (3, 4)}
     rated = [p for p in plans if "array_intersect" in p]
     assert len(rated) == 2 and all(p.count("SortMergeJoin") == 2 for p in rated)
+
+
+def test_rare_elements_alone_are_dealt(spark, monkeypatch):
+    """The sets are never exploded, whatever the sketch mixes up."""
+    from sievework.functions import links as L
+
+    rng = np.random.default_rng(8)
+    sets = [sorted({int(x) for x in rng.choice(90, 20)}) for _ in range(30)]
+    sets += [s[1:] for s in sets[:15]] + [s[:-1] + [200 + i] for i, s in enumerate(sets[10:25])] + [[]]
+    items = cut(spark.createDataFrame(list(enumerate(sets)), "id bigint, payload array<bigint>"))
+    for bits, parts in ((21, 64), (3, 4)):
+        counts = L.element_counts(items, bits, parts)
+        assert counts.sum() == sum(map(len, sets)) and len(counts) == 1 << bits
+        monkeypatch.setattr(L, "element_counts", lambda d, b, n=counts: n)
+        made = L.rare_blocks(items, 0.8, bits)
+        monkeypatch.undo()
+        assert "Generate explode" not in plan(made)
+        blocks = {}
+        for r in made.collect():
+            blocks.setdefault(r.id, set()).add(r.block)
+        assert all(len(b) <= len(sets[i]) - np.ceil(0.8 * len(sets[i])) + 1 for i, b in blocks.items())
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]}) > 0]
+        assert near and all(blocks[i] & blocks[j] for i, j in near)
+
+
+def test_merges_store_words_and_pair_counts_only(spark, monkeypatch):
+    from sievework.operators import tokenizer as B
+
+    kept = []
+    monkeypatch.setattr(B, "cut", lambda d: kept.append(d.columns) or cut(d))
+    text = spark.createDataFrame([("abab abc bcd cdcd xyx xyx yx abab",)], "text string")
+    assert B.train_bpe(text, "text", 5, every=1)[0] == ("a", "b", 5)
+    assert len(kept) > 3 and {tuple(c) for c in kept} == {("word", "n"), ("a", "b", "c")}
