@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sievework.llm.common import pick, slices
+from sievework.llm.common import one_model, pick, slices
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _KEEP = [b for b in range(256) if b > 0x7F or chr(b).isalnum()]
@@ -95,16 +95,10 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
     yield block
 
 
-_BUILT: dict[str, object] = {}
-
-
 def _ready(held):
-    """The automaton of a broadcast block, built once in each worker process."""
+    """The automaton of a broadcast block."""
     key, blob, n = held.value
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = automaton(pickle.loads(blob), n)
-    return _BUILT[key]
+    return one_model(("automaton", key), lambda: automaton(pickle.loads(blob), n))
 
 
 def decontaminate(

@@ -26,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sievework.llm.common import arrow_rows, pick, saved, slices
+from sievework.llm.common import arrow_rows, byte_slices, pick, saved
 from sievework.llm.token_store import END_ID
 from sievework.llm.tokens import encoder
 
 PIECES = "part int, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint"
+# The arrays that encoding makes on the way are many times as large as the texts.
+BATCH_BYTES = 1 << 20
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,7 +42,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         seen = np.zeros(capacity + 1, np.int64)
-        for b in slices(batches, 2048):
+        for b in byte_slices(batches, "text", BATCH_BYTES):
             part = b.column("part")[0].as_py()
             flat, counts = enc.batch(b.column("text"))
             rows = []

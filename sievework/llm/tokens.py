@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from sievework.llm.common import one_model
+
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 # fixed values: the splitting rule of the vocabulary file, for Latin-1 lower case
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
@@ -138,11 +140,6 @@ def _views(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-_HELD: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
-    if path not in _HELD:
-        _HELD[path] = Encoder(path)
-    return _HELD[path]
+    """The worker process's encoder."""
+    return one_model(("encoder", path), lambda: Encoder(path))

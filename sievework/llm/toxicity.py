@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sievework.llm.common import arrow_rows, pick, slices
+from sievework.llm.common import arrow_rows, one_model, pick, slices
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -304,15 +304,8 @@ class ToxicityModel:
     key: str = field(default_factory=lambda: uuid4().hex)  # names the trigram model in worker processes
 
 
-_READERS: dict[str, Reader] = {}
-
-
 def _reader(held) -> Reader:
-    key = held.value[0]
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(held.value[1])
-    return _READERS[key]
+    return one_model(("reader", held.value[0]), lambda: Reader(held.value[1]))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_rows: int = 60_000) -> ToxicityModel:
