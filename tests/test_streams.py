@@ -188,3 +188,33 @@ def test_waiting_rows_are_packed(monkeypatch):
     monkeypatch.setattr(E, "_PACK_ROWS", 700)
     assert [len(r[0]) for r in E._pack(us[:1500], us[:1500], np.zeros((1500, 2)))] == [700 * 32, 700 * 32, 100 * 32]
     assert E._LogitStream.order(np.array([3, 1, 1, 1]), np.array([0, 5, 5, 4]), np.array([[0.0, 1.0], [1.0, 9.0], [1.0, 10.0], [1.0, 0.0]])).tolist() == [3, 2, 1, 0]
+
+
+def test_small_frames_share_a_state_element():
+    """With each element added the store reads the whole list of the key."""
+    detector = E._PageHinkley(0.5, 100.0, "m", 1000)
+    detector.waiting, detector.handle = Kept(), Timers()
+    us = np.arange(5000) * 1000
+    frames = [pd.DataFrame({"us": us[i : i + 100], "event_id": us[i : i + 100], "value": us[i : i + 100] / 3}) for i in range(0, 5000, 100)]
+    list(detector.handleInputRows((1,), iter(frames), Timers()))
+    assert len(detector.waiting.rows) == 1 and E._unpack(detector.waiting.get(), 1)[0].tolist() == us.tolist()
+
+
+def test_learning_in_a_row_is_learning_one_by_one():
+    rng = np.random.default_rng(4)
+    x = np.column_stack([np.ones(900), rng.normal(size=(900, 2)) * 3])
+    y = (rng.random(900) < 1 / (1 + np.exp(-x[:, 1] * np.where(np.arange(900) < 400, 1, -1)))).astype(float)
+    x[870, 2], y[880] = np.nan, np.nan
+    model, at = E.LogitPolicies(3, 0.5, 40, 3000, 0.05, 3.0), np.arange(900) * 60.0
+    one, row, learnt = model.start(), model.start(), np.repeat(np.arange(0, 300, 3), 3)
+    for low in (0, 300, 600):
+        want = []
+        own = slice(low, low + 300)
+        for i in range(300):
+            if i % 3 == 0:
+                want += [model.scores(one, v) for v in x[low + i : low + i + 3].tolist()]
+            model.learn(one, at[low + i], x[low + i].tolist(), y[low + i])
+        got = model.score_all(model.learn_all(row, at[own].tolist(), x[own].tolist(), y[own].tolist()), learnt, x[own])
+        assert np.allclose(got, want, rtol=0, atol=1e-9)
+    assert one["resets"] == row["resets"] and min(row["resets"][2:]) > 0 and np.isnan(row["w"][1]).all()
+    assert np.allclose(one["w"], row["w"], equal_nan=True) and one["seen"] == row["seen"] and one["opened"] == row["opened"]
