@@ -156,3 +156,13 @@ def test_unseen_search_is_exact_and_deals_no_scores(spark, monkeypatch):
         assert {(r.query_id, r.item_id, r["rank"]) for r in found.collect()} == want
     row, _, _ = topk.best_unbarred(ivf.unit(q), ivf.unit(x), tuple(np.array(sorted(barred)).T), 5)
     assert np.bincount(row).max() == 5
+
+
+def test_unseen_search_sends_no_tile_twice(spark):
+    """Nothing shuffled grows with queries times items: tiles meet where they are stored."""
+    rng = np.random.default_rng(8)
+    q, x = rng.standard_normal((30, 4)), rng.standard_normal((90, 4))
+    found = topk.tiled_unbarred(frame(spark, q, "query_id"), frame(spark, x), spark.createDataFrame([(0, 1)], "query_id bigint, item_id bigint"), 3, tile_queries=5, tile_items=20)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan and "Window" not in plan
+    assert found.rdd.getNumPartitions() == 6 and found.count() == 90
