@@ -20,6 +20,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sievework.llm.common import arrow_rows, byte_slices, pick, saved
+from sievework.llm.common import arrow_rows, byte_slices, pick, release_memory, saved
 from sievework.llm.tokens import _byte_letters
 
 BATCH_BYTES = 1 << 20
@@ -308,15 +309,50 @@ def pair_counts(batches: DataFrame) -> DataFrame:
 DIGEST = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
 
+TOLD = "batch bigint, n array<bigint>, best array<boolean>"
+TASK_BATCHES = 16
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """TOLD from (batch, at, n, best) rows in that order: one row a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def row() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks()) for c in ("n", "best")]
+            return arrow_rows(TOLD, [[t.column("batch")[0].as_py()], *lists])
+
+        for b in batches:
+            own = b.column("batch").to_numpy()
+            ends = [*(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), b.num_rows]
+            for at, end in zip([0, *ends], ends):
+                if at == end:
+                    continue
+                if held and held[0].column("batch")[0].as_py() != int(own[at]):
+                    yield row()
+                    held = []
+                held.append(b.slice(at, end - at))
+        if held:
+            yield row()
+
+    return rows.select("batch", "at", "n", "best").mapInArrow(run, TOLD)
+
+
 def alignment_digest(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Figures of every text's alignment, with counts of its linked id pairs over
     all texts. Nulls, repeated rows and other columns are as in ``alignments``."""
-    batches = saved(_batches(pick(docs, id_col, text_col), path_a, path_b), "alignment")
+    batches = saved(_batches(pick(docs, id_col, text_col), path_a, path_b), "alignment", wide=True)
     counts = saved(pair_counts(batches), "pair-counts")
     asked = batches.select("batch", F.posexplode("pairs").alias("at", "pair"))
-    # One small answer for each batch: its pairs' counts in their own order.
-    told = asked.join(counts, "pair").groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("at", "n", "best"))).alias("told"))
-    both = batches.drop("pairs", "times").join(told.select("batch", F.col("told.n").alias("n"), F.col("told.best").alias("best")), "batch", "left")
+    # A task holds a bounded number of batches, each of megabytes, however large the
+    # session lets its tasks be.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(batches.count() / TASK_BATCHES))
+    # One small answer for each batch: its pairs' counts in their own order, put in
+    # order by a sort that can spill, not gathered in lists of the heap.
+    told = _told(asked.join(counts, "pair").select("batch", "at", "n", "best").repartition(tasks, "batch").sortWithinPartitions("batch", "at"))
+    both = batches.drop("pairs", "times").repartition(tasks, "batch").join(told.repartition(tasks, "batch").hint("merge"), "batch", "left")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in rows:
@@ -330,5 +366,6 @@ def alignment_digest(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
                     for out, c in zip(sums, ("best", "n")):
                         np.add.at(out, doc, row[c].values.to_numpy(zero_copy_only=False).astype(np.int64)[links])
                 yield arrow_rows(DIGEST, [row["doc_ids"].values, *flat.values(), *sums, row["digests"].values])
+        release_memory()
 
     return both.select("doc_ids", "n_a", "n_b", "n_groups", "n_links", "digests", "links", "n", "best").mapInArrow(run, DIGEST)

@@ -20,14 +20,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_table(spark, sf_dir, "documents")
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+# Rows of megabytes: Parquet would look at the size of a row group only every 100
+# rows or more, and both its writer and its reader hold one in memory.
+WIDE = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4, "parquet.page.size.row.check.min": 1}
+
+
+def saved(df: DataFrame, name: str, codec: str = "zstd", wide: bool = False) -> DataFrame:
     """Writes to the shared folder and reads back, so that later steps neither
-    compute ``df`` again nor depend on the executors that did."""
+    compute ``df`` again nor depend on the executors that did. ``wide``: in small
+    row groups, for rows of megabytes."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).options(**WIDE if wide else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SENT = 50_000
+
+
+def counted(made: DataFrame) -> DataFrame:
+    """A stored table as one side of a join: with more than SENT rows it is dealt.
+    Spark would go by its compressed files, and what it sends whole takes the driver
+    many times their size."""
+    return made if made.limit(SENT + 1).count() <= SENT else made.hint("merge")
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system. Spark keeps Python workers from stage
     to stage, and what each stage has freed but kept would add up."""

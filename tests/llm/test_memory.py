@@ -3,9 +3,11 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, packing, tokens, toxicity
+from sievework.llm import alignment, common, decontaminate, packing, tokens, toxicity
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,3 +48,27 @@ def test_texts_are_encoded_in_batches_of_bounded_bytes(spark, monkeypatch):
         assert [r["start"] for r in own] == [4096 * k for k in range(len(own))]
     nth = [r["nth"] for r in pieces if r["length"] == 4096]
     assert nth == list(range(len(nth))) and {r["part"] for r in pieces} == {3}
+
+
+def test_rows_of_megabytes_make_small_row_groups(spark):
+    """Writer and reader hold a whole row group, which Parquet looks at every 100 rows only."""
+    rows = spark.range(0, 60, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.xxhash64("id", i)).alias("x"))
+    files = common.saved(rows, "wide", wide=True).inputFiles()
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in files]
+    assert sum(groups) >= 3
+
+
+def test_pair_counts_come_in_the_order_of_their_batch(spark):
+    rows = [(b, at, 10 * b + at, at % 2 == 0) for b in (7, 3, 5) for at in range(12_000 if b == 5 else 3)]
+    d = spark.createDataFrame(rows, "batch bigint, at int, n bigint, best boolean").repartition(2, "batch").sortWithinPartitions("batch", "at")
+    told = {r.batch: r for r in alignment._told(d).collect()}
+    assert {b: len(r.n) for b, r in told.items()} == {7: 3, 3: 3, 5: 12_000}
+    assert all(r.n == [10 * b + i for i in range(len(r.n))] and r.best == [i % 2 == 0 for i in range(len(r.n))] for b, r in told.items())
+
+
+def test_large_stored_sides_are_dealt_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(common, "SENT", 10)
+    for n, kind in ((10, "Broadcast"), (11, "SortMerge")):
+        made = common.saved(spark.range(n), "made")
+        plan = spark.range(1000).join(common.counted(made).where("id >= 0"), "id", "left")._jdf.queryExecution().sparkPlan().toString()
+        assert f"{kind}" in plan
