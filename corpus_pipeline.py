@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sievework.llm import decontaminate, jaccard, packing, pii, toxicity
-from sievework.llm.common import saved
+from sievework.llm.common import release_memory, saved
 from sievework.session import raw_table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -33,6 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: the least id."""
+    # What fitting the model before took of the driver.
+    release_memory()
     return jaccard.keep_one(docs)
 
 
